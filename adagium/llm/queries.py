@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from adagium.llm.common import table
 
@@ -20,13 +20,36 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from adagium.llm import decontaminate as d
+
+    return d.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from adagium.llm import ordinal_quality as o
+
+    scored = o.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "__quality.expected_grade", "__quality.tail_probability", "__quality.kept")
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
+    from adagium.llm import byte_bpe as b
+
+    if ranks_path is None:
+        import public_tokenizers
+
+        ranks_path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return b.encode(table(spark, sf_dir, "documents"), ranks_path, with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from adagium.llm import url_filter as u
 
     return u.filter_urls(table(spark, sf_dir, "pages"), u.outcomes_of(table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op4_warc": op4_warc, "op10_url_filter": op10_url_filter}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_warc, op5_decontaminate, op7_ordinal_quality, op9_byte_bpe, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
