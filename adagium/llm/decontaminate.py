@@ -33,7 +33,7 @@ LEAKS = "array<struct<item_id: long, bm25: double, question_overlap: double, ans
 UNIT, HALF, BLOCK, GRAM = 32, 32, 16, 5
 THETA, MIN_OVERLAP, SHARD_ITEMS = 0.5, 0.6, 1024
 K1, B = 1.2, 0.75
-_STRIP = ".,;:!?\"'()[]{}|«»“”’‘"
+_STRIP = ".,;:!?\"'()[]{}|«»“”’‘%&*#$@~^_=+<>/\\-–—…"
 
 
 def term(word: bytes) -> str:
@@ -97,7 +97,7 @@ class Index:
         return h
 
     def _grams(self, ids: np.ndarray) -> tuple[int, np.ndarray]:
-        k = min(GRAM, len(ids))
+        k = min(GRAM, (len(ids) + 1) // 2)  # short parts: half their words
         return k, np.unique(self._hash(ids, k)) if k else np.zeros(0, dtype=np.uint64)
 
     def ids(self, text) -> np.ndarray:

@@ -8,9 +8,9 @@ same scale. Grades: 0 toxic, 1 of low quality, 2 good.
 Training takes a bounded sample: the ``max_rows`` labelled documents of the
 smallest hashes (the documented bound; every label can be drawn, alike at any
 size). Their features, from whole texts, are computed on the executors; the
-driver fits them with AdaGrad in seeded order. Words seen in fewer than
-``min_df`` sampled documents get no weight. Scoring is one Arrow pass over all
-documents; only the text column leaves the JVM, and the weights (2**17 floats)
+driver fits them with AdaGrad in seeded order. Words in fewer than
+``min_share`` of the sampled documents (or than three) get no weight. Scoring is one Arrow pass over all
+documents; only the text column leaves the JVM, and the weights (2**19 floats)
 are a fixed-size broadcast. Nothing is shuffled but the sample.
 
 Defined cases: null and empty texts have the shape of an empty document and are
@@ -28,19 +28,21 @@ from pyspark.sql import DataFrame, functions as F
 from adagium.llm.common import words_of
 from adagium.llm.quality_rules import text_stats
 
-BITS = 17
+BITS = 19
 SHAPES = 256  # slots after the hashed words
 SCORE = "expected_grade double, tail_probability double"
-MAX_ROWS, MIN_DF, EPOCHS, KEEP_FROM = 12_000, 3, 12, 2
-_STRIP = b".,;:!?\"'()[]{}|"
-_CACHE: dict[bytes, int] = {}
+MAX_ROWS, MIN_SHARE, EPOCHS, KEEP_FROM = 12_000, 0.002, 12, 2
+_STRIP = ".,;:!?\"'()[]{}|"
+_CACHE: dict[bytes, tuple[int, ...]] = {}
 
 
-def _slot(word: bytes) -> int:
+def _slots(word: bytes) -> tuple[int, ...]:
+    """Slots of a word: itself, lower-cased without outer punctuation, and its first four and five letters."""
     import xxhash
 
-    core = word.decode("utf-8", "replace").lower().encode().strip(_STRIP) or word
-    return xxhash.xxh32_intdigest(core) & ((1 << BITS) - 1)
+    core = word.decode("utf-8", "replace").lower().strip(_STRIP)
+    keys = [core or word.decode("utf-8", "replace")] + [f"\0{core[:k]}" for k in (4, 5) if len(core) > k]
+    return tuple(xxhash.xxh32_intdigest(k.encode("utf-8", "replace")) & ((1 << BITS) - 1) for k in keys)
 
 
 def _bin(value: float, cuts: tuple) -> int:
@@ -56,8 +58,8 @@ def features(text) -> np.ndarray:
     for w in words:
         x = _CACHE.get(w)
         if x is None:
-            x = _CACHE[w] = _slot(w)
-        slots.add(x)
+            x = _CACHE[w] = _slots(w)
+        slots.update(x)
     n, chars, symbols, dup, rep, lines, upper, distinct = text_stats(text)
     d = max(n, 1)
     share = (0.005, 0.02, 0.05, 0.1, 0.2, 0.4, 0.8)
@@ -104,14 +106,14 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows: list[tuple[np.ndarray, int]], min_df: int = MIN_DF, epochs: int = EPOCHS, rate: float = 0.15, l2: float = 2e-4, seed: int = 7):
+def fit(rows: list[tuple[np.ndarray, int]], min_share: float = MIN_SHARE, epochs: int = EPOCHS, rate: float = 0.15, l2: float = 3e-3, seed: int = 7):
     """(weights, thresholds) of the cumulative-link model; thresholds stay ordered (first, then positive gaps)."""
     size = (1 << BITS) + SHAPES
     w = np.zeros(size)
     if not rows:
         return w.astype(np.float32), np.array([-30.0, -29.0])
     df = np.bincount(np.concatenate([f for f, _ in rows]), minlength=size)
-    live = df >= min_df
+    live = df >= max(3, min_share * len(rows))
     xs = [f[live[f]] for f, _ in rows]
     ys = np.array([g for _, g in rows])
     t = np.array([-1.5, np.log(1.0)])  # t0 and log of the gap

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from adagium.llm.common import table
 
@@ -14,6 +14,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from adagium.llm import substring_dedup as d
+
+    out = d.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), window=20, start=10, rewrite=False)
+    return out.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.col("__kept_sha256").alias("kept_sha256"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from adagium.llm import warc
 
@@ -49,7 +56,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.filter_urls(table(spark, sf_dir, "pages"), u.outcomes_of(table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_warc, op5_decontaminate, op7_ordinal_quality, op9_byte_bpe, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_substring_dedup, op4_warc, op5_decontaminate, op7_ordinal_quality, op9_byte_bpe, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
