@@ -33,6 +33,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from adagium.llm import near_dup as n
+
+    return n.classes(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from adagium.llm import ordinal_quality as o
 
@@ -56,7 +62,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.filter_urls(table(spark, sf_dir, "pages"), u.outcomes_of(table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_substring_dedup, op4_warc, op5_decontaminate, op7_ordinal_quality, op9_byte_bpe, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_substring_dedup, op4_warc, op5_decontaminate, op6_near_dup, op7_ordinal_quality, op9_byte_bpe, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
