@@ -46,6 +46,12 @@ def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "__quality.expected_grade", "__quality.tail_probability", "__quality.kept")
 
 
+def op8_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from adagium.llm import maxent_lm as m
+
+    return m.score(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
     from adagium.llm import byte_bpe as b
 
@@ -62,7 +68,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.filter_urls(table(spark, sf_dir, "pages"), u.outcomes_of(table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_substring_dedup, op4_warc, op5_decontaminate, op6_near_dup, op7_ordinal_quality, op9_byte_bpe, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_substring_dedup, op4_warc, op5_decontaminate, op6_near_dup, op7_ordinal_quality, op8_maxent_lm, op9_byte_bpe, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
