@@ -130,7 +130,8 @@ def blocks(page) -> list[tuple[str, tuple[str, ...], float]]:
     return out
 
 
-PATHS, WORDS, PATH_DIM, WORD_DIM, SHAPES, HIDDEN_DIM = 2048, 4096, 16, 8, 6, 20
+PATHS, WORDS, PATH_DIM, WORD_DIM, SHAPES, HIDDEN_DIM = 2048, 1 << 16, 16, 8, 6, 20
+MIN_PAGES = 8  # words on fewer training pages get no vector
 INPUT = PATH_DIM + WORD_DIM + SHAPES
 _SLOT: dict[str, int] = {}
 
@@ -169,6 +170,7 @@ class Inputs:
         digits = np.array([sum(map(b[0].count, "0123456789")) for b in flat]) / np.maximum(n, 1)
         marks = np.array([any(c in b[0] for c in "©®|·»›") for b in flat], dtype=float)
         depth = np.array([len(p) for p in paths]) / 8
+        self.told = np.ones(len(flat))  # 0 for blocks whose words are not shown
         self.shapes = np.stack([np.log1p(n) / 6, np.array([b[2] for b in flat]), ends, digits, marks, depth], axis=1) if flat else np.zeros((0, SHAPES))
 
     def vectors(self, model) -> np.ndarray:
@@ -180,7 +182,7 @@ class Inputs:
             if len(self.words):
                 lead = np.flatnonzero(np.diff(self.word_of, prepend=-1))
                 word[self.word_of[lead]] = np.add.reduceat(model["word"][self.words], lead, axis=0)
-                word /= np.maximum(np.bincount(self.word_of, minlength=n), 1)[:, None]
+                word *= (self.told / np.maximum(np.bincount(self.word_of, minlength=n), 1))[:, None]
         return np.concatenate([path, word, self.shapes], axis=1)
 
 
@@ -282,12 +284,12 @@ def _gradients(model, inputs: Inputs, labels: np.ndarray) -> tuple[dict, float]:
     flat = dx.transpose(1, 0, 2)[mask[:, :, 0].T > 0]
     g["path"], g["word"] = np.zeros_like(model["path"]), np.zeros_like(model["word"])
     np.add.at(g["path"], inputs.paths, flat[inputs.path_of, :PATH_DIM])
-    share = flat[:, PATH_DIM : PATH_DIM + WORD_DIM] / np.maximum(np.bincount(inputs.word_of, minlength=len(flat)), 1)[:, None]
+    share = flat[:, PATH_DIM : PATH_DIM + WORD_DIM] * (inputs.told / np.maximum(np.bincount(inputs.word_of, minlength=len(flat)), 1))[:, None]
     np.add.at(g["word"], inputs.words, share[inputs.word_of])
     return g, loss
 
 
-TRAIN_PAGES, EPOCHS = 700, 14
+TRAIN_PAGES, EPOCHS = 900, 12
 _MODEL: list[dict] = []
 
 
@@ -300,20 +302,27 @@ def train_model(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 11)
     cut = [blocks(h) for h, _ in made]
     labels = [np.array([b[0] in main for b in c], dtype=float) for c, (_, main) in zip(cut, made)]
     model = new_model(rng)
-    first, second = ({k: np.zeros_like(v) for k, v in model.items()} for _ in range(2))
+    pages_of = np.zeros(WORDS, dtype=np.int64)
+    for c in cut:
+        pages_of[np.unique(Inputs([c]).words)] += 1
+    live = np.flatnonzero(pages_of >= MIN_PAGES)
+    rows = {k: live if k == "word" else slice(None) for k in model}
+    first, second = ({k: np.zeros_like(v[rows[k]]) for k, v in model.items()} for _ in range(2))
     step = 0
     for epoch in range(epochs):
         order = rng.permutation(len(cut))
         for lo in range(0, len(order), 35):
             own = [i for i in order[lo : lo + 35] if len(cut[i])]
-            g, _ = _gradients(model, Inputs([cut[i] for i in own]), np.concatenate([labels[i] for i in own]))
+            inputs = Inputs([cut[i] for i in own])
+            inputs.told = rng.random(len(inputs.shapes)) < 0.5  # half of the blocks must do without words
+            g, _ = _gradients(model, inputs, np.concatenate([labels[i] for i in own]))
             step += 1
             rate = 0.02 * (1 - 0.9 * epoch / epochs)
-            for k in model:
-                first[k] = 0.9 * first[k] + 0.1 * g[k]
-                second[k] = 0.99 * second[k] + 0.01 * g[k] ** 2
-                model[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
-            model["word"] *= 0.999  # words that mark nothing fade
+            for k, r in rows.items():
+                first[k] = 0.9 * first[k] + 0.1 * g[k][r]
+                second[k] = 0.99 * second[k] + 0.01 * g[k][r] ** 2
+                model[k][r] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
+            model["word"][live] *= 0.998  # words that mark nothing fade
     return {k: v.astype(np.float32) for k, v in model.items()}
 
 

@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from adagium.llm.common import table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from adagium.llm import html_text as h
+
+    return h.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from adagium.llm import quality_rules as q
 
@@ -68,7 +74,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.filter_urls(table(spark, sf_dir, "pages"), u.outcomes_of(table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_substring_dedup, op4_warc, op5_decontaminate, op6_near_dup, op7_ordinal_quality, op8_maxent_lm, op9_byte_bpe, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_quality_rules, op3_substring_dedup, op4_warc, op5_decontaminate, op6_near_dup, op7_ordinal_quality, op8_maxent_lm, op9_byte_bpe, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
