@@ -1,10 +1,10 @@
 """Benchmark decontamination: BM25 inverted index with block-max WAND.
 
 Test items are cut into units of at most 32 words; units are the indexed
-documents, sorted by their own score and cut into blocks of 16, and every term
-keeps its largest impact in each block. Each training text is read as
-overlapping passages of 64 words (32 apart), so a copied unit lies whole in one
-of them. For all passages of a batch at once the block-max impacts are summed;
+documents, sorted by their most frequent term and their own score and cut into
+blocks of 16, and every term keeps its largest impact in each block. Each
+training text is read as overlapping passages of 64 words (32 apart), so a
+copied unit lies whole in one of them. For all passages of a batch at once the block-max impacts are summed;
 only a (passage, block) whose bound reaches the least threshold of the block is
 scored, exactly, against the block's units. All units with
 score >= ``theta`` * own score are retrieved. A document is contaminated by an
@@ -28,6 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from adagium.llm.common import words_of
+from adagium.llm.vectext import Words
 
 LEAKS = "array<struct<item_id: long, bm25: double, question_overlap: double, answer_overlap: double>>"
 UNIT, HALF, BLOCK, GRAM = 32, 32, 16, 5
@@ -44,6 +45,11 @@ def terms(text) -> list[str]:
     return [t for t in map(term, words_of(text)) if t]
 
 
+def _distinct(key: np.ndarray) -> np.ndarray:
+    key = np.sort(key)
+    return key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+
+
 class Index:
     """Block-max index of items [(item_id, text)]."""
 
@@ -73,21 +79,29 @@ class Index:
         for u, item in units:
             t, tf = np.unique(u, return_counts=True)
             rows.append((t, idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(u) / mean)), item))
-        rows.sort(key=lambda r: float(r[1].sum()))
+        # Units that share their most frequent term stand together: blocks of one vocabulary have tight bounds.
+        rows.sort(key=lambda r: (int(r[0][np.argmax(df[r[0]])]), float(r[1].sum())))
         self.unit_item = np.array([r[2] for r in rows])
         self.need = np.array([r[1].sum() for r in rows]) * theta
         self.n_blocks = -(-n // BLOCK)
         self.block_need = np.array([self.need[b * BLOCK : (b + 1) * BLOCK].min() for b in range(self.n_blocks)]) - 1e-6
         self.block_max = np.zeros((self.n_terms, self.n_blocks), dtype=np.float32)
-        # Postings of a block: {term: (units in the block, impacts)}.
-        self.postings: list[dict[int, list]] = [{} for _ in range(self.n_blocks)]
+        # Impact rows: one for each (block, term) that occurs, with a column for each unit of the block.
+        post: dict[int, np.ndarray] = {}
         for u, (t, impact, _) in enumerate(rows):
             b = u // BLOCK
             self.block_max[t, b] = np.maximum(self.block_max[t, b], impact)
             for x, v in zip(t.tolist(), impact.tolist()):
-                self.postings[b].setdefault(x, []).append((u - b * BLOCK, v))
+                row = post.get(b * self.n_terms + x)
+                if row is None:
+                    row = post[b * self.n_terms + x] = np.zeros(BLOCK)
+                row[u - b * BLOCK] = v
+        self.row_key = np.array(sorted(post), dtype=np.int64)
+        self.rows = np.array([post[k] for k in self.row_key.tolist()])
+        self.unit_need = np.full(self.n_blocks * BLOCK, np.inf)
+        self.unit_need[:n] = self.need
         self.block_max *= np.float32(1 + 1e-6)
-        self.cache: dict[bytes, int] = {}
+        self.cache: dict[int, int] = {}
 
     @staticmethod
     def _hash(ids: np.ndarray, k: int) -> np.ndarray:
@@ -100,18 +114,21 @@ class Index:
         k = min(GRAM, (len(ids) + 1) // 2)  # short parts: half their words
         return k, np.unique(self._hash(ids, k)) if k else np.zeros(0, dtype=np.uint64)
 
-    def ids(self, text) -> np.ndarray:
+    def ids(self, texts) -> list[np.ndarray]:
+        """Term numbers of each text: -1 outside the index; pure punctuation is no word, as in the items."""
+        w = Words(texts)
+        distinct, at, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
         if len(self.cache) > 400_000:
             self.cache.clear()
-        cache, out = self.cache, []
-        for w in words_of(text):
-            x = cache.get(w)
+        cache, found = self.cache, np.empty(len(distinct), dtype=np.int64)
+        for i, h in enumerate(distinct.tolist()):
+            x = cache.get(h)
             if x is None:
-                t = term(w)
-                x = cache[w] = self.vocab.get(t, -1) if t else -2
-            out.append(x)
-        a = np.array(out, dtype=np.int64)
-        return a[a > -2]  # pure punctuation is no word, as in the items
+                t = term(w.raw[w.starts[at[i]] : w.ends[at[i]]])
+                x = cache[h] = self.vocab.get(t, -1) if t else -2
+            found[i] = x
+        flat = found[inverse]
+        return [d[d > -2] for d in np.split(flat, w.first[1:-1])]
 
     def retrieve(self, docs: list[np.ndarray]) -> list[dict[int, float]]:
         """For each document the retrieved items with their best passage score."""
@@ -123,7 +140,7 @@ class Index:
         half = np.concatenate([start[i] + np.arange(len(d)) // HALF for i, d in enumerate(docs)])
         ids = np.concatenate(docs)
         half, ids = half[ids >= 0], ids[ids >= 0]
-        key = np.unique(half * self.n_terms + ids)
+        key = _distinct(half * self.n_terms + ids)
         half, ids = key // self.n_terms, key % self.n_terms
         if not len(ids):
             return found
@@ -135,18 +152,28 @@ class Index:
         doc_of = np.repeat(np.arange(len(docs)), halves)
         same = np.append(doc_of[1:] == doc_of[:-1], False)
         pair = bound[:-1] + bound[1:] * same[:, None]
-        for h, b in zip(*np.nonzero(pair >= self.block_need[None, :])):
-            lo, hi = np.searchsorted(half, (h, h + 2 if same[h] else h + 1))
-            score = np.zeros(BLOCK)
-            postings = self.postings[b]
-            for t in set(ids[lo:hi].tolist()):
-                for u, v in postings.get(t, ()):
-                    score[u] += v
-            n = min(BLOCK, len(self.need) - b * BLOCK)
-            d = found[doc_of[h]]
-            for u in np.flatnonzero(score[:n] >= self.need[b * BLOCK : b * BLOCK + n] - 1e-9):
-                item = int(self.unit_item[b * BLOCK + u])
-                d[item] = max(d.get(item, 0.0), float(score[u]))
+        hs, bs = np.nonzero(pair >= self.block_need[None, :])
+        lo, hi = np.searchsorted(half, hs), np.searchsorted(half, hs + 1 + same[hs])
+        # The exact scores of the remaining (passage, block) pairs, a few million terms at a time.
+        cuts = np.searchsorted(np.cumsum(hi - lo), np.arange(2_000_000, int((hi - lo).sum()) + 2_000_000, 2_000_000)) + 1
+        for p, q in zip(np.concatenate([[0], cuts[:-1]]), np.minimum(cuts, len(hs))):
+            lens = hi[p:q] - lo[p:q]
+            if not lens.sum():
+                continue
+            of = np.repeat(np.arange(p, q), lens)
+            t = ids[np.repeat(lo[p:q] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())]
+            key = of * self.n_terms + t
+            key = _distinct(key[self.block_max[t, bs[of]] > 0])  # a term of both halves counts once
+            of, t = key // self.n_terms, key % self.n_terms
+            if not len(of):
+                continue
+            lead = np.flatnonzero(np.diff(of, prepend=-1))
+            score = np.add.reduceat(self.rows[np.searchsorted(self.row_key, bs[of] * self.n_terms + t)], lead, axis=0)
+            own = of[lead]
+            for i, u in zip(*np.nonzero(score >= self.unit_need.reshape(-1, BLOCK)[bs[own]] - 1e-9)):
+                item = int(self.unit_item[bs[own[i]] * BLOCK + u])
+                d = found[doc_of[hs[own[i]]]]
+                d[item] = max(d.get(item, 0.0), float(score[i, u]))
         return found
 
     def leaks(self, texts) -> list[list[dict]]:
@@ -155,12 +182,12 @@ class Index:
         out: list[list[dict]] = []
         texts = list(texts)
         at = 0
-        while at < len(texts):  # groups of about 200,000 words, whole texts
-            group, size = [], 0
-            while at < len(texts) and (not group or size < 200_000):
-                group.append(self.ids(texts[at]))
-                size += len(group[-1])
+        while at < len(texts):  # groups of about a million characters, whole texts
+            lo, size = at, 0
+            while at < len(texts) and (at == lo or size < 1 << 20):
+                size += len(texts[at] or "")
                 at += 1
+            group = self.ids(texts[lo:at])
             for ids, items in zip(group, self.retrieve(group)):
                 rows, grams = [], {}
                 for item in sorted(items):
