@@ -37,6 +37,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix of underscores that no column of df starts with, for columns that are added for a while."""
+    p = "__"
+    while any(c.startswith(p) for c in df.columns):
+        p += "_"
+    return p
+
+
 def delete_shared(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared file system."""
     jvm = spark._jvm

@@ -27,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from adagium.llm.common import words_of
+from adagium.llm.common import free_prefix, words_of
 from adagium.llm.vectext import Words
 
 LEAKS = "array<struct<item_id: long, bm25: double, question_overlap: double, answer_overlap: double>>"
@@ -235,6 +235,12 @@ def leaks_column(benchmark: DataFrame, text_col: str = "text", theta: float = TH
     return columns[0] if len(columns) == 1 else F.concat(*columns)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
+    """docs without those that hold an item; all columns stay."""
+    p = free_prefix(docs)
+    return docs.withColumn(f"{p}leaks", leaks_column(benchmark, **params)).filter(F.size(f"{p}leaks") == 0).drop(f"{p}leaks")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """(doc_id, item_id, bm25, question_overlap, answer_overlap) for every leak of an item into a document."""
     rows = docs.select("doc_id", F.explode(leaks_column(benchmark, **params)).alias("l"))

@@ -17,7 +17,7 @@ Defined cases: null and empty texts have the shape of an empty document and are
 scored as such; labels with a null flag, or without a document, are not used;
 several labels of one document count once, by the worst grade; without any
 label every tail probability is 1, so nothing is rejected; repeated rows score
-alike; other columns pass through untouched.
+alike; other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from adagium.llm.common import words_of
+from adagium.llm.common import free_prefix, words_of
 from adagium.llm.quality_rules import text_stats
 
 BITS = 19
@@ -169,8 +169,10 @@ def scorer(spark, model, keep_from: int = KEEP_FROM):
     return F.pandas_udf(score, SCORE, F.PandasUDFType.SCALAR_ITER)
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = 0.5, keep_from: int = KEEP_FROM) -> DataFrame:
-    """docs with column __quality (struct of SCORE and kept), model trained on labels."""
+def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = 0.5, keep_from: int = KEEP_FROM, out: str = "__quality") -> DataFrame:
+    """docs with column ``out`` (struct of SCORE and kept; it replaces one of that name), model trained on labels."""
     model = fit(training_rows(docs, grades(labels), max_rows))
-    score = scorer(docs.sparkSession, model, keep_from)(F.col("text"))
-    return docs.withColumn("__score", score).withColumn("__quality", F.struct("__score.expected_grade", "__score.tail_probability", (F.col("__score.tail_probability") >= threshold).alias("kept"))).drop("__score")
+    p = free_prefix(docs)
+    scored = docs.withColumn(f"{p}score", scorer(docs.sparkSession, model, keep_from)(F.col("text")))
+    verdict = F.struct(f"{p}score.expected_grade", f"{p}score.tail_probability", (F.col(f"{p}score.tail_probability") >= threshold).alias("kept"))
+    return scored.withColumn(out, verdict).drop(f"{p}score")

@@ -19,7 +19,8 @@ Defined cases: null and empty texts have no words; documents shorter than a
 window keep all; rows without doc_id count as one document after all others;
 rows that share a doc_id count as the same document, so windows at the same
 start of two such rows don't remove each other; an empty table gives no rows.
-Other columns pass through; only names that start with ``__`` are reserved.
+Other columns pass through, whatever their names, but for those named as the
+three that are added: these are replaced.
 """
 
 from __future__ import annotations
@@ -114,15 +115,14 @@ def _candidates(chunk: Chunk, levels: list[int], answers: dict[tuple[int, int],
     raise AssertionError
 
 
-def _load(pdf, buckets):
-    ids = [None if i != i or i is None else int(i) for i in pdf["__id"].astype(object)]
+def _load_lists(ids: list, texts: list, buckets: int) -> tuple[list[int], Chunk]:
+    """The order by doc_id, and the chunk in it."""
     order = sorted(range(len(ids)), key=lambda k: LAST_ID if ids[k] is None else ids[k])
-    pdf = pdf.iloc[order].reset_index(drop=True)
-    return pdf, Chunk([ids[k] for k in order], list(pdf["__text"]), buckets)
+    return order, Chunk([ids[k] for k in order], [texts[k] for k in order], buckets)
 
 
 def _answers(pdf) -> dict:
-    return {(int(r[1]), int(r[2])): r[3] for r in pdf[["chunk", "level", "bucket", "bits"]].itertuples(index=False)}
+    return {(int(r[0]), int(r[1])): r[2] for r in pdf[["level", "bucket", "bits"]].itertuples(index=False)}
 
 
 def _ask(levels: list[int], final: bool, buckets: int):
@@ -131,7 +131,8 @@ def _ask(levels: list[int], final: bool, buckets: int):
 
     def run(pdf, answers=None):
         number = int(pdf["__chunk"].iloc[0]) if len(pdf) else 0
-        pdf, chunk = _load(pdf, buckets)
+        ids = [None if i is None or i != i else int(i) for i in pdf["__id"].astype(object)]
+        _, chunk = _load_lists(ids, list(pdf["__text"]), buckets)
         cand = _candidates(chunk, levels, answers or {})
         rows = []
         if not final:
@@ -222,37 +223,43 @@ def _asked(docs: DataFrame, replies: DataFrame | None, levels: list[int], final:
     return sent.groupBy("bucket").applyInPandas(_reply(final), BITS)
 
 
-def _chunked(docs: DataFrame, id_col: str, text_col: str, chunk_chars: int) -> DataFrame:
+def _chunked(docs: DataFrame, id_col: str, text_col: str, chunk_chars: int, others: list[str] = []) -> DataFrame:
+    """__id, __text, __chunk, and the other columns under the names c0, c1, ..., so that no name clashes."""
     n = chunk_count(docs, text_col, chunk_chars)
-    plain = docs.withColumns({"__id": F.col(id_col).cast("long"), "__text": F.col(text_col)})
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
     return plain.withColumn("__chunk", text_chunk(n, "__id", "__text"))
 
 
-def dedup(docs: DataFrame, window: int = 20, start: int = 10, id_col: str = "doc_id", text_col: str = "text", rewrite: bool = True, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """docs with __n_words, __n_removed, __kept_sha256, and, if rewrite, the text without the removed words.
+def dedup(docs: DataFrame, window: int = 20, start: int = 10, id_col: str = "doc_id", text_col: str = "text", rewrite: bool = True, chunk_chars: int = CHUNK_CHARS, prefix: str = "__") -> DataFrame:
+    """docs with <prefix>n_words, n_removed, kept_sha256, and, if rewrite, the text without the removed words.
 
     A text that loses nothing stays as it is, byte for byte; otherwise the kept
-    stretches are joined by one space.
+    stretches are joined by one space. Without rewrite only the id is kept
+    beside the three. The other columns stay in Arrow, untouched.
     """
-    import pandas as pd
-
     levels, buckets = levels_to(window, start), n_buckets(docs.sparkSession)
-    out_fields = [f for f in docs.schema.fields if rewrite or f.name == id_col]
-    schema = T.StructType([*out_fields, T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__kept_sha256", T.StringType())])
-    names = [f.name for f in out_fields]
-    d = _chunked(docs if rewrite else docs.select(id_col, text_col), id_col, text_col, chunk_chars)
+    stats = [f"{prefix}{c}" for c in ("n_words", "n_removed", "kept_sha256")]
+    fields = [f for f in docs.schema.fields if f.name not in stats and (rewrite or f.name == id_col)]
+    others = [f.name for f in fields if f.name != text_col]
+    d = _chunked(docs, id_col, text_col, chunk_chars, others)
+    narrow = d.select("__id", "__text", "__chunk")
+    schema = T.StructType([*[T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(others)], T.StructField("text", T.StringType()), T.StructField("n", T.LongType()), T.StructField("gone", T.LongType()), T.StructField("sha", T.StringType())])
     replies = None
     for i in range(len(levels)):
-        more = _asked(d, replies, levels[: i + 1], i == len(levels) - 1, buckets)
+        more = _asked(narrow, replies, levels[: i + 1], i == len(levels) - 1, buckets)
         replies = more if replies is None else replies.unionByName(more)
 
-    def clean(pdf, answers):
-        pdf, chunk = _load(pdf, buckets)
-        gone = _covered(chunk, levels, _answers(answers))
+    def clean(left, right):
+        import pyarrow as pa
+
+        order, chunk = _load_lists(left.column("__id").to_pylist(), left.column("__text").to_pylist(), buckets)
+        left = left.take(pa.array(order, type=pa.int64()))
+        answers = {(r["level"], r["bucket"]): r["bits"] for r in right.select(["level", "bucket", "bits"]).to_pylist()}
+        lost_words = _covered(chunk, levels, answers)
         raw, starts, ends = chunk.words.raw, chunk.words.starts, chunk.words.ends
         rows = []
-        for a, z, text in zip(chunk.first[:-1].tolist(), chunk.first[1:].tolist(), pdf["__text"]):
-            lost = gone[a:z]
+        for a, z, text in zip(chunk.first[:-1].tolist(), chunk.first[1:].tolist(), left.column("__text").to_pylist()):
+            lost = lost_words[a:z]
             n = int(lost.sum())
             keep = np.flatnonzero(~lost) + a
             kept = b" ".join([raw[s:e] for s, e in zip(starts[keep].tolist(), ends[keep].tolist())])
@@ -260,13 +267,16 @@ def dedup(docs: DataFrame, window: int = 20, start: int = 10, id_col: str = "doc
                 cut = np.flatnonzero(np.diff(keep) > 1)
                 lo, hi = keep[np.concatenate([[0], cut + 1])] if len(keep) else keep, keep[np.append(cut, len(keep) - 1)] if len(keep) else keep
                 text = b" ".join(raw[starts[x] : ends[y]] for x, y in zip(lo.tolist(), hi.tolist())).decode("utf-8", "surrogatepass")
-            rows.append((text, z - a, n, hashlib.sha256(kept).hexdigest()))
-        new = pd.DataFrame(rows, columns=["t", "__n_words", "__n_removed", "__kept_sha256"])
-        if rewrite:
-            pdf[text_col] = new["t"]
-        return pd.concat([pdf[names], new[["__n_words", "__n_removed", "__kept_sha256"]]], axis=1)
+            rows.append((text if rewrite else None, z - a, n, hashlib.sha256(kept).hexdigest()))
+        text, n, gone, sha = zip(*rows) if rows else ((), (), (), ())
+        new = [pa.array(text, type=pa.string()), pa.array(n, type=pa.int64()), pa.array(gone, type=pa.int64()), pa.array(sha, type=pa.string())]
+        own = [left.column(f"c{i}") for i in range(len(others))]
+        return pa.table([*own, *new], names=[*[f"c{i}" for i in range(len(others))], "text", "n", "gone", "sha"])
 
-    return d.groupBy("__chunk").cogroup(replies.groupBy("chunk")).applyInPandas(clean, schema)
+    # The narrow and the full rows are dealt by the same plan below; where no other column is asked for, the exchange is shared.
+    out = d.groupBy("__chunk").cogroup(replies.groupBy("chunk")).applyInArrow(clean, schema)
+    back = {c: F.col(f"c{i}") for i, c in enumerate(others)} | {text_col: F.col("text")}
+    return out.select(*[back[f.name].alias(f.name) for f in fields], *[F.col(k).alias(v) for k, v in zip(("n", "gone", "sha"), stats)])
 
 
 def repeat_lengths(docs: DataFrame, start: int = 10, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> list[tuple[int, int]]:
@@ -275,7 +285,7 @@ def repeat_lengths(docs: DataFrame, start: int = 10, id_col: str = "doc_id", tex
     Counts come from the sieve, so a count may hold false alarms (about one in 2000).
     """
     buckets = n_buckets(docs.sparkSession)
-    d = _chunked(docs.select(id_col, text_col), id_col, text_col, chunk_chars)
+    d = _chunked(docs, id_col, text_col, chunk_chars)
     levels, replies, out = [start], None, []
     ones = F.udf(lambda raw: int(_flags(bytes(raw)).sum()), "long")
     while True:
