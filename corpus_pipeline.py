@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from adagium.llm import byte_bpe, decontaminate, near_dup, ordinal_quality, substring_dedup
-from adagium.llm.common import materialize, table
+from adagium.llm.common import free_prefix, materialize, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of a good grade reaches one half."""
-    scored = ordinal_quality.classify(docs, table(spark, sf_dir, "labels"))
-    return scored.filter("__quality.kept").select(*[f"`{c}`" for c in docs.columns])
+    p = free_prefix(docs)
+    scored = ordinal_quality.classify(docs, table(spark, sf_dir, "labels"), out=f"{p}quality")
+    return scored.filter(f"{p}quality.kept").drop(f"{p}quality")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +27,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that stand earlier in the corpus; documents of which nothing is left go."""
-    cut = substring_dedup.dedup(docs, window=20, start=10)
-    left = cut.filter("__n_removed < __n_words or __n_words = 0")
+    p = free_prefix(docs)
+    cut = substring_dedup.dedup(docs, window=20, start=10, prefix=p)
+    left = cut.filter(f"{p}n_removed < {p}n_words or {p}n_words = 0")
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return left.select(*[f"`{c}`" for c in docs.columns])
@@ -35,8 +37,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    column = decontaminate.leaks_column(table(spark, sf_dir, "benchmark"))
-    return docs.withColumn("__leaks", column).filter(F.size("__leaks") == 0).select(*[f"`{c}`" for c in docs.columns])
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
