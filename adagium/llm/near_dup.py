@@ -4,20 +4,22 @@ A text is the sequence of its 5-word shingles, each labelled with its
 occurrence number in the text. An Order MinHash sketch takes the ``picks``
 smallest labelled shingles under one hash function and keeps them in text
 order, so two texts share a sketch only if they share these shingles in the
-same order. Texts of fewer than SHORT shingles also send sketches of one. Candidates are verified exactly: the longest common subsequence M of
-both shingle sequences, computed inside the band that the threshold leaves
+same order. Texts of fewer than SHORT shingles also send sketches of one.
+Candidates are verified exactly: the longest common subsequence M of both
+shingle sequences, computed inside the band that the threshold leaves
 (bit-parallel, one machine integer a band), gives M / (n1 + n2 - M), the
 Jaccard similarity of the shingles that align in order. Links of ``threshold``
 or more make classes, numbered by their smallest doc_id.
 
 No pair lists within a group: texts with equal words collapse to one
 representative first; then all members of a sketch bucket are compared with the
-bucket's smallest member, once a pair over all buckets. Only where members stay
-in different classes after that, further members are compared with the rest of
-their bucket, in rounds, until every pair of a bucket is either in one class or
-compared (pairs whose positions in the texts rule out the threshold aside).
-Nothing is capped. Classes are found by large-star and small-star rounds, each
-written to the shared folder.
+bucket's smallest member, once a pair over all buckets. Where members of a
+bucket stay in different classes after that, those outside its largest class are
+compared with all others: in small buckets pair by pair, in larger ones block by
+block, where an index of the block's shingles gives for each asking text a bound
+for every other at once, and only pairs in reach are aligned. So each pair of a
+bucket is in one class, compared, or out of reach; nothing is capped. Classes
+are found by large-star and small-star rounds, written to the shared folder.
 
 Defined cases: null, empty and all-blank texts link to nothing; a text of one
 to four words is one shingle; rows without doc_id link to nothing and have a
@@ -31,7 +33,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from adagium.llm.common import materialize, mix64
+from adagium.llm.common import free_prefix, materialize, mix64
 from adagium.llm.vectext import BASES, Words, span_hashes, window_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -191,6 +193,55 @@ def _verifier(threshold: float):
     return run
 
 
+def _block_verifier(threshold: float):
+    """Links between the asking rows of one block and the rows of another, in one bucket.
+
+    Common labelled shingles, found for a whole block at once, bound the common
+    subsequence; only pairs that can reach the threshold, and that no link found
+    here connects yet, are aligned.
+    """
+
+    def sequence(raw):
+        return shingles(np.frombuffer(raw, dtype=np.uint32).astype(np.uint64))
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            links = []
+            for rows, asks in zip(pdf["rows"], pdf["asks"]):
+                seqs = [sequence(r["seq"]) for r in rows]
+                node, odd = np.array([r["node"] for r in rows]), np.array([r["odd"] for r in rows])
+                of = np.repeat(np.arange(len(rows)), [len(x) for x in seqs])
+                flat = np.concatenate([labelled(x) for x in seqs])
+                order = np.argsort(flat)
+                flat, of = flat[order], of[order]
+                size = np.array([len(x) for x in seqs])
+                up: dict = {}
+
+                def root(x, up=up):
+                    while up.get(x, x) != x:
+                        x = up[x]
+                    return x
+
+                for q in asks:
+                    own = sequence(q["seq"])
+                    lab = labelled(own)
+                    lo, hi = np.searchsorted(flat, lab, "left"), np.searchsorted(flat, lab, "right")
+                    n = hi - lo
+                    hit = of[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                    common = np.bincount(hit, minlength=len(rows))
+                    able = (common * (1 + threshold) >= threshold * (size + len(own)) - 1e-6) & (~odd | (node < q["node"]))
+                    for i in np.flatnonzero(able).tolist():
+                        x, y = root(rows[i]["comp"]), root(q["comp"])
+                        if x != y and aligned(own, seqs[i], threshold) >= threshold - 1e-12:
+                            links.append((max(node[i], q["node"]), min(node[i], q["node"])))
+                            up[max(x, y)] = min(x, y)
+            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def components(edges: DataFrame, label: str = "edges") -> DataFrame:
     """(node, comp) for every node of edges(a, b), comp the smallest node: large-star and small-star until stars are left."""
     e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), label)
@@ -215,7 +266,7 @@ def _fits(n1: Column, f1: Column, l1: Column, n2: Column, f2: Column, l2: Column
     return most * (1 + threshold) >= threshold * (n1 + n2) - 1e-6
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, at_once: int = 16) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = THRESHOLD, small_bucket: int = 48, block_rows: int = 512) -> DataFrame:
     """(doc_id, class_id, copy_of) of every row of docs(doc_id, text): class_id the smallest doc_id of its class, copy_of the smallest with equal words."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sk = materialize(source.mapInPandas(_sketch, SKETCH), "sketches")
@@ -237,29 +288,27 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, at_once: int = 16) ->
         return materialize(both.mapInPandas(_verifier(threshold), "a long, b long"), "links")
 
     near = members.filter(c("node") != c("lead.node")).filter(_fits(c("n"), c("f"), c("l"), c("lead.n"), c("lead.f"), c("lead.l"), threshold))
-    links = verified(near.select(c("node").alias("a"), c("lead.node").alias("b")).distinct())
+    starred = materialize(near.select(c("node").alias("a"), c("lead.node").alias("b")).distinct(), "pairs")
+    links = verified(starred)
     comp = components(links)
-    waiting = members.filter(c("node") != c("lead.node")).select("key", "node", "n", "f", "l")
-    rounds = 0
-    while True:
-        named = materialize(waiting.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "named")
-        span = materialize(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", "lo"), "spans")
-        named = materialize(named.join(span, "key"), "waiting")
-        if named.isEmpty():
-            break
-        # Members outside the first class of their bucket take turns: at most about at_once of them a bucket and round, more each round.
-        turn = at_once << (2 * rounds)
-        odd = materialize(named.filter("comp <> lo").groupBy("key").agg(F.count("*").alias("odd"), F.min("node").alias("least")), "odd")
-        named = named.join(odd, "key").withColumn("asks", (c("comp") != c("lo")) & ((c("node") == c("least")) | (F.pmod(F.xxhash64("node", F.lit(rounds)), c("odd")) < turn)))
-        asks = named.filter("asks").select(c("key").alias("q_key"), *[c(x).alias(f"q_{x}") for x in ("node", "n", "f", "l", "comp")])
-        on = (c("key") == c("q_key")) & (c("comp") != c("q_comp")) & (~c("asks") | (c("node") < c("q_node"))) & _fits(c("n"), c("f"), c("l"), c("q_n"), c("q_f"), c("q_l"), threshold)
-        pairs = named.join(asks, on).select(F.greatest("node", "q_node").alias("a"), F.least("node", "q_node").alias("b")).filter("a <> b").distinct()
-        found = verified(pairs)
-        waiting = materialize(named.filter("not asks").select("key", "node", "n", "f", "l"), "waiting")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            comp = components(links)
-        rounds += 1
+    # Whatever still stands in different classes of one bucket is compared there: the members outside its largest class with all others.
+    named = materialize(members.select("key", "node", "n", "f", "l").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "named")
+    sizes = named.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    span = materialize(sizes.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("parts"), F.sum("k").alias("m")).filter("parts > 1").select("key", "m", c("top.comp").alias("most")), "spans")
+    waiting = materialize(named.join(span, "key").withColumn("odd", c("comp") != c("most")).drop("most"), "waiting")
+    small, large = waiting.filter(c("m") <= small_bucket), waiting.filter(c("m") > small_bucket)
+    asks = small.filter("odd").select(c("key").alias("q_key"), *[c(x).alias(f"q_{x}") for x in ("node", "n", "f", "l", "comp")])
+    on = (c("key") == c("q_key")) & (c("comp") != c("q_comp")) & (~c("odd") | (c("node") < c("q_node"))) & _fits(c("n"), c("f"), c("l"), c("q_n"), c("q_f"), c("q_l"), threshold)
+    pairs = small.join(asks, on).select(F.greatest("node", "q_node").alias("a"), F.least("node", "q_node").alias("b")).distinct()
+    found = verified(pairs.join(starred, ["a", "b"], "left_anti"))
+    block = F.pmod(F.xxhash64("node"), F.ceil(c("m") / block_rows)).alias("block")
+    rows = large.join(seqs.withColumnRenamed("doc_id", "node"), "node").select("key", block, F.struct("node", "comp", "odd", "seq").alias("r"))
+    blocks = materialize(rows.groupBy("key", "block").agg(F.collect_list("r").alias("rows")), "blocks")  # about block_rows rows a group
+    theirs = blocks.select(c("key").alias("q_key"), F.filter("rows", lambda r: r["odd"]).alias("asks")).filter(F.size("asks") > 0)
+    met = blocks.join(theirs, c("key") == c("q_key")).select("rows", "asks")
+    found = found.unionByName(materialize(met.mapInPandas(_block_verifier(threshold), "a long, b long").distinct(), "links"))
+    if not found.isEmpty():
+        comp = components(links.unionByName(found))
     of = reps.withColumnsRenamed({"h1": "r1", "h2": "r2"})
     out = sk.select("doc_id", "h1", "h2", "n").join(of, (c("h1") == c("r1")) & (c("h2") == c("r2")) & (c("n") > 0) & c("doc_id").isNotNull(), "left")
     out = out.select("doc_id", F.coalesce("rep", "doc_id").alias("copy_of")).join(comp.withColumnRenamed("node", "copy_of"), "copy_of", "left")
@@ -268,7 +317,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, at_once: int = 16) ->
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each class, its first; rows without words or doc_id stay; equal texts of one doc_id become one row."""
-    gone = classes(docs, threshold).filter("class_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    kept = kept.withColumns({"__h": F.xxhash64("text"), "__n": F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())})
-    return kept.dropDuplicates(["doc_id", "__h", "__n"]).select(*[f"`{x}`" for x in docs.columns])
+    p = free_prefix(docs)
+    gone = classes(docs, threshold).filter("class_id <> doc_id").select(F.col("doc_id").alias(f"{p}gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == gone[f"{p}gone"], "left_anti")
+    kept = kept.withColumns({f"{p}h": F.xxhash64("text"), f"{p}n": F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())})
+    return kept.dropDuplicates(["doc_id", f"{p}h", f"{p}n"]).select(*[f"`{x}`" for x in docs.columns])
