@@ -10,19 +10,20 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from adagium.functions import fixed
 
 SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode normal form C."""
     return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(s: pd.Series) -> pd.Series:
     """Normal form C, case-folded (the Unicode folding, not lower-casing)."""
     return s.map(lambda t: t if t is None else t.lower() if t.isascii() else unicodedata.normalize("NFC", t).casefold())
