@@ -78,6 +78,6 @@ QUERIES = {f.__name__: f for f in (op1_html_text, op2_quality_rules, op3_substri
 
 
 def oracle_sql() -> dict[str, str]:
-    from adagium.llm import url_filter
+    from adagium.llm import oracles
 
-    return {"op10_url_filter": url_filter.oracle()}
+    return oracles.all_sql()

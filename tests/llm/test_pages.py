@@ -169,13 +169,14 @@ def test_bad_host_is_blocked_and_new_host_inherits(spark):
     assert url_filter.filter_urls(pages(spark, rows).limit(0), good).count() == 0
 
 
-def test_url_oracle(spark):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     sf = "/root/testdata/sf0.01"
-    for t in ("pages", "labels"):
+    for t in ("pages", "labels", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
-    want = con.execute(url_filter.oracle()).df()
-    got = queries.op10_url_filter(spark, sf).toPandas()
+    want = con.execute(queries.oracle_sql()[name]).df()
+    got = queries.QUERIES[name](spark, sf).toPandas()
     cols = sorted(want.columns)
     key = lambda df: sorted(map(str, df[cols].astype(object).where(df[cols].notna(), None).itertuples(index=False, name=None)))
     assert sorted(got.columns) == cols and key(got) == key(want)
