@@ -26,13 +26,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that stand earlier in the corpus; documents of which nothing is left go."""
+    """Texts without passages that stand earlier in the corpus; every document stays, if with an empty text."""
     p = free_prefix(docs)
     cut = substring_dedup.dedup(docs, window=20, start=10, prefix=p)
-    left = cut.filter(f"{p}n_removed < {p}n_words or {p}n_words = 0")
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return left.select(*[f"`{c}`" for c in docs.columns])
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*[f"`{c}`" for c in docs.columns])
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
