@@ -240,10 +240,11 @@ def dedup(docs: DataFrame, window: int = 20, start: int = 10, id_col: str = "doc
     levels, buckets = levels_to(window, start), n_buckets(docs.sparkSession)
     stats = [f"{prefix}{c}" for c in ("n_words", "n_removed", "kept_sha256")]
     fields = [f for f in docs.schema.fields if f.name not in stats and (rewrite or f.name == id_col)]
-    others = [f.name for f in fields if f.name != text_col]
+    whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)  # then __id says it all
+    others = [f.name for f in fields if f.name != text_col and not (whole and f.name == id_col)]
     d = _chunked(docs, id_col, text_col, chunk_chars, others)
     narrow = d.select("__id", "__text", "__chunk")
-    schema = T.StructType([*[T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(others)], T.StructField("text", T.StringType()), T.StructField("n", T.LongType()), T.StructField("gone", T.LongType()), T.StructField("sha", T.StringType())])
+    schema = T.StructType([T.StructField("__id", T.LongType()), *[T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(others)], T.StructField("text", T.StringType()), T.StructField("n", T.LongType()), T.StructField("gone", T.LongType()), T.StructField("sha", T.StringType())])
     replies = None
     for i in range(len(levels)):
         more = _asked(narrow, replies, levels[: i + 1], i == len(levels) - 1, buckets)
@@ -270,12 +271,12 @@ def dedup(docs: DataFrame, window: int = 20, start: int = 10, id_col: str = "doc
             rows.append((text if rewrite else None, z - a, n, hashlib.sha256(kept).hexdigest()))
         text, n, gone, sha = zip(*rows) if rows else ((), (), (), ())
         new = [pa.array(text, type=pa.string()), pa.array(n, type=pa.int64()), pa.array(gone, type=pa.int64()), pa.array(sha, type=pa.string())]
-        own = [left.column(f"c{i}") for i in range(len(others))]
-        return pa.table([*own, *new], names=[*[f"c{i}" for i in range(len(others))], "text", "n", "gone", "sha"])
+        kept = ["__id", *[f"c{i}" for i in range(len(others))]]
+        return pa.table([*[left.column(c) for c in kept], *new], names=[*kept, "text", "n", "gone", "sha"])
 
-    # The narrow and the full rows are dealt by the same plan below; where no other column is asked for, the exchange is shared.
+    # Without other columns, the narrow rows are all rows, and the texts are shuffled once for all levels.
     out = d.groupBy("__chunk").cogroup(replies.groupBy("chunk")).applyInArrow(clean, schema)
-    back = {c: F.col(f"c{i}") for i, c in enumerate(others)} | {text_col: F.col("text")}
+    back = {id_col: F.col("__id").cast(docs.schema[id_col].dataType)} | {c: F.col(f"c{i}") for i, c in enumerate(others)} | {text_col: F.col("text")}
     return out.select(*[back[f.name].alias(f.name) for f in fields], *[F.col(k).alias(v) for k, v in zip(("n", "gone", "sha"), stats)])
 
 
