@@ -63,8 +63,9 @@ def english_words(c: Column, least: int = 3) -> Column:
 def english_fraction(c: Column, lexicon: list[str] | Column) -> Column:
     """T4: share of English tokens found in the lexicon, 0 with fewer than two tokens."""
     words = english_words(c)
-    known = F.array(*map(F.lit, lexicon)) if isinstance(lexicon, list) else lexicon
-    hits = F.size(F.filter(words, lambda w: F.array_contains(known, w)))
+    # A literal list becomes a hash set; a column is searched.
+    known = (lambda w: w.isin(*lexicon)) if isinstance(lexicon, list) else (lambda w: F.array_contains(lexicon, w))
+    hits = F.size(F.filter(words, known))
     return F.when(F.size(words) >= 2, hits / F.size(words)).otherwise(F.lit(0.0))
 
 
