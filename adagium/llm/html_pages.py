@@ -7,8 +7,7 @@ shapes and a small set of stock phrases tell main text from the rest.
 from __future__ import annotations
 
 import html
-
-import numpy as np
+import random
 
 SYLLABLES = "an ar at be ca che co da de di do el en er es et fa ge ha he in is it ka la le li lo ma me mi na ne no on or ou pa pe po qu ra re ri ro sa se si so ta te th ti to tra un ur va ve vi wa za eau été ión ñar sch ung keit öl ßen über łó ão çan".split()
 #: Stock phrases of page furniture; X stands for a random word.
@@ -41,19 +40,23 @@ ELEMENTS = {"menu": ["nav", "nav", "div", "ul"], "header": ["header", "header",
 
 
 class Maker:
-    def __init__(self, rng):
-        self.rng = rng
-        self.syllables = rng.choice(SYLLABLES, 18, replace=False)
+    def __init__(self, seed: str):
+        self.rng = random.Random(seed)
+        self.syllables = self.rng.sample(SYLLABLES, 18)
         self.main: set[str] = set()
 
     def one(self, items):
-        return items[int(self.rng.integers(len(items)))]
+        return items[int(self.rng.random() * len(items))]
+
+    def between(self, low: int, high: int) -> int:
+        """low or more, below high."""
+        return low + int(self.rng.random() * (high - low))
 
     def chance(self, p: float) -> bool:
         return self.rng.random() < p
 
     def word(self) -> str:
-        return "".join(self.one(self.syllables) for _ in range(int(self.rng.integers(1, 5))))
+        return "".join(self.one(self.syllables) for _ in range(self.between(1, 5)))
 
     def words(self, n: int, marks: bool = True) -> str:
         out = [self.word() for _ in range(n)]
@@ -71,24 +74,24 @@ class Maker:
         """Main text that doesn't look like prose."""
         w = self.word()
         return self.one([
-            lambda: f"{w.capitalize()} " + f"{self.word()} " * int(self.rng.integers(1, 4)) + (self.word() + " ") * int(self.rng.integers(3, 90)),
-            lambda: " | ".join(self.word() for _ in range(int(self.rng.integers(1, 30)))) + " |",
-            lambda: self.words(int(self.rng.integers(1, 12))).upper() + "!!",
+            lambda: f"{w.capitalize()} " + f"{self.word()} " * self.between(1, 4) + (self.word() + " ") * self.between(3, 90),
+            lambda: " | ".join(self.word() for _ in range(self.between(1, 30))) + " |",
+            lambda: self.words(self.between(1, 12)).upper() + "!!",
             lambda: w.capitalize() + ".",
-            lambda: (self.one([w, "The", "In", "We", "All"]).capitalize() + " ") * int(self.rng.integers(3, 60)),
+            lambda: (self.one([w, "The", "In", "We", "All"]).capitalize() + " ") * self.between(3, 60),
             lambda: f"{w[:2].capitalize()}. {self.word().capitalize()}.",
-            lambda: self.words(int(self.rng.integers(2, 7))) + ".",
-            lambda: f"{int(self.rng.integers(1, 99999))} {w} {int(self.rng.integers(1, 99))}",
+            lambda: self.words(self.between(2, 7)) + ".",
+            lambda: f"{self.between(1, 99999)} {w} {self.between(1, 99)}",
         ])().strip()
 
     def prose(self) -> str:
         if self.chance(0.1):
             return self.odd()
         kind = self.rng.random()
-        n = int(self.rng.integers(1, 6)) if kind < 0.15 else int(self.rng.integers(6, 60)) if kind < 0.7 else int(self.rng.integers(60, 300))
+        n = self.between(1, 6) if kind < 0.15 else self.between(6, 60) if kind < 0.7 else self.between(60, 300)
         out, left = [], n
         while left > 0:
-            k = min(left, int(self.rng.integers(3, 16)))
+            k = min(left, self.between(3, 16))
             out.append(self.words(k) + self.one([".", ".", ".", "?", "!", ""]))
             left -= k
         return " ".join(out)
@@ -108,7 +111,7 @@ class Maker:
         tag = self.one(ELEMENTS[kind])
         certain = tag in ("nav", "header", "footer", "form", "aside")
         attr = self.named(kind, 0.5 if certain else 1.0)
-        n = 1 if kind in ("notice", "ad") and self.chance(0.7) else int(self.rng.integers(1, 8))
+        n = 1 if kind in ("notice", "ad") and self.chance(0.7) else self.between(1, 8)
         items = [html.escape(self.phrase(kind), quote=False) for _ in range(n)]
         link = {"menu": 0.95, "share": 0.9, "side": 0.6, "footer": 0.4, "header": 0.5}.get(kind, 0.15)
         items = [f'<a href="/{self.word()}">{x}</a>' if self.chance(link) else x for x in items]
@@ -125,15 +128,15 @@ class Maker:
         else:
             inner = self.one(["".join(f"<p>{x}</p>" for x in items), "".join(f"<div>{x}</div>" for x in items), " ".join(items)])
         if kind in ("side", "comment", "menu") and self.chance(0.3):
-            inner = f"<h{int(self.rng.integers(2, 5))}>{html.escape(self.phrase(kind), quote=False)}</h3>" + inner
+            inner = f"<h{self.between(2, 5)}>{html.escape(self.phrase(kind), quote=False)}</h3>" + inner
         return f"<{tag}{attr}>{inner}</{tag}>"
 
     def kept(self, text: str) -> str:
         """Markup of a block of main text; its text is noted."""
         self.main.add(" ".join(text.split()))
         parts = text.split(" ")
-        for _ in range(int(self.rng.integers(0, 3))):
-            i = int(self.rng.integers(len(parts)))
+        for _ in range(self.between(0, 3)):
+            i = self.between(0, len(parts))
             t = self.one(["b", "i", "em", "strong", "span", 'a href="/x"', "code"])
             parts[i] = f"\0{t}\1{parts[i]}\0/{t.split(' ')[0]}\1"
         return html.escape(" ".join(parts), quote=False).replace("\0", "<").replace("\1", ">")
@@ -141,20 +144,20 @@ class Maker:
     def body(self) -> str:
         out = []
         if self.chance(0.85):
-            title = self.odd() if self.chance(0.15) else self.words(int(self.rng.integers(1, 14)), False) + self.one(["", "", "."])
+            title = self.odd() if self.chance(0.15) else self.words(self.between(1, 14), False) + self.one(["", "", "."])
             out.append(f"<h1>{self.kept(title)}</h1>")
-        n = int(self.rng.integers(1, 9)) if self.chance(0.85) else int(self.rng.integers(9, 60))
+        n = self.between(1, 9) if self.chance(0.85) else self.between(9, 60)
         for _ in range(n):
             r = self.rng.random()
             if r < 0.74:
                 x = self.kept(self.prose())
                 out.append(self.one([f"<p>{x}</p>", f"<p>{x}</p>", f"<p>{x}</p>", f"<p><b>{x}<br>", f"<p>{x}", f"<div>{x}</div>"]))
             elif r < 0.82:
-                k = int(self.rng.integers(2, 4))
-                out.append(f"<h{k}>{self.kept(self.words(int(self.rng.integers(1, 8)), False))}</h{k}>")
+                k = self.between(2, 4)
+                out.append(f"<h{k}>{self.kept(self.words(self.between(1, 8), False))}</h{k}>")
             elif r < 0.88:
                 t = self.one(["ul", "ol"])
-                out.append(f"<{t}>" + "".join(f"<li>{self.kept(self.words(int(self.rng.integers(2, 20))))}</li>" for _ in range(int(self.rng.integers(2, 6)))) + f"</{t}>")
+                out.append(f"<{t}>" + "".join(f"<li>{self.kept(self.words(self.between(2, 20)))}</li>" for _ in range(self.between(2, 6))) + f"</{t}>")
             elif r < 0.91:
                 out.append(f"<blockquote><p>{self.kept(self.prose())}</p></blockquote>")
             elif r < 0.93:
@@ -171,28 +174,28 @@ class Maker:
         return inner
 
 
-def page(rng) -> tuple[str, set[str]]:
+def page(seed: str) -> tuple[str, set[str]]:
     """(html, texts of its main blocks) of one generated page."""
-    m = Maker(rng)
+    m = Maker(seed)
     m.noisy = m.chance(0.08)
-    style = rng.random()
+    style = m.rng.random()
     body = m.body()
     if style < 0.45:
         article = f"<article{m.named('main', 0.3)}>{body}</article>"
     elif style < 0.6:
-        article = f"<main>{m.wrap(body, int(rng.integers(0, 2)))}</main>"
+        article = f"<main>{m.wrap(body, m.between(0, 2))}</main>"
     elif style < 0.9:
         article = f'<div {m.one(["class", "id"])}="{m.one(NAMES["main"])}">{body}</div>'
     else:
-        article = m.wrap(body, int(rng.integers(0, 3)))
+        article = m.wrap(body, m.between(0, 3))
     before = [m.furniture(k) for k in ("notice", "header", "menu", "ad", "form", "menu", "side") if m.chance(0.4)]
     after = [m.furniture(k) for k in ("share", "form", "comment", "side", "ad", "menu", "footer", "notice") if m.chance(0.4)]
     if m.chance(0.4):
         before = [m.furniture("menu"), m.furniture("ad")]
     if m.chance(0.4):
         after = [m.furniture("footer")]
-    inside = m.wrap("".join([*before, article, *after]), int(rng.integers(0, 3)))
+    inside = m.wrap("".join([*before, article, *after]), m.between(0, 3))
     if m.chance(0.3):
-        inside = "".join(before) + m.wrap(article, int(rng.integers(0, 3))) + "".join(after)
+        inside = "".join(before) + m.wrap(article, m.between(0, 3)) + "".join(after)
     head = f'<!DOCTYPE html><html><head><title>{m.words(4)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>'
     return head + inside + ("</body></html>" if m.chance(0.9) else ""), m.main

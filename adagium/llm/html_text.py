@@ -174,16 +174,16 @@ class Inputs:
         self.shapes = np.stack([np.log1p(n) / 6, np.array([b[2] for b in flat]), ends, digits, marks, depth], axis=1) if flat else np.zeros((0, SHAPES))
 
     def vectors(self, model) -> np.ndarray:
-        n = len(self.shapes)
-        path, word = np.zeros((n, PATH_DIM)), np.zeros((n, WORD_DIM))
+        n, kind = len(self.shapes), model["path"].dtype
+        path, word = np.zeros((n, PATH_DIM), kind), np.zeros((n, WORD_DIM), kind)
         if n:
             lead = np.flatnonzero(np.diff(self.path_of, prepend=-1))
             path = np.add.reduceat(model["path"][self.paths], lead, axis=0)
             if len(self.words):
                 lead = np.flatnonzero(np.diff(self.word_of, prepend=-1))
                 word[self.word_of[lead]] = np.add.reduceat(model["word"][self.words], lead, axis=0)
-                word *= (self.told / np.maximum(np.bincount(self.word_of, minlength=n), 1))[:, None]
-        return np.concatenate([path, word, self.shapes], axis=1)
+                word *= (self.told / np.maximum(np.bincount(self.word_of, minlength=n), 1))[:, None].astype(kind)
+        return np.concatenate([path, word, self.shapes.astype(kind)], axis=1)
 
 
 def new_model(rng) -> dict[str, np.ndarray]:
@@ -204,7 +204,7 @@ def _padded(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     longest, k = int(sizes.max()), len(sizes)
     page = np.repeat(np.arange(k), sizes)
     place = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out, mask = np.zeros((longest, k, x.shape[1])), np.zeros((longest, k, 1))
+    out, mask = np.zeros((longest, k, x.shape[1]), x.dtype), np.zeros((longest, k, 1), x.dtype)
     out[place, page], mask[place, page] = x, 1
     return out, mask
 
@@ -212,8 +212,8 @@ def _padded(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _run(model, x, mask, d: str, keep: bool = False):
     """Hidden states of one direction; the state stands still where the mask is 0."""
     steps, k, _ = x.shape
-    h, c = np.zeros((k, HIDDEN_DIM)), np.zeros((k, HIDDEN_DIM))
-    out, tape = np.zeros((steps, k, HIDDEN_DIM)), []
+    h, c = np.zeros((2, k, HIDDEN_DIM), x.dtype)
+    out, tape = np.zeros((steps, k, HIDDEN_DIM), x.dtype), []
     n = HIDDEN_DIM
     fixed = x @ model[f"w{d}"][:INPUT] + model[f"c{d}"]
     inner = model[f"w{d}"][INPUT:]
@@ -254,7 +254,7 @@ def probabilities(model, inputs: Inputs) -> np.ndarray:
 def _gradients(model, inputs: Inputs, labels: np.ndarray) -> tuple[dict, float]:
     x = inputs.vectors(model)
     px, mask = _padded(x, inputs.sizes)
-    y, _ = _padded(labels[:, None], inputs.sizes)
+    y, _ = _padded(labels[:, None].astype(x.dtype), inputs.sizes)
     n = HIDDEN_DIM
     runs = {d: _run(model, px, mask, d, True) for d in ("f", "b")}
     z = runs["f"][0] @ model["out"][:n] + runs["b"][0] @ model["out"][n:] + model["bias"]
@@ -267,7 +267,7 @@ def _gradients(model, inputs: Inputs, labels: np.ndarray) -> tuple[dict, float]:
     for d, w_out in (("f", model["out"][:n]), ("b", model["out"][n:])):
         w = model[f"w{d}"]
         gw, gc = np.zeros_like(w), np.zeros(4 * n)
-        dh, dc = np.zeros((px.shape[1], n)), np.zeros((px.shape[1], n))
+        dh, dc = np.zeros((2, px.shape[1], n), px.dtype)
         for t, h0, c0, i, f, o, gg, th in reversed(runs[d][1]):
             m = mask[t]
             dh = dh + dz[t][:, None] * w_out
@@ -284,7 +284,7 @@ def _gradients(model, inputs: Inputs, labels: np.ndarray) -> tuple[dict, float]:
     flat = dx.transpose(1, 0, 2)[mask[:, :, 0].T > 0]
     g["path"], g["word"] = np.zeros_like(model["path"]), np.zeros_like(model["word"])
     np.add.at(g["path"], inputs.paths, flat[inputs.path_of, :PATH_DIM])
-    share = flat[:, PATH_DIM : PATH_DIM + WORD_DIM] * (inputs.told / np.maximum(np.bincount(inputs.word_of, minlength=len(flat)), 1))[:, None]
+    share = flat[:, PATH_DIM : PATH_DIM + WORD_DIM] * (inputs.told / np.maximum(np.bincount(inputs.word_of, minlength=len(flat)), 1))[:, None].astype(flat.dtype)
     np.add.at(g["word"], inputs.words, share[inputs.word_of])
     return g, loss
 
@@ -298,10 +298,11 @@ def train_model(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 11)
     from adagium.llm.html_pages import page
 
     rng = np.random.default_rng(seed)
-    made = [page(np.random.default_rng((seed, k))) for k in range(pages)]
+    made = [page(f"{seed}:{k}") for k in range(pages)]
     cut = [blocks(h) for h, _ in made]
     labels = [np.array([b[0] in main for b in c], dtype=float) for c, (_, main) in zip(cut, made)]
-    model = new_model(rng)
+    lengths = np.array([len(c) for c in cut])
+    model = {k: v.astype(np.float32) for k, v in new_model(rng).items()}
     pages_of = np.zeros(WORDS, dtype=np.int64)
     for c in cut:
         pages_of[np.unique(Inputs([c]).words)] += 1
@@ -310,9 +311,11 @@ def train_model(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 11)
     first, second = ({k: np.zeros_like(v[rows[k]]) for k, v in model.items()} for _ in range(2))
     step = 0
     for epoch in range(epochs):
-        order = rng.permutation(len(cut))
-        for lo in range(0, len(order), 35):
-            own = [i for i in order[lo : lo + 35] if len(cut[i])]
+        # Pages of about the same length share a batch: the recurrence takes as many steps as its longest page.
+        order = np.argsort(lengths * rng.uniform(0.7, 1.4, len(cut)))
+        batches = [order[lo : lo + 35] for lo in range(0, len(order), 35)]
+        for k in rng.permutation(len(batches)):
+            own = [i for i in batches[k] if len(cut[i])]
             inputs = Inputs([cut[i] for i in own])
             inputs.told = rng.random(len(inputs.shapes)) < 0.5  # half of the blocks must do without words
             g, _ = _gradients(model, inputs, np.concatenate([labels[i] for i in own]))
