@@ -7,21 +7,26 @@ most frequent words stand in classes by frequency; every other word of the
 training documents belongs to one of ``RARE`` classes by its ending, and words
 never seen to one more; inside these the probability is the unigram estimate.
 So the model spreads the same mass over the same words as the unigram base.
-
-1. Counts: each batch sends its distinct words to the bucket of their hash;
-   buckets hold the exact counts (the table grows with the vocabulary and stays
-   distributed; only the frequent words, a fixed number, and sums reach the
-   driver).
+This part has a fixed size. It is what the exact counts of all word pairs and
+triples of the training documents fall back on:
+P(w | u) = (c(u, w) + k P(w)) / (c(u) + k) with k = a c(u)**b, an estimate of the
+distinct followers of u, and the same once more for triples over pairs. Each
+level is a distribution if the one below is.
+
+1. Counts: each batch sends its distinct words, pairs and triples to the bucket
+   of their hash; buckets hold the exact counts (the table grows with the words,
+   pairs and triples of the corpus and stays distributed; only the frequent
+   words, a fixed number, and sums reach the driver).
 2. Training: in each round every task takes AdaGrad steps over its share of a
    part of the training documents, from the weights of the round before; the
    weights of a feature are averaged over tasks by how often each met it. The
    rounds' parts are a partition of all training documents. Weights have a
    fixed size and travel as a broadcast.
 3. Scoring: a chunk of whole texts asks the buckets for the counts of its
-   distinct words, and is scored in numpy blocks, sparse features gathering
-   rows of the weight tables.
+   distinct words, pairs and triples, and is scored in numpy blocks, sparse
+   features gathering rows of the weight tables.
 
-Words are told apart by 64-bit hashes. Defined cases: null and empty texts are
+Words, pairs and triples are told apart by 64-bit hashes. Defined cases: null and empty texts are
 the end token alone; a null doc_id counts as the empty text for the split;
 repeated rows count and are scored each; without training documents both scores
 follow from N = V = 0; an empty table gives no rows. Only named columns are
@@ -44,6 +49,7 @@ CONTEXTS = FREQUENT + OTHERS + 1  # the last stands before a text's start
 ROWS = (CONTEXTS, BIGRAMS, CONTEXTS, CONTEXTS)
 BLOCK, RATE, ROUNDS, CHUNK_CHARS = 8192, 0.25, 2, 8 << 20
 END = np.uint64(0xE2D0F7E3)
+BACKOFF = ((4.0, 0.75), (4.0, 0.75))  # a and b of pairs and of triples; the best of five tried on held-out documents of sf0.01
 COUNTS = "bucket int, words binary, counts binary, endings binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 PART_ROWS = 512
@@ -88,8 +94,18 @@ def groups_of(texts, limit: int = 4 << 20):
         yield lo, len(texts)
 
 
+def grams_of(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the pair and the triple that end at each token, and whether there is a triple; END stands before a text."""
+    # Every text is closed by END, so the token before a text's first is END already.
+    pairs = mix64(mix64(np.concatenate([[END], hashes])[: len(hashes)]) + hashes)
+    triples = mix64(np.concatenate([[END], pairs])[: len(hashes)] * np.uint64(0x9E3779B97F4A7C15) + hashes)
+    inner = np.ones(len(hashes), bool)
+    inner[first[:-1]] = False
+    return pairs, triples, inner
+
+
 def _count(buckets: int):
-    """Distinct words of each batch, by bucket."""
+    """Distinct words of each batch, by bucket; its pairs and triples go to as many buckets behind them."""
 
     def run(batches):
         import pandas as pd
@@ -97,9 +113,12 @@ def _count(buckets: int):
         for pdf in batches:
             texts = list(pdf["text"])
             for lo, hi in groups_of(texts, CHUNK_CHARS):
-                h, e, _ = tokens_of(texts[lo:hi])
+                h, e, first = tokens_of(texts[lo:hi])
                 words, at, n = np.unique(h, return_index=True, return_counts=True)
                 yield pd.DataFrame(list(_by_bucket(buckets, words, n.astype(np.uint32), e[at])), columns=["bucket", "words", "counts", "endings"])
+                pairs, triples, inner = grams_of(h, first)
+                grams, n = np.unique(np.concatenate([pairs, triples[inner]]), return_counts=True)
+                yield pd.DataFrame([(b + buckets, w, c, None) for b, w, c in _by_bucket(buckets, grams, n.astype(np.uint32))], columns=["bucket", "words", "counts", "endings"])
 
     return run
 
@@ -114,15 +133,16 @@ def _by_bucket(buckets, words, *others):
 
 
 def _sum(pdf):
-    """The counts of one bucket's words, sorted by word."""
+    """The counts of one bucket's words or grams, sorted."""
     import pandas as pd
 
     w = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in pdf["words"]])
     n = np.concatenate([unpack(x) for x in pdf["counts"]]).astype(np.int64)
-    e = np.concatenate([unpack(x) for x in pdf["endings"]])
-    words, at, inverse = np.unique(w, return_index=True, return_inverse=True)
-    total = np.bincount(inverse, weights=n, minlength=len(words)).astype(np.int64)  # exact below 2**53
-    return pd.DataFrame([(int(pdf["bucket"].iloc[0]), words.tobytes(), total.tobytes(), e[at].tobytes())], columns=["bucket", "words", "counts", "endings"])
+    order = np.argsort(w, kind="stable")
+    w = w[order]
+    at = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+    e = None if pdf["endings"].iloc[0] is None else np.concatenate([unpack(x) for x in pdf["endings"]])[order[at]].tobytes()
+    return pd.DataFrame([(int(pdf["bucket"].iloc[0]), w[at].tobytes(), np.add.reduceat(n[order], at).tobytes(), e)], columns=["bucket", "words", "counts", "endings"])
 
 
 def _stats(batches):
@@ -318,11 +338,11 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> list[np.n
 
 
 def counted(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
-    """The count table of the training documents, and their vocabulary."""
+    """The count table of the training documents (pairs and triples in the upper half of its buckets), and their vocabulary."""
     buckets = n_buckets(docs.sparkSession)
     sent = docs.select("text").mapInPandas(_count(buckets), COUNTS)
     table = materialize(sent.groupBy("bucket").applyInPandas(_sum, COUNTS), "word-counts")
-    stats = table.select("words", "counts", "endings").mapInPandas(_stats, "sums array<double>, sizes array<double>, top array<struct<w: long, n: long, e: int>>")
+    stats = table.filter(F.col("bucket") < buckets).select("words", "counts", "endings").mapInPandas(_stats, "sums array<double>, sizes array<double>, top array<struct<w: long, n: long, e: int>>")
     stats = materialize(stats, "word-stats")
     end = int(END.astype(np.int64))
     best = stats.select(F.explode("top").alias("x")).select("x.*").orderBy((F.col("w") != end), F.desc("n"), "w").limit(FREQUENT).collect()
@@ -332,7 +352,13 @@ def counted(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
     return table, Vocabulary([tuple(r) for r in best], flat[:RARE], flat[RARE:])
 
 
-def score(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def backed_off(p: np.ndarray, count: np.ndarray, history: np.ndarray, a: float, b: float) -> np.ndarray:
+    """Probabilities from the count of each gram and of its history, falling back on p; a history never met leaves p."""
+    k = a * np.maximum(history, 1) ** b
+    return np.where(history > 0, (count + k * p) / (history + k), p)
+
+
+def score(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, backoff=BACKOFF) -> DataFrame:
     """SCORES of every row of docs(doc_id, text), learning from those whose crc32(doc_id as text) mod 5 is not 1."""
     import pandas as pd
 
@@ -347,8 +373,10 @@ def score(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     d = d.withColumn("chunk", text_chunk(n, "doc_id", "text"))
 
     def ask(pdf):
-        h, _, _ = tokens_of(list(pdf["text"]))
+        h, _, first = tokens_of(list(pdf["text"]))
         rows = list(_by_bucket(buckets, np.unique(h)))
+        pairs, triples, inner = grams_of(h, first)
+        rows += [(b + buckets, w) for b, w in _by_bucket(buckets, np.unique(np.concatenate([pairs, triples[inner]])))]
         out = pd.DataFrame(rows, columns=["bucket", "words"])
         out["chunk"] = int(pdf["chunk"].iloc[0])
         return out[["bucket", "chunk", "words"]]
@@ -372,13 +400,20 @@ def score(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
         vocab, weights = shared.value
         texts = list(pdf["text"])
         h, e, first = tokens_of(texts)
+        found = dict(zip(replies["bucket"], replies["counts"]))
+
+        def known_counts(keys, lowest):
+            counts = np.zeros(len(keys), np.int64)
+            of = keys % np.uint64(buckets)
+            order = np.argsort(of, kind="stable")
+            edges = np.searchsorted(of[order], np.arange(buckets + 1, dtype=np.uint64))
+            for b in range(buckets):
+                if edges[b] < edges[b + 1]:
+                    counts[order[edges[b] : edges[b + 1]]] = unpack(found[b + lowest])
+            return counts
+
         words, inverse = np.unique(h, return_inverse=True)
-        counts = np.zeros(len(words), np.int64)
-        of = words % np.uint64(buckets)
-        order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(buckets + 1, dtype=np.uint64))
-        for b, raw in zip(replies["bucket"], replies["counts"]):
-            counts[order[edges[b] : edges[b + 1]]] = unpack(raw)
+        counts = known_counts(words, 0)
         base = np.log10((counts + 0.5) / vocab.z)
         c = counts[inverse]
         ids, features = vocab.events(h, first)
@@ -387,6 +422,14 @@ def score(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
         # Words outside the frequent ones: their share of the class by the unigram estimate.
         share = own - np.log10(vocab.class_mass[np.where(c > 0, CLASSES + e.astype(np.int64), UNSEEN)] / vocab.z)
         lp = lp + np.where(ids >= 0, 0.0, share)
+        pairs, triples, inner = grams_of(h, first)
+        grams, where = np.unique(np.concatenate([pairs, triples[inner]]), return_inverse=True)
+        met = known_counts(grams, buckets)[where]
+        pair, triple = met[: len(h)], np.zeros(len(h), np.int64)
+        triple[inner] = met[len(h) :]
+        # The last token is END, which also stands before the first.
+        p = backed_off(10.0**lp, pair, np.roll(c, 1), *backoff[0])
+        lp = np.log10(backed_off(p, triple, np.where(inner, np.roll(pair, 1), 0), *backoff[1]))
         at = first[:-1]
         known = np.add.reduceat((c > 0).astype(np.int64), at)
         out = pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "held_out": pdf["held_out"].to_numpy(), "n_tokens": np.diff(first), "n_known": known, "train_tokens": vocab.n})

@@ -324,6 +324,18 @@ def test_language_model_is_a_distribution_and_learns(spark):
     assert total == pytest.approx(1, abs=0.02)
 
 
+def test_language_model_keeps_every_pair(spark):
+    """Far more words than the frequent ones: each u<i> is always followed by its v<i>."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"u{k} v{k}" for k in rng.integers(0, 3000, 60)), "en", "s") for i in range(500)]
+    out = maxent_lm.score(frame(spark, rows)).filter("held_out").agg({"score": "sum", "base_score": "sum", "n_tokens": "sum"}).first()
+    assert (out["sum(score)"] - out["sum(base_score)"]) / out["sum(n_tokens)"] > 1.0
+    # Backed-off probabilities after one history add up to 1, and stay as they are after none.
+    p, count = np.array([0.5, 0.25, 0.25]), np.array([3, 0, 1])
+    assert maxent_lm.backed_off(p, count, np.full(3, 4), 4.0, 0.75).sum() == pytest.approx(1)
+    assert (maxent_lm.backed_off(p, count * 0, np.zeros(3), 4.0, 0.75) == p).all()
+
+
 def test_language_model_empty_table(docs):
     assert maxent_lm.score(docs.limit(0)).count() == 0
 
