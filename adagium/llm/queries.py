@@ -16,7 +16,17 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from adagium.llm import quality_rules as q
 
-    out = q.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return _verdicts(q.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
+
+
+def op2_quality_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits that the quartiles alone set."""
+    from adagium.llm import quality_rules as q
+
+    return _verdicts(q.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), bounded=False))
+
+
+def _verdicts(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons")
 
 
@@ -74,7 +84,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.filter_urls(table(spark, sf_dir, "pages"), u.outcomes_of(table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_quality_rules, op3_substring_dedup, op4_warc, op5_decontaminate, op6_near_dup, op7_ordinal_quality, op8_maxent_lm, op9_byte_bpe, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_quality_rules, op2_quality_fences, op3_substring_dedup, op4_warc, op5_decontaminate, op6_near_dup, op7_ordinal_quality, op8_maxent_lm, op9_byte_bpe, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -66,6 +66,23 @@ def test_quality_fences_follow_the_group(spark):
     assert all(got[i] for i in range(100)) and not got[100]
 
 
+def test_quality_fences_without_bounds(spark, sf):
+    """19 symbols per 100 words among texts without any; and the verdicts of the SQL."""
+    import duckdb
+
+    from adagium.llm import oracles, queries
+
+    plain = lambda i: " ".join(f"word{i}x{k}" for k in range(100))
+    odd = " ".join(f"word{k}" + "#" * (k < 19) for k in range(100))
+    docs = frame(spark, [(i, plain(i), "en", "s") for i in range(100)] + [(100, odd, "en", "s")])
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs, bounded=False).collect()}
+    assert all(got[i] for i in range(100)) and not got[100]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    want = con.execute(f"SELECT doc_id, kept, reasons FROM ({oracles.quality_rules(bounded=False)})").fetchall()
+    assert counted(tuple(r) for r in queries.op2_quality_fences(spark, sf).select("doc_id", "kept", "reasons").collect()) == counted(want)
+
+
 def test_sketches_merge(spark, docs):
     stats = quality_rules.document_stats(docs)
     whole = {tuple(r)[:4]: r["n"] for r in quality_rules.quantile_sketches(stats).collect()}
