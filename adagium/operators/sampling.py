@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 
 def draw(key: Column, seed: int | str) -> Column:
@@ -66,33 +66,26 @@ def group_folds(df: DataFrame, group: str, folds: int = 5, seed: int = 42) -> Da
     return df.withColumn("fold", (F.conv(F.substring(draw(F.col(group), seed), 1, 8), 16, 10).cast("long") % folds).cast("int"))
 
 
-def stratified_group_folds(df: DataFrame, group: str, label: str, folds: int = 5, max_groups: int = 1_000_000) -> DataFrame:
-    """Group folds with balanced labels, by greedy assignment of the groups' label counts on the driver.
+def stratified_group_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """Group folds with balanced labels, by one rule at any number of groups.
 
-    Falls back to group_folds beyond max_groups groups, whose table would not be small.
+    Groups in order of their most frequent label, its count, all their label counts and
+    draw() are dealt to the folds to and fro, so groups of like labels spread over all folds.
+    A null group is a group. Ranks come from a distributed sort of one row a group.
     """
-    counts = df.groupBy(group, label).count()
-    if counts.select(group).distinct().count() > max_groups:
-        return group_folds(df, group, folds)
-    labels: dict = {}
-    groups: dict = {}
-    for g, y, n in counts.toLocalIterator():
-        labels.setdefault(y, len(labels))
-        groups.setdefault(g, {})[y] = n
-    total = [[0.0] * len(labels) for _ in range(folds)]
-    size = {y: sum(c.get(y, 0) for c in groups.values()) for y in labels}
-    chosen = []
-    for g, c in sorted(groups.items(), key=lambda kv: (-max(kv[1].values()), str(kv[0]))):
-        def spread(f, c=c):
-            rows = [sum((total[k][labels[y]] + (c.get(y, 0) if k == f else 0)) / size[y] for k in [f]) for y in labels]
-            return (max(rows), sum(total[f]))
-        f = min(range(folds), key=spread)
-        for y, n in c.items():
-            total[f][labels[y]] += n
-        chosen.append((g, f))
-    spark = df.sparkSession
-    table = spark.createDataFrame(chosen, df.select(F.col(group), F.lit(0).alias("fold")).schema)
-    return df.join(table, group)
+    counts = df.groupBy(F.col(group).alias("__g"), F.coalesce(F.col(label).cast("string"), F.lit("")).alias("__y")).agg(F.count("*").alias("__n"))
+    each = F.array_sort(F.collect_list(F.struct("__y", "__n")))  # a group's labels
+    groups = counts.groupBy("__g").agg(F.min(F.struct(-F.col("__n"), F.col("__y"))).alias("__top"), each.alias("__each"))
+    signature = F.array_join(F.transform("__each", lambda x: F.concat(x["__y"], F.lit(":"), x["__n"].cast("string"))), ",")
+    order = groups.select("__g", F.col("__top.__y").alias("__y"), F.col("__top.col1").alias("__n"), signature.alias("__s")).orderBy("__y", "__n", "__s", draw(F.col("__g"), seed), "__g")
+
+    def deal(x):
+        at = x[1] % (2 * folds)
+        return (x[0][0], min(at, 2 * folds - 1 - at))
+
+    schema = T.StructType([T.StructField("__g", groups.schema["__g"].dataType), T.StructField("fold", T.IntegerType())])
+    table = df.sparkSession.createDataFrame(order.select("__g").rdd.zipWithIndex().map(deal), schema)
+    return df.join(table, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
 
 
 def class_folds(df: DataFrame, label: str, key: str, folds: int = 5, seed: int = 42) -> DataFrame:

@@ -221,11 +221,24 @@ def group_folds(spark, d):
     return sampling.group_folds(rows, "g").select("vec_id", F.col("fold").cast("long").alias("fold"))
 
 
+def _stratified(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "label", F.floor(F.col("vec_id") / 3).alias("g"))
+    return sampling.stratified_group_folds(rows, "g", "label")
+
+
+@query("""WITH c AS (SELECT vec_id // 3 AS g, label::VARCHAR AS y, count(*) AS n FROM embeddings GROUP BY 1, 2),
+s AS (SELECT g, first(y ORDER BY n DESC, y) AS y, max(n) AS n, string_agg(concat(y, ':', n), ',' ORDER BY y) AS s FROM c GROUP BY 1),
+r AS (SELECT g, (row_number() OVER (ORDER BY y, n DESC, s, md5(concat(g::VARCHAR, ':42')), g) - 1) % 10 AS i FROM s)
+SELECT vec_id, least(i, 9 - i) AS fold FROM embeddings JOIN r ON g = vec_id // 3""")
+def stratified_folds(spark, d):
+    """D7, stratified."""
+    return _stratified(spark, d).select("vec_id", F.col("fold").cast("long").alias("fold"))
+
+
 @query("SELECT 0::BIGINT AS leaking, count(DISTINCT vec_id // 3) AS groups FROM embeddings")
 def leak_check(spark, d):
-    """D7 (greedy, stratified), J10, V3: no group spans two folds."""
-    rows = table(spark, d, "embeddings").select("vec_id", "label", F.floor(F.col("vec_id") / 3).alias("g"))
-    folds = sampling.stratified_group_folds(rows, "g", "label")
+    """D7 (stratified), J10, V3: no group spans two folds."""
+    folds = _stratified(spark, d)
     bad = sampling.leaks(folds, "g").agg(F.count("*").alias("leaking"))
     return bad.crossJoin(folds.agg(F.count_distinct("g").alias("groups")))  # one row each
 

@@ -164,6 +164,21 @@ def test_samples_and_folds(spark):
     assert sampling.overlap(df.filter("k < 10"), df.filter("k >= 8"), "k").count() == 2
 
 
+def test_stratified_folds_have_one_rule(spark):
+    """No limit of groups switches the rule off, labels balance, the seed counts, and a null group is a group."""
+    import inspect
+
+    assert "max_groups" not in inspect.signature(sampling.stratified_group_folds).parameters
+    df = spark.range(3000).select(F.col("id").alias("k"), F.when(F.col("id") % 10 == 0, "rare").otherwise("common").alias("c"), F.when(F.col("id") >= 10, F.floor(F.col("id") / 2)).alias("g"))
+    folds = sampling.stratified_group_folds(df, "g", "c").cache()
+    assert folds.count() == 3000 and sampling.leaks(folds, "g").isEmpty()
+    for c in ("rare", "common"):
+        sizes = [r["count"] for r in folds.filter(F.col("c") == c).groupBy("fold").count().collect()]
+        assert len(sizes) == 5 and max(sizes) - min(sizes) <= 12
+    assert folds.exceptAll(sampling.stratified_group_folds(df.repartition(7), "g", "c")).isEmpty()
+    assert not folds.exceptAll(sampling.stratified_group_folds(df, "g", "c", seed=1)).isEmpty()
+
+
 # ---- votes -----------------------------------------------------------------------------------
 
 
