@@ -45,6 +45,22 @@ def test_query_without_sql_runs(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
 
 
+def test_whole_table_neighbours(spark, sf):
+    """Every row but the query itself is a reference, by brute force."""
+    import numpy as np
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = set()
+    for q in np.flatnonzero(ids % 50 == 0):
+        sim = v @ v[q]
+        sim[q] = -np.inf
+        want |= {(int(ids[q]), int(ids[r])) for r in np.lexsort((ids, -sim))[:15]}
+    got = {(r["q"], r["ref"]) for r in catalog.QUERIES["knn_top15_whole"](spark, sf).collect()}
+    assert got == want and any(r % 5 == 0 for _, r in got)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
