@@ -44,8 +44,8 @@ def combine(spark: SparkSession, pattern: str, out: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, source: str, out: str, lexicon: str) -> DataFrame:
-    """T1-T7, W1, O1. lexicon: a text file with one English word a line."""
-    words = [r[0].strip().lower() for r in spark.read.text(lexicon).limit(100_000).collect()]
+    """T1-T7, W1, O1. lexicon: a text file with one English word a line, all of which count."""
+    words = [r[0].strip().lower() for r in spark.read.text(lexicon).collect()]
     df = tables.with_position(conform(load(spark, source)))
     return _saved(conform(clean_corpus(df, [w for w in words if len(w) >= 3])), out)
 

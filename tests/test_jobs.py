@@ -31,6 +31,13 @@ def test_combine_and_clean(spark, tmp_path):
     assert got == {"a_1": ("Bon chat", ""), "b_1": ("Namni deema.", "The man walks home.")}
 
 
+def test_clean_reads_the_whole_lexicon(spark, tmp_path):
+    source = csv(tmp_path / "a.csv", ["id", "language", "proverb_native", "proverb_en"], [("b_1", "om", "Namni deema. The man walks home.", "")])
+    (tmp_path / "lex.txt").write_text("\n".join([*(f"zz{i}" for i in range(100_000)), *"the man walks home".split()]) + "\n")
+    got = jobs.clean(spark, source, str(tmp_path / "clean"), str(tmp_path / "lex.txt")).first()
+    assert (got["proverb_native"], got["proverb_en"]) == ("Namni deema.", "The man walks home.")
+
+
 def test_features_and_samples(spark, tmp_path, master):
     assert jobs.imperative(spark, master, str(tmp_path / "i")).filter("has_imperative = 1").count() == 3
     got = jobs.imppresc(spark, master, str(tmp_path / "p"), sample=8)
