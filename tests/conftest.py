@@ -9,10 +9,10 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from adagium.session import local_session
 
-    s = local_session(4, 4, "4g")
+    s = local_session(4, 4, "4g", {"spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"})
     s.sparkContext.setLogLevel("ERROR")
     return s
 
