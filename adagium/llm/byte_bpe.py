@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from adagium.llm.common import n_buckets
-from adagium.llm.vectext import BASES, pack, ragged, span_hashes, unpack
+from adagium.llm.vectext import SEEDS, pack, ragged, span_hashes, unpack
 
 CHUNK_CHARS = 4 << 20
 ROWS = "key int, chunk long, bucket int, docs binary, payload binary"
@@ -177,14 +177,17 @@ def _chunk_rows(ids, texts, buckets: int, kind: str):
     starts = pretoken_starts(cp, first)
     ends = np.append(starts[1:], len(cp))
     counts = np.diff(np.searchsorted(starts, first))
-    values = cp.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x2545F4914F6CDD1D)
-    values ^= values >> np.uint64(29)
-    h = span_hashes(values, starts, ends, BASES[0])
+    raw = joined.encode("utf-8", "surrogatepass")
+    data = np.frombuffer(raw, dtype=np.uint8)
+    place = np.concatenate([[0], np.cumsum(1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000), dtype=np.int64)])
+    lo, hi = place[starts], place[ends]
+    h = span_hashes(data, lo, hi)
     distinct, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-    check = span_hashes(values, starts, ends, BASES[1])
-    if len(h) and not (check[at][inverse] == check).all():
-        raise ArithmeticError("two different pre-tokens share a hash")
-    del values, check
+    second = span_hashes(data, lo, hi, SEEDS[1])
+    if not (second[at][inverse] == second).all():  # 64 bits don't tell them apart: both hashes do
+        pairs = np.stack([h, second], axis=1)
+        pairs, at, inverse = np.unique(pairs, axis=0, return_index=True, return_inverse=True)
+        distinct, inverse = pairs[:, 0], inverse.ravel()
     # Slot of a word: its frequency rank within its bucket, times the buckets, plus the bucket.
     freq = np.bincount(inverse, minlength=len(distinct))
     of = (distinct % np.uint64(buckets)).astype(np.int64)
@@ -197,11 +200,11 @@ def _chunk_rows(ids, texts, buckets: int, kind: str):
     if kind == "slots":
         yield chunk % buckets, chunk, -1, table, _join(pack(slot[inverse].astype(np.uint32)), np.diff(edges).astype(np.int64).tobytes())
         return
-    begin, end = starts[at], ends[at]
+    begin, end = lo[at], hi[at]
     for b in range(buckets):
         mine = by[edges[b] : edges[b + 1]]
         if len(mine):
-            words = [joined[a:z].encode("utf-8", "replace") for a, z in zip(begin[mine].tolist(), end[mine].tolist())]
+            words = [raw[a:z] for a, z in zip(begin[mine].tolist(), end[mine].tolist())]
             yield b, chunk, b, None, _join(pack(np.array([len(w) for w in words], dtype=np.uint32)), _squeeze(b"".join(words)))
 
 

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from adagium.llm.common import chunk_count, materialize, n_buckets, text_chunk
-from adagium.llm.vectext import BASES, Words, inside, pack, unpack, window_hashes
+from adagium.llm.vectext import SEEDS, Words, inside, pack, unpack, window_hashes
 
 CHUNK_CHARS = 2 << 20
 SENT = "bucket int, chunk int, level int, payload binary"
@@ -70,7 +70,7 @@ class Chunk:
     def last(self, length: int, candidates: np.ndarray):
         """Distinct candidate windows (two hashes), sorted by bucket; the first place of each; the group of each candidate."""
         at = np.flatnonzero(candidates)
-        h1, h2 = (window_hashes(self.hash, length, b)[at] for b in BASES)
+        h1, h2 = (window_hashes(self.words.hashes(s) if s != SEEDS[0] else self.hash, length, s)[at] for s in SEEDS)
         order = np.lexsort((h2, h1, h1 % np.uint64(self.buckets)))
         new = np.ones(len(at), dtype=bool)
         new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])

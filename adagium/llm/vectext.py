@@ -1,8 +1,9 @@
 """Words, hashes and byte strings of many whole texts at once, in numpy.
 
-Hashes are polynomial sums modulo 2**64 over mixed values, finished by mix64;
-windows of any length cost one subtraction and one product each. Two
-independent bases give 128 bits where an equality decides a result.
+A hash is a chain of 64-bit mixes of the bytes, eight at a time, and a window's
+hash a chain of mixes of its words' hashes: neither is linear in what it takes,
+so no two words collide for their form alone. Two seeds give 128 bits where an
+equality decides a result.
 """
 
 from __future__ import annotations
@@ -13,36 +14,33 @@ from adagium.llm.common import mix64
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n at least."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        inverse = pow(base, -1, 1 << 64)
-        out = []
-        for b in (base, inverse):
-            p = np.full(size, b, dtype=np.uint64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
-        have = tuple(out)
-        if size <= 1 << 23:
-            _POWERS[base] = have
-    return have
-
-
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
-    """Hashes of values[start:end], uint64."""
-    up, down = powers(base, len(values) + 1)
-    total = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+LANES = 8  # longer spans are hashed one by one
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SEEDS[0]) -> np.ndarray:
+    """64-bit hashes of the bytes data[start:end]."""
+    import xxhash
+
+    size = ends - starts
+    # A view of eight bytes at every place; eight more stand behind the end.
+    lanes = np.ndarray(len(data) + 1, dtype="<u8", buffer=np.append(data, np.zeros(8, np.uint8)), strides=(1,))
+    h = mix64(size.astype(np.uint64) * _ODD + np.uint64(seed))
+    live = np.flatnonzero((size > 0) & (size <= 8 * LANES))
+    at, left = starts[live], size[live]
+    while len(live):
+        h[live] = mix64((h[live] ^ (lanes[at] & _KEEP[np.minimum(left, 8)])) * _ODD + np.uint64(seed))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    long = np.flatnonzero(size > 8 * LANES)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        h[long] = [xxhash.xxh3_64_intdigest(raw[a:z], seed) for a, z in zip(starts[long].tolist(), ends[long].tolist())]
+    return h
 
 
 class Words:
@@ -60,19 +58,30 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self.offsets = offsets
 
-    def hashes(self, base: int = BASES[0]) -> np.ndarray:
+    def hashes(self, seed: int = SEEDS[0]) -> np.ndarray:
         if not len(self.starts):
             return np.zeros(0, dtype=np.uint64)
-        return span_hashes(_VALUE[self.data], self.starts, self.ends, base)
+        return span_hashes(self.data, self.starts, self.ends, seed)
 
 
-def window_hashes(words: np.ndarray, length: int, base: int = BASES[1]) -> np.ndarray:
-    """Hashes of all windows of so many words (across documents too; mask with inside())."""
+def window_hashes(words: np.ndarray, length: int, seed: int = SEEDS[0]) -> np.ndarray:
+    """Hashes of all windows of so many words (across documents too; mask with inside()).
+
+    Windows of a power of two are mixed from their halves, others from the
+    windows of the powers of two that add up to their length.
+    """
     n = len(words) - length + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    at = np.arange(n)
-    return span_hashes(words, at, at + length, base)
+    part, size, out, done = words, 1, None, 0
+    while True:
+        if length & size:
+            out = part[:n] if out is None else mix64(out * _ODD + part[done : done + n] + np.uint64(seed))
+            done += size
+        if done == length:
+            return out if length > 1 else mix64(out + np.uint64(seed))
+        part = mix64(part[:-size] * _ODD + part[size:] + np.uint64(seed))
+        size *= 2
 
 
 def inside(first: np.ndarray, length: int) -> np.ndarray:
