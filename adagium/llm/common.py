@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+_OWN: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -17,17 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is missing (local tests) an own folder is chosen.
+    Where it is unset, a session that runs in this one process (``local[...]``)
+    gets a folder of its own; any other session has no folder that all its
+    executors see, so this raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    import os
-    import tempfile
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        import atexit
+        import shutil
+        import tempfile
 
-    path = os.path.join(tempfile.gettempdir(), f"adagium-{os.getuid()}")
-    os.makedirs(path, exist_ok=True)
-    return f"file://{path}"
+        _OWN[app] = tempfile.mkdtemp(prefix="adagium-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+    return f"file://{_OWN[app]}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -45,13 +56,6 @@ def free_prefix(df: DataFrame) -> str:
     return p
 
 
-def delete_shared(spark: SparkSession, path: str) -> None:
-    """Remove a folder of the shared file system."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def n_buckets(spark: SparkSession) -> int:
     """Number of hash buckets: the session's shuffle partitions, which operators size by the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
@@ -87,25 +91,3 @@ def chunk_count(df: DataFrame, text_col: str, chunk_chars: int) -> int:
 def words_of(text) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as UTF-8; bytes.split() splits at just these six characters."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
-
-
-_WORD_HASH: dict[bytes, int] = {}
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of the words; distinct words are hashed once while they stay in a bounded cache."""
-    import xxhash
-
-    cache = _WORD_HASH
-    if len(cache) > 400_000:
-        cache.clear()
-    h = xxhash.xxh3_64_intdigest
-    out = []
-    put = out.append
-    get = cache.get
-    for w in words:
-        x = get(w)
-        if x is None:
-            x = cache[w] = h(w)
-        put(x)
-    return np.array(out, dtype=np.uint64)
