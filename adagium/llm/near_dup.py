@@ -5,8 +5,8 @@ occurrence number in the text. An Order MinHash sketch takes the ``picks``
 smallest labelled shingles under one hash function and keeps them in text
 order, so two texts share a sketch only if they share these shingles in the
 same order. Texts of fewer than SHORT shingles also send sketches of one.
-Candidates are verified exactly: the longest common subsequence M of both
-shingle sequences, computed inside the band that the threshold leaves
+Candidates are verified on the whole texts, words standing for themselves by
+64-bit hashes: the longest common subsequence M of both shingle sequences, computed inside the band that the threshold leaves
 (bit-parallel, one machine integer a band), gives M / (n1 + n2 - M), the
 Jaccard similarity of the shingles that align in order. Links of ``threshold``
 or more make classes, numbered by their smallest doc_id.
@@ -23,9 +23,8 @@ are found by large-star and small-star rounds, written to the shared folder.
 
 Defined cases: null, empty and all-blank texts link to nothing; a text of one
 to four words is one shingle; rows without doc_id link to nothing and have a
-null class; rows that share a doc_id are classed by their own texts each, and
-texts with the same smallest doc_id are one node; an empty table gives no rows.
-Extra columns are not read.
+null class; rows that share a doc_id are classed by their own texts each; an
+empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +32,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from adagium.llm.common import free_prefix, materialize, mix64
-from adagium.llm.vectext import BASES, Words, span_hashes, window_hashes
+from adagium.llm.common import free_prefix, materialize, mix64, words_of
+from adagium.llm.vectext import Words, window_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 PICKS, SKETCHES, SHORT, SHORT_SKETCHES = 5, 20, 40, 8
@@ -77,7 +76,7 @@ def sketches(s: np.ndarray, picks: int = PICKS) -> tuple[np.ndarray, np.ndarray,
             at.sort(axis=1)
             key = SEEDS[own].copy()
             for c in range(k):
-                key = mix64(key * np.uint64(BASES[0]) + lab[at[:, c]])
+                key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + lab[at[:, c]])
             keys.append(key)
             firsts.append(at[:, 0])
             lasts.append(at[:, -1])
@@ -98,6 +97,14 @@ def _groups(texts, limit: int = 4 << 20):
         yield lo, len(texts)
 
 
+def words_key(text) -> tuple[int, int]:
+    """128 bits of a text's words, two signed integers."""
+    import xxhash
+
+    raw = xxhash.xxh3_128_digest(b" ".join(words_of(text)))
+    return tuple(int.from_bytes(raw[k : k + 8], "little", signed=True) for k in (0, 8))
+
+
 def _sketch(batches):
     import pandas as pd
 
@@ -106,7 +113,7 @@ def _sketch(batches):
         for lo, hi in _groups(texts):
             w = Words(texts[lo:hi])
             h = w.hashes()
-            ends = [span_hashes(w.hashes(b) if b != BASES[0] else h, w.first[:-1], w.first[1:], b).view(np.int64) for b in BASES]
+            ends = list(zip(*map(words_key, texts[lo:hi])))
             rows = []
             for a, z in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
                 s = shingles(h[a:z])
@@ -118,15 +125,29 @@ def _sketch(batches):
             yield out
 
 
+def _words_key():
+    """Column function: the 128 bits of words_key() as binary."""
+
+    def key(batches):
+        import pandas as pd
+
+        for s in batches:
+            yield pd.Series([b"".join(x.to_bytes(8, "big", signed=True) for x in words_key(t)) for t in s], dtype=object)
+
+    return F.pandas_udf(key, "binary", F.PandasUDFType.SCALAR_ITER)
+
+
 def _packed(batches):
+    """The word hashes of each row whose words are those of its node."""
     import pandas as pd
 
     for pdf in batches:
+        pdf = pdf.loc[np.array([words_key(t) == (a, b) for t, a, b in zip(pdf["text"], pdf["h1"], pdf["h2"])], dtype=bool)]
         texts = list(pdf["text"])
         for lo, hi in _groups(texts):
             w = Words(texts[lo:hi])
-            h = (w.hashes() >> np.uint64(32)).astype(np.uint32)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[lo:hi].to_numpy(), "seq": [h[a:z].tobytes() for a, z in zip(w.first[:-1].tolist(), w.first[1:].tolist())]})
+            h = w.hashes()
+            yield pd.DataFrame({"node": pdf["node"].iloc[lo:hi].to_numpy(), "seq": [h[a:z].tobytes() for a, z in zip(w.first[:-1].tolist(), w.first[1:].tolist())]})
 
 
 def needed(n1: int, n2: int, threshold: float) -> int:
@@ -185,8 +206,8 @@ def _verifier(threshold: float):
             ok = []
             for b, sa, sb in zip(pdf["b"], pdf["sa"], pdf["sb"]):
                 if b != last:
-                    last, y = b, shingles(np.frombuffer(sb, dtype=np.uint32).astype(np.uint64))
-                x = shingles(np.frombuffer(sa, dtype=np.uint32).astype(np.uint64))
+                    last, y = b, shingles(np.frombuffer(sb, dtype=np.uint64))
+                x = shingles(np.frombuffer(sa, dtype=np.uint64))
                 ok.append(aligned(x, y, threshold) >= threshold - 1e-12)
             yield pdf.loc[ok, ["a", "b"]]
 
@@ -202,7 +223,7 @@ def _block_verifier(threshold: float):
     """
 
     def sequence(raw):
-        return shingles(np.frombuffer(raw, dtype=np.uint32).astype(np.uint64))
+        return shingles(np.frombuffer(raw, dtype=np.uint64))
 
     def run(batches):
         import pandas as pd
@@ -266,25 +287,32 @@ def _fits(n1: Column, f1: Column, l1: Column, n2: Column, f2: Column, l2: Column
     return most * (1 + threshold) >= threshold * (n1 + n2) - 1e-6
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, small_bucket: int = 48, block_rows: int = 512) -> DataFrame:
-    """(doc_id, class_id, copy_of) of every row of docs(doc_id, text): class_id the smallest doc_id of its class, copy_of the smallest with equal words."""
+def classes(docs: DataFrame, threshold: float = THRESHOLD, small_bucket: int = 48, block_words: int = 200_000, with_key: bool = False) -> DataFrame:
+    """(doc_id, class_id, copy_of) of every row of docs(doc_id, text): class_id the smallest doc_id of its class, copy_of the smallest with equal words.
+
+    with_key adds words_key, the 128 bits by which words are equal.
+    """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sk = materialize(source.mapInPandas(_sketch, SKETCH), "sketches")
     c = F.col
     known = sk.filter("n > 0 and doc_id is not null")
     # Tables that hot rows are joined with are written first: a join splits a hot key only if both sides come from an exchange.
-    reps = materialize(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "heads")
-    heads = known.join(reps.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"], "left_semi")
+    reps = materialize(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "reps")
+    # A text's node is its smallest doc_id, or its hash where other words have the same smallest doc_id.
+    shared = reps.groupBy("rep").agg(F.count("*").alias("k")).filter("k > 1").select("rep", F.lit(True).alias("shared"))
+    reps = materialize(reps.join(shared, "rep", "left").select("h1", "h2", "rep", F.when(c("shared"), c("h1")).otherwise(c("rep")).alias("node")), "heads")
+    heads = known.join(reps.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"]).dropDuplicates(["node"])
     pick = F.explode(F.arrays_zip("keys", "firsts", "lasts")).alias("k")
-    buckets = heads.select(c("doc_id").alias("node"), "n", pick).select(c("k.keys").alias("key"), "node", "n", c("k.firsts").alias("f"), c("k.lasts").alias("l"))
+    buckets = heads.select("node", "n", pick).select(c("k.keys").alias("key"), "node", "n", c("k.firsts").alias("f"), c("k.lasts").alias("l"))
     lead = materialize(buckets.groupBy("key").agg(F.min(F.struct("node", "n", "f", "l")).alias("lead"), F.max("node").alias("top")).filter("top > lead.node").drop("top"), "leads")
     members = materialize(buckets.join(lead, "key"), "buckets")
-    texts = source.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    seqs = materialize(texts.mapInPandas(_packed, "doc_id long, seq binary"), "sequences")
+    wanted = reps.join(members.select("node").distinct(), "node").select(c("rep").alias("doc_id"), "node", "h1", "h2")
+    texts = source.join(wanted, "doc_id").select("node", "h1", "h2", "text")
+    seqs = materialize(texts.mapInPandas(_packed, "node long, seq binary"), "sequences")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        own = pairs.join(seqs.select(F.col("doc_id").alias("a"), F.col("seq").alias("sa")), "a")
-        both = own.join(seqs.select(F.col("doc_id").alias("b"), F.col("seq").alias("sb")), "b").select("a", "b", "sa", "sb")
+        own = pairs.join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("sa")), "a")
+        both = own.join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("sb")), "b").select("a", "b", "sa", "sb")
         return materialize(both.mapInPandas(_verifier(threshold), "a long, b long"), "links")
 
     near = members.filter(c("node") != c("lead.node")).filter(_fits(c("n"), c("f"), c("l"), c("lead.n"), c("lead.f"), c("lead.l"), threshold))
@@ -293,32 +321,38 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, small_bucket: int = 4
     comp = components(links)
     # Whatever still stands in different classes of one bucket is compared there: the members outside its largest class with all others.
     named = materialize(members.select("key", "node", "n", "f", "l").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "named")
-    sizes = named.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    span = materialize(sizes.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("parts"), F.sum("k").alias("m")).filter("parts > 1").select("key", "m", c("top.comp").alias("most")), "spans")
+    sizes = named.groupBy("key", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("words"))
+    span = materialize(sizes.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("parts"), F.sum("k").alias("m"), F.sum("words").alias("words")).filter("parts > 1").select("key", "m", "words", c("top.comp").alias("most")), "spans")
     waiting = materialize(named.join(span, "key").withColumn("odd", c("comp") != c("most")).drop("most"), "waiting")
     small, large = waiting.filter(c("m") <= small_bucket), waiting.filter(c("m") > small_bucket)
     asks = small.filter("odd").select(c("key").alias("q_key"), *[c(x).alias(f"q_{x}") for x in ("node", "n", "f", "l", "comp")])
     on = (c("key") == c("q_key")) & (c("comp") != c("q_comp")) & (~c("odd") | (c("node") < c("q_node"))) & _fits(c("n"), c("f"), c("l"), c("q_n"), c("q_f"), c("q_l"), threshold)
     pairs = small.join(asks, on).select(F.greatest("node", "q_node").alias("a"), F.least("node", "q_node").alias("b")).distinct()
     found = verified(pairs.join(starred, ["a", "b"], "left_anti"))
-    block = F.pmod(F.xxhash64("node"), F.ceil(c("m") / block_rows)).alias("block")
-    rows = large.join(seqs.withColumnRenamed("doc_id", "node"), "node").select("key", block, F.struct("node", "comp", "odd", "seq").alias("r"))
-    blocks = materialize(rows.groupBy("key", "block").agg(F.collect_list("r").alias("rows")), "blocks")  # about block_rows rows a group
+    block = F.pmod(F.xxhash64("node"), F.ceil(c("words") / block_words)).alias("block")
+    rows = large.join(seqs, "node").select("key", block, F.struct("node", "comp", "odd", "seq").alias("r"))
+    blocks = materialize(rows.groupBy("key", "block").agg(F.collect_list("r").alias("rows")), "blocks")  # about block_words words a group
     theirs = blocks.select(c("key").alias("q_key"), F.filter("rows", lambda r: r["odd"]).alias("asks")).filter(F.size("asks") > 0)
     met = blocks.join(theirs, c("key") == c("q_key")).select("rows", "asks")
     found = found.unionByName(materialize(met.mapInPandas(_block_verifier(threshold), "a long, b long").distinct(), "links"))
     if not found.isEmpty():
         comp = components(links.unionByName(found))
-    of = reps.withColumnsRenamed({"h1": "r1", "h2": "r2"})
+    # A class's number is its smallest node but where a node isn't a doc_id.
+    named = reps.join(comp, "node", "left")
+    odd = named.filter("node <> rep").select(F.coalesce("comp", "node").alias("comp")).distinct()
+    lowest = named.withColumn("comp", F.coalesce("comp", "node")).join(odd, "comp", "left_semi").groupBy("comp").agg(F.min("rep").alias("lowest"))
+    of = named.withColumn("comp", F.coalesce("comp", "node")).join(lowest, "comp", "left").select(c("h1").alias("r1"), c("h2").alias("r2"), "rep", F.coalesce("lowest", "comp").alias("class"))
     out = sk.select("doc_id", "h1", "h2", "n").join(of, (c("h1") == c("r1")) & (c("h2") == c("r2")) & (c("n") > 0) & c("doc_id").isNotNull(), "left")
-    out = out.select("doc_id", F.coalesce("rep", "doc_id").alias("copy_of")).join(comp.withColumnRenamed("node", "copy_of"), "copy_of", "left")
-    return out.select("doc_id", F.coalesce("comp", "copy_of").alias("class_id"), "copy_of")
+    key = [F.concat(*[F.unhex(F.lpad(F.hex(x), 16, "0")) for x in ("h1", "h2")]).alias("words_key")] if with_key else []
+    return out.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("copy_of"), *key)
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each class, its first; rows without words or doc_id stay; equal texts of one doc_id become one row."""
+    """docs with one document of each class, its first; rows without words or doc_id stay; rows of one doc_id and equal words become one."""
     p = free_prefix(docs)
-    gone = classes(docs, threshold).filter("class_id <> doc_id").select(F.col("doc_id").alias(f"{p}gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone[f"{p}gone"], "left_anti")
-    kept = kept.withColumns({f"{p}h": F.xxhash64("text"), f"{p}n": F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())})
-    return kept.dropDuplicates(["doc_id", f"{p}h", f"{p}n"]).select(*[f"`{x}`" for x in docs.columns])
+    id_, text = F.col("doc_id").cast("long"), F.col("text")
+    # A row is told by its doc_id and its words: rows may share either.
+    with_key = docs.withColumns({f"{p}k": _words_key()(text), f"{p}n": F.when(id_.isNull() | (F.length(F.translate(text, " \t\n\x0b\x0c\r", "")) == 0) | text.isNull(), F.monotonically_increasing_id())})
+    gone = classes(docs, threshold, with_key=True).filter("class_id <> doc_id").select(F.col("doc_id").alias(f"{p}g"), F.col("words_key").alias(f"{p}gk")).distinct()
+    kept = with_key.join(gone, (id_ == F.col(f"{p}g")) & (F.col(f"{p}k") == F.col(f"{p}gk")), "left_anti")
+    return kept.dropDuplicates(["doc_id", f"{p}k", f"{p}n"]).select(*[f"`{x}`" for x in docs.columns])

@@ -5,6 +5,11 @@ import random
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, __id string, __text int, chunk string, __h int, n int"
 
 
+#: Two words that every polynomial hash modulo 2**64 with an odd base takes for one: this, and it with a and b exchanged.
+THUE_MORSE = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+NINETEEN = [f"k{i}" for i in range(19)]
+
+
 def words(rng, n, size=400):
     return [f"w{rng.randrange(size)}" for _ in range(n)]
 
@@ -22,6 +27,7 @@ def edge_docs(seed=3, n=60):
         (103, " ".join(base), "en", "a"), (104, "  ".join(base), "en", "a"), (105, " ".join(near), "fr", "b"), (105, " ".join(near), "fr", "b"),
         (106, "head one " + passage + " tail", "en", "a"), (107, "another start\n" + passage, "en", "b"), (108, "one two", "en", "a"), (109, "one two", "en", "a"),
         (110, "x" * 50_000 + " " + " ".join(words(rng, 30_000, 5000)), "en", "a"), (111, "Größe İ ß\u00a0naïve 🙂 e\u0301 \ud7ff \x1c end", "de", "b"), (112, "same same same same same same same same same same same same", "en", "a"),
+        (114, THUE_MORSE, "en", "a"), (115, THUE_MORSE.translate({97: 98, 98: 97}), "en", "a"), (116, " ".join([*NINETEEN, THUE_MORSE]), "en", "a"), (117, " ".join([*NINETEEN, THUE_MORSE.translate({97: 98, 98: 97})]), "en", "a"),
         (113, "line one is here\nline one is here\n\nother ###%% line|<b>", "en", "a"),
     ]
     return rows

@@ -129,6 +129,12 @@ def test_substring_dedup_rewrites_and_keeps_columns(docs, rows):
     assert by[106]["text"] == dict((r[0], r[1]) for r in rows)[106] and by[107]["text"] == "another start"
 
 
+def test_windows_of_words_that_look_alike(spark):
+    """19 equal words before two different words: nothing repeats for 20 words."""
+    got = substring_dedup.dedup(frame(spark, [r for r in edge_docs() if r[0] in (114, 115, 116, 117)]))
+    assert {r["doc_id"]: r["__n_removed"] for r in got.collect()} == {114: 0, 115: 0, 116: 0, 117: 0}
+
+
 def test_levels_until_nothing_repeats(docs):
     lengths = substring_dedup.repeat_lengths(docs.filter("doc_id in (106, 107)"), start=10)
     assert [n for n, _ in lengths] == [10, 20, 40]
@@ -206,7 +212,7 @@ def test_near_duplicate_group_without_common_leader(spark, small):
         rows.append((k, " ".join(base), "en", "a"))
         for i in rng.integers(0, 300, 4):
             base[int(i)] = f"n{k}_{i}"
-    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(frame(spark, rows), small_bucket=small, block_rows=3).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(frame(spark, rows), small_bucket=small, block_words=900).collect()}
     assert got == slow_classes(rows)
 
 
@@ -219,6 +225,19 @@ def test_keep_first(docs, rows):
     assert sorted(i for i in ids if i is not None) == sorted(d for d, c in want.items() if d == c)
 
 
+def test_keep_first_loses_no_text(spark):
+    """Rows share doc_ids and words; (7, b) and (9, c) are unique, (5, e) is unique though (5, d) belongs to 2."""
+    rng = np.random.default_rng(3)
+    a, b, c, d, e = (" ".join(f"v{x}" for x in rng.integers(0, 900, 80)) for _ in range(5))
+    near = d.replace(d.split()[40], "other")
+    rows = [(3, a), (7, a), (7, b), (9, c), (9, c), (5, d), (5, e), (2, near), (None, a), (11, ""), (12, None)]
+    got = near_dup.keep_first(frame(spark, [(*r, "en", "s") for r in rows])).select("doc_id", "text").collect()
+    want = [(3, a), (7, b), (9, c), (5, e), (2, near), (None, a), (11, ""), (12, None)]
+    assert counted(got) == counted(want)
+    classes = near_dup.classes(frame(spark, [(*r, "en", "s") for r in rows])).select("doc_id", "class_id").collect()
+    assert counted(classes) == counted([(3, 3), (7, 3), (7, 7), (9, 9), (9, 9), (5, 2), (5, 5), (2, 2), (None, None), (11, 11), (12, 12)])
+
+
 # ---- benchmark leaks -------------------------------------------------------------------------
 
 
