@@ -28,7 +28,7 @@ m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM g)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM m"""
 
 
-def quality_rules(bounded: bool = True) -> str:
+def quality_rules() -> str:
     metric = lambda k: f"CASE WHEN {q.METRICS[k][1]} > 0 THEN floor({q.METRICS[k][0]} * 10000 / {q.METRICS[k][1]}::DOUBLE)::BIGINT ELSE 0 END"
     step = "(1 << (length(bin(v)) - 5))"
     rows = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS metric, {metric(k)} AS v FROM s WHERE NOT base_failed" for k in q.METRICS)
@@ -41,7 +41,7 @@ def quality_rules(bounded: bool = True) -> str:
 
     pick = lambda c: f"CASE WHEN f.total >= {q.MIN_ROWS} THEN f.{c} WHEN l.total >= {q.MIN_ROWS} THEN l.{c} ELSE a.{c} END AS {c}"
     own = lambda side, floor: f"{'q75 +' if side == 'high' else 'q25 -'} {q.SPREAD} * greatest(q75 - q25, {floor})"
-    fence = " ".join(f"WHEN '{k}' THEN " + (f"{'greatest' if side == 'high' else 'least'}({own(side, floor)}, {bound})" if bounded else own(side, floor)) for k, (_, _, side, floor, bound) in q.METRICS.items())
+    fence = " ".join(f"WHEN '{k}' THEN {own(side, floor)}" for k, (_, _, side, floor) in q.METRICS.items())
     fails = {k: f"coalesce({metric(k)} {'>' if q.METRICS[k][2] == 'high' else '<'} limit_{k}, false)" for k in q.METRICS}
     return f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
 ln AS (SELECT doc_id, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS l FROM d),
@@ -64,4 +64,4 @@ FROM s LEFT JOIN lim ON s.lang IS NOT DISTINCT FROM lim.lang AND s.source IS NOT
 
 
 def all_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules(), "op2_quality_fences": quality_rules(bounded=False), "op3_substring_dedup": substring_dedup(), "op4_warc": warc(), "op10_url_filter": url_filter.oracle()}
+    return {"op2_quality_rules": quality_rules(), "op3_substring_dedup": substring_dedup(), "op4_warc": warc(), "op10_url_filter": url_filter.oracle()}

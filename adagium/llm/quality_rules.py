@@ -8,8 +8,9 @@ sum, exactly, in any order and after any retry; language and whole-corpus
 sketches are roll-ups of the same table. A metric's limit is an outer fence,
 ``q75 + spread * max(q75 - q25, floor)`` (below, mirrored, for the lower limit),
 taken from the finest group that holds ``min_rows`` documents. Fences move with
-the group, and a group without outliers loses nothing. With ``bounded`` no limit
-is stricter than the fixed bound of its metric, which then decides in most groups.
+the group, and a group without outliers loses nothing; the floor only keeps a
+group whose documents are all alike from rejecting the next one that differs.
+Statistics are written once, as sketches and verdicts both read them.
 
 The sketch table holds groups x metrics x buckets rows (at most a few hundred
 buckets each); the limits table has one row a group. Limits are joined back on
@@ -28,17 +29,17 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from adagium.llm.common import words_of
+from adagium.llm.common import materialize, words_of
 
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_distinct long"
 SYMBOLS = "#*$%&|<>"
-#: metric: (numerator, denominator, side, floor of the quartile distance, least or most value at which a limit may stand), in ten-thousandths.
+#: metric: (numerator, denominator, side, floor of the quartile distance), in ten-thousandths.
 METRICS = {
-    "symbol_share": ("n_symbols", "n_words", "high", 300, 2000),
-    "dup_line_share": ("n_dup_lines", "n_lines", "high", 500, 3000),
-    "upper_share": ("n_upper", "word_chars", "high", 300, 3500),
-    "word_length": ("word_chars", "n_words", "high", 2500, 90000),
-    "short_words": ("word_chars", "n_words", "low", 2500, 25000),
+    "symbol_share": ("n_symbols", "n_words", "high", 300),
+    "dup_line_share": ("n_dup_lines", "n_lines", "high", 500),
+    "upper_share": ("n_upper", "word_chars", "high", 300),
+    "word_length": ("word_chars", "n_words", "high", 2500),
+    "short_words": ("word_chars", "n_words", "low", 2500),
 }
 SPREAD, MIN_ROWS = 4, 50
 
@@ -136,18 +137,16 @@ def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return s.groupBy(*keys, "metric").agg(F.max("rows").alias("rows"), first(1).alias("q25"), first(3).alias("q75"))
 
 
-def limits(sketch: DataFrame, spread: int = SPREAD, min_rows: int = MIN_ROWS, bounded: bool = True) -> DataFrame:
+def limits(sketch: DataFrame, spread: int = SPREAD, min_rows: int = MIN_ROWS) -> DataFrame:
     """(lang, source, one limit a metric): from (lang, source) if it has min_rows documents, else its language, else all."""
     fine, lang, all_ = _quartiles(sketch, ["lang", "source"]), _quartiles(sketch, ["lang"]), _quartiles(sketch, [])
     pick = lambda c: F.when(F.col("f.rows") >= min_rows, F.col(f"f.{c}")).when(F.col("l.rows") >= min_rows, F.col(f"l.{c}")).otherwise(F.col(f"a.{c}")).alias(c)
     j = fine.alias("f").join(lang.alias("l"), F.col("f.lang").eqNullSafe(F.col("l.lang")) & (F.col("f.metric") == F.col("l.metric"))).join(all_.alias("a"), F.col("f.metric") == F.col("a.metric"))
     q = j.select("f.lang", "f.source", "f.metric", pick("q25"), pick("q75"))
     value = F.lit(None).cast("long")
-    for k, (_, _, side, floor, bound) in METRICS.items():
+    for k, (_, _, side, floor) in METRICS.items():
         gap = spread * F.greatest(F.col("q75") - F.col("q25"), F.lit(floor))
         fence = F.col("q75") + gap if side == "high" else F.col("q25") - gap
-        if bounded:
-            fence = F.greatest(fence, F.lit(bound)) if side == "high" else F.least(fence, F.lit(bound))
         value = F.when(F.col("metric") == k, fence).otherwise(value)
     q = q.withColumn("v", value)
     return q.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == k, F.col("v"))).alias(f"limit_{k}") for k in METRICS])
@@ -157,12 +156,12 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def judge(docs: DataFrame, spread: int = SPREAD, min_rows: int = MIN_ROWS, bounded: bool = True) -> DataFrame:
+def judge(docs: DataFrame, spread: int = SPREAD, min_rows: int = MIN_ROWS) -> DataFrame:
     """Statistics, limits and verdict of each of docs(doc_id, text, lang, source)."""
-    stats = document_stats(docs)
-    lim = limits(quantile_sketches(stats), spread, min_rows, bounded).withColumnsRenamed({"lang": "__lang", "source": "__source"})
+    stats = materialize(document_stats(docs), "stats")
+    lim = limits(quantile_sketches(stats), spread, min_rows).withColumnsRenamed({"lang": "__lang", "source": "__source"})
     j = stats.join(lim, stats["lang"].eqNullSafe(lim["__lang"]) & stats["source"].eqNullSafe(lim["__source"]), "left")
-    fails = [F.coalesce((metric(k) > F.col(f"limit_{k}")) if side == "high" else (metric(k) < F.col(f"limit_{k}")), F.lit(False)) for k, (_, _, side, _, _) in METRICS.items()]
+    fails = [F.coalesce((metric(k) > F.col(f"limit_{k}")) if side == "high" else (metric(k) < F.col(f"limit_{k}")), F.lit(False)) for k, (_, _, side, _) in METRICS.items()]
     failed = fails[0]
     for f in fails[1:]:
         failed = failed | f
