@@ -12,9 +12,13 @@ item if one of its units is retrieved and the word 5-grams of both the item's
 question (its first line) and its answer (the rest, if any) occur in the
 document to ``min_overlap`` or more.
 
-The index travels to the tasks in shards of bounded size (``shard_items`` items
-and 4096 words each); a larger benchmark makes more shards, each scanned in the
-same pass, never a larger one. Documents are not shuffled.
+Number of units, their mean length and the units of each term are counted once
+over the whole benchmark, so scores do not depend on how it is cut. The index
+travels to the tasks in shards of bounded size (about ``shard_items`` items and
+``shard_chars`` characters each, half a million of which make a table of block maxima
+of at most some 64 MB); a larger benchmark makes more shards, which each task
+takes one after the other in the same pass over the documents. Documents are not
+shuffled.
 
 Defined cases: null or empty texts have no passages and no leaks; null or empty
 items match nothing; equal items each match; repeated documents are each
@@ -27,12 +31,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from adagium.llm.common import free_prefix, words_of
+from adagium.llm.common import free_prefix, materialize, words_of
 from adagium.llm.vectext import Words
 
 LEAKS = "array<struct<item_id: long, bm25: double, question_overlap: double, answer_overlap: double>>"
 UNIT, HALF, BLOCK, GRAM = 32, 32, 16, 5
-THETA, MIN_OVERLAP, SHARD_ITEMS = 0.5, 0.6, 1024
+THETA, MIN_OVERLAP, SHARD_ITEMS, SHARD_CHARS = 0.5, 0.6, 1024, 1 << 19
+INDEXES = 4  # of so many shards a worker keeps the index; of others it makes it anew for each batch
 K1, B = 1.2, 0.75
 _STRIP = ".,;:!?\"'()[]{}|«»“”’‘%&*#$@~^_=+<>/\\-–—…"
 
@@ -50,31 +55,51 @@ def _distinct(key: np.ndarray) -> np.ndarray:
     return key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
 
 
+def item_parts(text) -> tuple[list[str], list[str]]:
+    """Terms of an item's question (first line) and of its answer (the rest)."""
+    question, _, answer = (text or "").strip().partition("\n")
+    return terms(question), terms(answer)
+
+
+def units_of(whole):
+    """An item's units, of at most UNIT terms each and about equal."""
+    return np.array_split(whole, -(-len(whole) // UNIT)) if len(whole) else []
+
+
+def unit_counts(items) -> tuple[int, int, dict[str, int]]:
+    """(units, terms in them, units of each term) of items [(item_id, text)]."""
+    n = size = 0
+    df: dict[str, int] = {}
+    for _, text in items:
+        for u in units_of(np.array(sum(item_parts(text), []), dtype=object)):
+            n, size = n + 1, size + len(u)
+            for t in set(u.tolist()):
+                df[t] = df.get(t, 0) + 1
+    return n, size, df
+
+
 class Index:
-    """Block-max index of items [(item_id, text)]."""
+    """Block-max index of items [(item_id, text)]; stats: unit_counts() of the whole benchmark, if there is more of it."""
 
-    def __init__(self, items: list[tuple[int, str]], theta: float = THETA, min_overlap: float = MIN_OVERLAP):
+    def __init__(self, items: list[tuple[int, str]], theta: float = THETA, min_overlap: float = MIN_OVERLAP, stats=None):
         self.theta, self.min_overlap = theta, min_overlap
         self.vocab: dict[str, int] = {}
         self.items, units = [], []
         for item_id, text in items:
-            question, _, answer = (text or "").strip().partition("\n")
-            parts = [np.array([self.vocab.setdefault(t, len(self.vocab)) for t in terms(p)], dtype=np.int64) for p in (question, answer)]
+            parts = [np.array([self.vocab.setdefault(t, len(self.vocab)) for t in p], dtype=np.int64) for p in item_parts(text)]
             whole = np.concatenate(parts)
             if not len(whole):
                 continue
-            k = -(-len(whole) // UNIT)
-            units += [(u, len(self.items)) for u in np.array_split(whole, k)]
+            units += [(u, len(self.items)) for u in units_of(whole)]
             self.items.append((item_id, [self._grams(p) for p in parts]))
         self.n_terms = len(self.vocab)
         n = len(units)
         if not n:
             return
-        df = np.zeros(self.n_terms)
-        for u, _ in units:
-            df[np.unique(u)] += 1
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        mean = sum(len(u) for u, _ in units) / n
+        all_units, all_terms, counts = stats or unit_counts(items)
+        df = np.array([counts[t] for t in self.vocab], dtype=float)
+        idf = np.log(1 + (all_units - df + 0.5) / (df + 0.5))
+        mean = all_terms / all_units
         rows = []
         for u, item in units:
             t, tf = np.unique(u, return_counts=True)
@@ -203,36 +228,64 @@ class Index:
         return out
 
 
-def shards(benchmark: DataFrame, shard_items: int = SHARD_ITEMS) -> list[list[tuple[int, str]]]:
-    """The benchmark in shards of at most shard_items items and about 4096 * 8 * shard_items characters."""
-    rows = benchmark.filter("item_id is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator()
-    out, size = [[]], 0
-    for r in rows:
-        n = len(r["text"] or "")
-        if out[-1] and (len(out[-1]) >= shard_items or size + n > 4096 * 8 * shard_items):
-            out.append([])
-            size = 0
-        out[-1].append((r["item_id"], r["text"]))
-        size += n
-    return out
+def shards(benchmark: DataFrame, shard_items: int = SHARD_ITEMS, shard_chars: int = SHARD_CHARS):
+    """(items, stats) of each shard, one after the other; counts are taken by Spark, a shard gets those of its own terms."""
+    known = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    size = known.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    if not size["n"]:
+        return
+    parts = max(-(-size["n"] // shard_items), -(-(size["chars"] or 0) // shard_chars), 1)
+    placed = known.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
 
+    def counts(batches):
+        import pandas as pd
 
-def leaks_column(benchmark: DataFrame, text_col: str = "text", theta: float = THETA, min_overlap: float = MIN_OVERLAP, shard_items: int = SHARD_ITEMS):
-    """Column of LEAKS for a text column: the items that contaminate it."""
-    spark = benchmark.sparkSession
-    columns = []
-    for items in shards(benchmark, shard_items):
-        shared = spark.sparkContext.broadcast(items)  # bounded by shard_items
+        for pdf in batches:
+            n, chars, df = unit_counts(zip(pdf["item_id"], pdf["text"]))
+            own = pd.DataFrame({"term": list(df), "n": list(df.values()), "size": 0}).astype({"n": "int64", "size": "int64"})
+            yield pd.concat([own, pd.DataFrame({"term": [None], "n": [n], "size": [chars]})])
+
+    summed = materialize(known.mapInPandas(counts, "term string, n long, size long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("size").alias("size")), "terms")
+    total = summed.filter("term is null").first()
+
+    def own_terms(batches):
+        import pandas as pd
 
-        def leaks(batches, shared=shared):
-            import pandas as pd
+        for pdf in batches:
+            rows = {(s, t) for s, x in zip(pdf["shard"], pdf["text"]) for p in item_parts(x) for t in p}
+            yield pd.DataFrame(sorted(rows), columns=["shard", "term"])
 
-            index = Index(shared.value, theta, min_overlap)
-            for s in batches:
-                yield pd.Series(index.leaks(s), dtype=object)
+    used = placed.select("shard", "text").mapInPandas(own_terms, "shard int, term string").distinct().join(summed.filter("term is not null").select("term", "n"), "term")
+    used = materialize(used, "shard-terms")
+    for k in range(parts):
+        items = [(r["item_id"], r["text"]) for r in placed.filter(F.col("shard") == k).orderBy("item_id", "text").collect()]  # a bounded shard
+        if items:
+            yield items, (total["n"], total["size"], {r["term"]: r["n"] for r in used.filter(F.col("shard") == k).collect()})
 
-        columns.append(F.pandas_udf(leaks, LEAKS, F.PandasUDFType.SCALAR_ITER)(F.col(text_col)))
-    return columns[0] if len(columns) == 1 else F.concat(*columns)
+
+def leaks_column(benchmark: DataFrame, text_col: str = "text", theta: float = THETA, min_overlap: float = MIN_OVERLAP, shard_items: int = SHARD_ITEMS, shard_chars: int = SHARD_CHARS):
+    """Column of LEAKS for a text column: the items that contaminate it, by shard and item_id."""
+    spark = benchmark.sparkSession
+    shared = [spark.sparkContext.broadcast(s) for s in shards(benchmark, shard_items, shard_chars)]  # each of a bounded size
+
+    def leaks(batches):
+        import pandas as pd
+
+        kept: dict[int, Index] = {}
+        for s in batches:
+            texts, found = list(s), [[] for _ in s]
+            for k, b in enumerate(shared):
+                index = kept.get(k)
+                if index is None:
+                    items, stats = b.value
+                    index = Index(items, theta, min_overlap, stats)
+                    if len(kept) < INDEXES:
+                        kept[k] = index
+                for own, more in zip(found, index.leaks(texts)):
+                    own += more
+            yield pd.Series(found, dtype=object)
+
+    return F.pandas_udf(leaks, LEAKS, F.PandasUDFType.SCALAR_ITER)(F.col(text_col))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
