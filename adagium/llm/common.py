@@ -91,3 +91,16 @@ def chunk_count(df: DataFrame, text_col: str, chunk_chars: int) -> int:
 def words_of(text) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as UTF-8; bytes.split() splits at just these six characters."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
+
+
+def grid(df: DataFrame, text_col: str, chunk_chars: int, bucket_chars: int, least_buckets: int = 1) -> tuple[int, int, int]:
+    """(characters, chunks, buckets) for an exchange between chunks of texts and buckets of hashes.
+
+    A chunk holds chunk_chars characters and a bucket the keys of bucket_chars,
+    until there would be more (chunk, bucket) cells than one for 256 characters;
+    then both grow alike, with the root of the input, up to 64 million.
+    """
+    total = int(df.agg(F.sum(F.length(text_col)).alias("n")).first()["n"] or 0)
+    more = max(1.0, (256 * total / (chunk_chars * bucket_chars)) ** 0.5)
+    sizes = [max(s, min(int(s * more), 64 << 20)) for s in (chunk_chars, bucket_chars)]
+    return total, max(1, -(-total // sizes[0])), max(least_buckets, -(-total // sizes[1]))

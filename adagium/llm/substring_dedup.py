@@ -30,10 +30,10 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from adagium.llm.common import chunk_count, materialize, n_buckets, text_chunk
+from adagium.llm.common import grid, materialize, n_buckets, text_chunk
 from adagium.llm.vectext import SEEDS, Words, inside, pack, unpack, window_hashes
 
-CHUNK_CHARS = 2 << 20
+CHUNK_CHARS, BUCKET_CHARS = 2 << 20, 16 << 20
 SENT = "bucket int, chunk int, level int, payload binary"
 BITS = "chunk int, level int, bucket int, bits binary"
 LAST_ID = np.iinfo(np.int64).max
@@ -84,7 +84,7 @@ class Chunk:
         lead = np.flatnonzero(np.diff(group[by], prepend=-1))
         firsts = by[lead]
         rep = order[np.flatnonzero(new)]
-        return at, group, n, h1[rep], h2[rep], doc_id[firsts], place[firsts], doc_id, place
+        return at, group, n, h1[rep], h2[rep], doc_id[firsts], place[firsts], doc_id, place, np.diff(np.append(lead, len(by))) > 1
 
 
 def levels_to(window: int, start: int) -> list[int]:
@@ -141,11 +141,11 @@ def _ask(levels: list[int], final: bool, buckets: int):
                 low = (keys[a:z] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 rows.append((b, number, levels[-1], _parts(pack(np.diff(low, prepend=np.uint32(0))), _bits(counts[a:z] > 1))))
         else:
-            _, _, n, h1, h2, ids, places, _, _ = chunk.last(levels[-1], cand)
+            _, _, n, h1, h2, ids, places, _, _, twice = chunk.last(levels[-1], cand)
             edges = np.searchsorted(h1 % np.uint64(buckets), np.arange(buckets + 1, dtype=np.uint64))
             for b in np.flatnonzero(np.diff(edges)).tolist():
                 s = slice(edges[b], edges[b + 1])
-                rows.append((b, number, levels[-1], _parts(h1[s].tobytes(), h2[s].tobytes(), ids[s].tobytes(), places[s].astype(np.int64).tobytes())))
+                rows.append((b, number, levels[-1], _parts(h1[s].tobytes(), h2[s].tobytes(), ids[s].tobytes(), places[s].astype(np.int64).tobytes(), _bits(twice[s]))))
         return pd.DataFrame(rows, columns=["bucket", "chunk", "level", "payload"])
 
     return run
@@ -165,7 +165,10 @@ def _unparts(raw: bytes) -> list[bytes]:
 
 
 def _reply(final: bool):
-    """Function of a bucket giving BITS rows: is the window repeated, or, at the last level, does it start earlier elsewhere."""
+    """Function of a bucket giving BITS rows: is the window repeated, or, at the last level, does it start earlier elsewhere.
+
+    The last level also gives a row of chunk -1: the number of distinct windows that are repeated.
+    """
     import pandas as pd
 
     def run(pdf):
@@ -190,6 +193,9 @@ def _reply(final: bool):
             flags = np.zeros(len(order), dtype=bool)
             flags[order] = (ids[order] != ids[lead]) | (places[order] != places[lead])
             sizes = [len(p[0]) // 8 for p in sent]
+            first = np.flatnonzero(new)
+            many = np.logical_or.reduceat(np.concatenate([_flags(p[4]) for p in sent])[order], first) | (np.diff(np.append(first, len(order))) > 1)
+            rows.append((-1, int(pdf["level"].iloc[0]), int(pdf["bucket"].iloc[0]), int(many.sum()).to_bytes(8, "big")))
         at = 0
         for chunk, level, bucket, n in zip(pdf["chunk"], pdf["level"], pdf["bucket"], sizes):
             rows.append((chunk, level, bucket, _bits(flags[at : at + n])))
@@ -202,7 +208,7 @@ def _reply(final: bool):
 def _covered(chunk: Chunk, levels: list[int], answers: dict) -> np.ndarray:
     """Whether each word of the chunk is to be removed."""
     length = levels[-1]
-    at, group, n, h1, _, ids, places, doc_id, place = chunk.last(length, _candidates(chunk, levels, answers))
+    at, group, n, h1, _, ids, places, doc_id, place, _ = chunk.last(length, _candidates(chunk, levels, answers))
     later = np.zeros(n, dtype=bool)
     edges = np.searchsorted(h1 % np.uint64(chunk.buckets), np.arange(chunk.buckets + 1, dtype=np.uint64))
     for b in np.flatnonzero(np.diff(edges)).tolist():
@@ -223,11 +229,11 @@ def _asked(docs: DataFrame, replies: DataFrame | None, levels: list[int], final:
     return sent.groupBy("bucket").applyInPandas(_reply(final), BITS)
 
 
-def _chunked(docs: DataFrame, id_col: str, text_col: str, chunk_chars: int, others: list[str] = []) -> DataFrame:
-    """__id, __text, __chunk, and the other columns under the names c0, c1, ..., so that no name clashes."""
-    n = chunk_count(docs, text_col, chunk_chars)
+def _chunked(docs: DataFrame, id_col: str, text_col: str, chunk_chars: int, others: list[str] = []) -> tuple[DataFrame, int]:
+    """__id, __text, __chunk, and the other columns under the names c0, c1, ..., so that no name clashes; and the number of buckets."""
+    _, n, buckets = grid(docs, text_col, chunk_chars, BUCKET_CHARS, n_buckets(docs.sparkSession))
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
-    return plain.withColumn("__chunk", text_chunk(n, "__id", "__text"))
+    return plain.withColumn("__chunk", text_chunk(n, "__id", "__text")), buckets
 
 
 def dedup(docs: DataFrame, window: int = 20, start: int = 10, id_col: str = "doc_id", text_col: str = "text", rewrite: bool = True, chunk_chars: int = CHUNK_CHARS, prefix: str = "__") -> DataFrame:
@@ -237,12 +243,12 @@ def dedup(docs: DataFrame, window: int = 20, start: int = 10, id_col: str = "doc
     stretches are joined by one space. Without rewrite only the id is kept
     beside the three. The other columns stay in Arrow, untouched.
     """
-    levels, buckets = levels_to(window, start), n_buckets(docs.sparkSession)
+    levels = levels_to(window, start)
     stats = [f"{prefix}{c}" for c in ("n_words", "n_removed", "kept_sha256")]
     fields = [f for f in docs.schema.fields if f.name not in stats and (rewrite or f.name == id_col)]
     whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)  # then __id says it all
     others = [f.name for f in fields if f.name != text_col and not (whole and f.name == id_col)]
-    d = _chunked(docs, id_col, text_col, chunk_chars, others)
+    d, buckets = _chunked(docs, id_col, text_col, chunk_chars, others)
     narrow = d.select("__id", "__text", "__chunk")
     schema = T.StructType([T.StructField("__id", T.LongType()), *[T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(others)], T.StructField("text", T.StringType()), T.StructField("n", T.LongType()), T.StructField("gone", T.LongType()), T.StructField("sha", T.StringType())])
     replies = None
@@ -275,25 +281,21 @@ def dedup(docs: DataFrame, window: int = 20, start: int = 10, id_col: str = "doc
         return pa.table([*[left.column(c) for c in kept], *new], names=[*kept, "text", "n", "gone", "sha"])
 
     # Without other columns, the narrow rows are all rows, and the texts are shuffled once for all levels.
-    out = d.groupBy("__chunk").cogroup(replies.groupBy("chunk")).applyInArrow(clean, schema)
+    out = d.groupBy("__chunk").cogroup(replies.filter("chunk >= 0").groupBy("chunk")).applyInArrow(clean, schema)
     back = {id_col: F.col("__id").cast(docs.schema[id_col].dataType)} | {c: F.col(f"c{i}") for i, c in enumerate(others)} | {text_col: F.col("text")}
     return out.select(*[back[f.name].alias(f.name) for f in fields], *[F.col(k).alias(v) for k, v in zip(("n", "gone", "sha"), stats)])
 
 
 def repeat_lengths(docs: DataFrame, start: int = 10, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> list[tuple[int, int]]:
-    """(length, distinct repeated windows) of every level until no candidate survives.
-
-    Counts come from the sieve, so a count may hold false alarms (about one in 2000).
-    """
-    buckets = n_buckets(docs.sparkSession)
-    d = _chunked(docs, id_col, text_col, chunk_chars)
+    """(length, distinct repeated windows) of every level until no candidate survives; exact, on 128-bit hashes."""
+    d, buckets = _chunked(docs, id_col, text_col, chunk_chars)
     levels, replies, out = [start], None, []
-    ones = F.udf(lambda raw: int(_flags(bytes(raw)).sum()), "long")
     while True:
-        more = materialize(_asked(d, replies, list(levels), False, buckets), f"level-{levels[-1]}")
-        n = more.agg(F.sum(ones("bits")).alias("n")).first()["n"] or 0
+        exact = _asked(d, replies, list(levels), True, buckets).filter("chunk = -1")
+        n = exact.agg(F.sum(F.conv(F.hex("bits"), 16, 10).cast("long")).alias("n")).first()["n"] or 0
         if not n:
             return out
         out.append((levels[-1], n))
+        more = materialize(_asked(d, replies, list(levels), False, buckets), f"level-{levels[-1]}")
         replies = more if replies is None else replies.unionByName(more)
         levels.append(levels[-1] * 2)
