@@ -14,9 +14,10 @@ Decoding joins the ids with the token-byte table, whose size the vocabulary
 fixes (50,256 rows), as a lookup in the same batches.
 
 A chunk's number is a hash of its contents, and a chunk that misses an answer
-fails the task rather than giving fewer ids; the input must be a
-table scan (or another source that repeats its order), as with any positional
-operator. Chunks hold whole texts, ``chunk_chars`` characters or one longer text.
+fails the task rather than giving fewer ids. The two cuts agree if the input
+repeats its order, as a table scan does; an input with an exchange in its plan is
+written to the shared folder first. Chunks hold whole texts, ``chunk_chars``
+characters or one longer text; the number of buckets follows the characters.
 
 Defined cases: null and empty texts have no ids; repeated documents are encoded
 each; an empty table gives no rows; only named columns are read.
@@ -31,10 +32,10 @@ import unicodedata
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from adagium.llm.common import n_buckets
+from adagium.llm.common import grid, materialize, n_buckets
 from adagium.llm.vectext import SEEDS, pack, ragged, span_hashes, unpack
 
-CHUNK_CHARS = 4 << 20
+CHUNK_CHARS, BUCKET_CHARS = 4 << 20, 16 << 20
 ROWS = "key int, chunk long, bucket int, docs binary, payload binary"
 IDS = "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
@@ -237,7 +238,10 @@ def encode(docs: DataFrame, ranks_path: str, chunk_chars: int = CHUNK_CHARS, wit
     """IDS for each of docs(doc_id, text): ids as little-endian uint32 (null without with_ids), and both digests."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))  # its size is the vocabulary's
-    buckets = n_buckets(spark)
+    source = docs.select(F.col("doc_id").cast("long"), "text")
+    if "Exchange" in source._jdf.queryExecution().executedPlan().toString():  # its rows may come in another order each time
+        source = materialize(source, "texts")
+    _, _, buckets = grid(source, "text", chunk_chars, BUCKET_CHARS, n_buckets(spark))
     names = [c.split(" ")[0] for c in ROWS.split(", ")]
 
     def cut(kind):
@@ -258,26 +262,26 @@ def encode(docs: DataFrame, ranks_path: str, chunk_chars: int = CHUNK_CHARS, wit
 
         return run
 
-    def answer(batches):
+    def answer(pdf):
+        """The words of one bucket, each encoded once."""
         import pandas as pd
 
         known: dict[bytes, bytes] = {}
         table = ranks.value
-        for pdf in batches:
-            out = []
-            for key, chunk, bucket, docs_, payload in zip(pdf["key"], pdf["chunk"], pdf["bucket"], pdf["docs"], pdf["payload"]):
-                lens, raw = _split(payload)
-                lens, raw, at, codes = unpack(lens), _unsqueeze(raw), 0, []
-                for n in lens.tolist():
-                    w = raw[at : at + n]
-                    at += n
-                    c = known.get(w)
-                    if c is None:
-                        c = known[w] = np.array(encode_word(w, table), dtype="<u4").tobytes()
-                    codes.append(c)
-                payload = _join(pack(np.array([len(c) // 4 for c in codes], dtype=np.uint32)), pack(np.frombuffer(b"".join(codes), dtype="<u4")))
-                out.append((key, chunk, bucket, docs_, payload))
-            yield pd.DataFrame(out, columns=names)
+        out = []
+        for key, chunk, bucket, payload in zip(pdf["key"], pdf["chunk"], pdf["bucket"], pdf["payload"]):
+            lens, raw = _split(payload)
+            lens, raw, at, codes = unpack(lens), _unsqueeze(raw), 0, []
+            for n in lens.tolist():
+                w = raw[at : at + n]
+                at += n
+                c = known.get(w)
+                if c is None:
+                    c = known[w] = np.array(encode_word(w, table), dtype="<u4").tobytes()
+                codes.append(c)
+            payload = _join(pack(np.array([len(c) // 4 for c in codes], dtype=np.uint32)), pack(np.frombuffer(b"".join(codes), dtype="<u4")))
+            out.append((key, chunk, bucket, None, payload))
+        return pd.DataFrame(out, columns=names)
 
     def assemble(pdf):
         import pandas as pd
@@ -321,8 +325,7 @@ def encode(docs: DataFrame, ranks_path: str, chunk_chars: int = CHUNK_CHARS, wit
         res = pd.DataFrame(out, columns=[c.split(" ")[0] for c in IDS.split(", ")])
         return res.astype({"doc_id": "Int64"})
 
-    source = docs.select(F.col("doc_id").cast("long"), "text")
-    answers = source.mapInPandas(cut("words"), ROWS).repartition(buckets, "key").mapInPandas(answer, ROWS)
+    answers = source.mapInPandas(cut("words"), ROWS).groupBy("key").applyInPandas(answer, ROWS)
     return answers.unionByName(source.mapInPandas(cut("slots"), ROWS)).groupBy("chunk").applyInPandas(assemble, IDS)
 
 
