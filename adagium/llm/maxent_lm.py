@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame, functions as F
 from adagium.llm.common import grid, materialize, mix64, text_chunk
 from adagium.llm.vectext import Words, pack, ragged, unpack
 
-WIDTH, RARE, BLOCK = 32, 16, 16384
+WIDTH, RARE, BLOCK = 32, 16, 4096
 STEPS, PRIOR, UNIT = (0.5, 0.4), 3.0, 16384.0  # rate of each part's step, counts added to both sides, parts of a probability
 FREQUENT, ROWS, POWER = 6.0, 5.0, 0.4  # sizes: factor * characters ** POWER
 END = np.uint64(0xE2D0F7E3)
@@ -60,7 +60,7 @@ SUMS = "t int, lo int, pid int, hit binary, seen binary, expected binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 PART_ROWS = 512
 WORD, GRAM, TABLE = 0, 1, 2
-CHUNK_CHARS, BUCKET_CHARS, LEAST_BUCKETS = 4 << 20, 8 << 20, 32
+CHUNK_CHARS, BUCKET_CHARS, LEAST_BUCKETS = 8 << 20, 8 << 20, 32
 
 
 def tokens_of(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,13 +125,33 @@ def _edges(of: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     return [(b, int(edges[b]), int(edges[b + 1])) for b in np.flatnonzero(np.diff(edges)).tolist()]
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with inverse: the leading bits of the keys are sorted along with their places, and the rest compared."""
+    n = len(keys)
+    if not n:
+        return keys, np.zeros(0, np.int64)
+    bits = max(n - 1, 1).bit_length()
+    drop = np.uint64(max(0, int(keys.max()).bit_length() + bits - 64))
+    bits = np.uint64(bits)
+    both = np.sort(((keys >> drop) << bits) | np.arange(n, dtype=np.uint64))
+    at = (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    both >>= bits
+    new = np.concatenate([[True], both[1:] != both[:-1]])
+    own = keys[at]
+    if drop and (own[1:] != own[:-1])[~new[1:]].any():  # different keys share their leading bits
+        return np.unique(keys, return_inverse=True)
+    place = np.empty(n, np.int64)
+    place[at] = np.cumsum(new) - 1
+    return own[new], place
+
+
 class Chunk:
     """Tokens of a chunk's texts, with its distinct words and grams in the order in which the buckets are asked."""
 
     def __init__(self, texts, buckets: int):
         self.buckets = buckets
         self.hashes, self.endings, self.first = tokens_of(texts)
-        words, inverse = np.unique(self.hashes, return_inverse=True)
+        words, inverse = _distinct(self.hashes)
         of = words % np.uint64(buckets)
         order = np.argsort(of, kind="stable")
         rank = np.empty(len(order), np.int64)
@@ -139,13 +159,13 @@ class Chunk:
         self.words, self.word_of = words[order], rank[inverse]
         self.word_edges = _edges(of[order], buckets)
         pairs, triples, self.inner = grams_of(self.hashes, self.first)
-        self.grams, self.gram_of = np.unique(gram_keys(np.concatenate([pairs, triples[self.inner]]), buckets), return_inverse=True)
+        self.grams, self.gram_of = _distinct(gram_keys(np.concatenate([pairs, triples[self.inner]]), buckets))
         self.gram_edges = _edges(self.grams >> np.uint64(32), buckets)
 
     def cells(self, learn: np.ndarray):
         """(bucket, kind, payload) of all asked keys; learn: which tokens are of training documents."""
         for b, a, z in self.word_edges:
-            yield b, WORD, self.words[a:z].tobytes()
+            yield b, WORD, pack(np.diff(self.words[a:z], prepend=np.uint64(0)))
         n = np.bincount(self.gram_of, weights=np.concatenate([learn, learn[self.inner]]), minlength=len(self.grams)).astype(np.uint32)
         low = (self.grams & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         for b, a, z in self.gram_edges:
@@ -185,7 +205,7 @@ def _words(buckets: int):
     def run(batches):
         for pdf in batches:
             texts = list(pdf["text"])
-            for lo, hi in groups_of(texts, 8 << 20):
+            for lo, hi in groups_of(texts, 16 << 20):
                 h, e, _ = tokens_of(texts[lo:hi])
                 words, at, n = np.unique(h, return_index=True, return_counts=True)
                 of = words % np.uint64(buckets)
@@ -212,7 +232,7 @@ def _answer(pdf):
     if kind == GRAM:
         sent = [_split(p) for p in pdf["payload"]]
         keys = [np.cumsum(unpack(p[0]), dtype=np.uint32) for p in sent]
-        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        distinct, inverse = _distinct(np.concatenate(keys).astype(np.uint64))
         n = np.bincount(inverse, weights=np.concatenate([unpack(p[1]) for p in sent]), minlength=len(distinct)).astype(np.uint32)[inverse]
         ends = np.cumsum([len(k) for k in keys])
         return _cell_rows([(bucket, chunk, kind, pack(n[z - len(k) : z])) for chunk, k, z in zip(pdf["chunk"], keys, ends)])
@@ -222,7 +242,7 @@ def _answer(pdf):
         w, c = (x(p) for x, p in zip((lambda p: np.frombuffer(p, np.uint64), unpack), _split(table["payload"].iloc[0])))
     rows = []
     for chunk, q in zip(asked["chunk"], asked["payload"]):
-        q = np.frombuffer(q, np.uint64)
+        q = np.cumsum(unpack(q), dtype=np.uint64)
         at = np.minimum(np.searchsorted(w, q), len(w) - 1)
         rows.append((bucket, chunk, kind, pack(np.where(w[at] == q, c[at], 0).astype(np.uint32))))
     return _cell_rows(rows)
@@ -347,27 +367,31 @@ class Model:
             of, node = np.repeat(np.arange(len(leaf)), lens), self.nodes[picked]
             yield of, ((3, self.hashed(back1[of], node, 2)), (4, self.hashed(back2[of], node, 3))), self.shares[node], self.children[picked]
 
-    def softmax(self, rows, shares) -> np.ndarray:
-        """Log probabilities of all children."""
+    def softmax(self, rows, shares, child) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(exponentials of all children's scores, their sums, log probabilities of the given children).
+
+        Scores are sums of a few bounded weights and of logs of shares, so they need no shift.
+        """
         (t, r), *more = rows
-        x = self.weights[t][r] + shares
+        x = self.weights[t].take(r, axis=0)
+        x += shares
         for t, r in more:
-            x += self.weights[t][r]
-        x -= x.max(axis=1, keepdims=True)
-        x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-        return x
+            x += self.weights[t].take(r, axis=0)
+        own = x[np.arange(len(child)), child].astype(np.float64)
+        np.exp(x, out=x)
+        total = x.sum(axis=1)
+        return x, total, own - np.log(total.astype(np.float64))
 
-    def log_probabilities(self, hashes, endings, first, seen) -> np.ndarray:
+    def log_probabilities(self, hashes, endings, first, seen, ids=None) -> np.ndarray:
         """Natural log of P(word | history) of each token, of the leaf alone for words that share one."""
-        ids = self.ids(hashes)
+        ids = self.ids(hashes) if ids is None else ids
         leaf, (back1, back2) = self.leaves(ids, endings, seen), self.contexts(ids, hashes, first)
         out = np.zeros(len(ids))
         for lo in range(0, len(ids), BLOCK):
             s = slice(lo, lo + BLOCK)
             own = out[s]
             for of, rows, shares, child in self.events(leaf[s], back1[s], back2[s]):
-                lp = self.softmax(rows, shares)[np.arange(len(child)), child].astype(np.float64)
-                own += np.bincount(of, weights=lp, minlength=len(own))
+                own += np.bincount(of, weights=self.softmax(rows, shares, child)[2], minlength=len(own))
         return out
 
 
@@ -386,11 +410,15 @@ class Gradient:
         m = self.model
         ids = m.ids(hashes)
         leaf, (back1, back2) = m.leaves(ids, endings, np.ones(len(ids), bool)), m.contexts(ids, hashes, first)
-        for lo in range(0, len(ids), 4 * BLOCK):
-            s = slice(lo, lo + 4 * BLOCK)
+        for lo in range(0, len(ids), 16 * BLOCK):
+            s = slice(lo, lo + 16 * BLOCK)
             for _, rows, shares, child in m.events(leaf[s], back1[s], back2[s]):
-                p = np.rint(np.exp(m.softmax(rows, shares)) * np.float32(UNIT))
-                p = np.ascontiguousarray(p.T, dtype=np.float64)
+                p = np.empty((WIDTH, len(child)))
+                for a in range(0, len(child), BLOCK):  # small blocks stay in the processor's cache
+                    z = slice(a, a + BLOCK)
+                    x, total, _ = m.softmax([(t, r[z]) for t, r in rows], shares[z] if shares.ndim == 2 else shares, child[z])
+                    x *= (np.float32(UNIT) / total)[:, None]
+                    p[:, z] = np.rint(x, out=x).T
                 for t, r in rows:
                     size = len(m.weights[t])
                     self.seen[t] += np.bincount(r * WIDTH + child, minlength=size * WIDTH).reshape(size, WIDTH)
@@ -439,7 +467,7 @@ def train(docs: DataFrame, model: Model, steps=STEPS) -> Model:
 
     spark, parts = docs.sparkSession, len(steps)
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))
-    tasks = max(1, int(model.n / parts / (100 * model.rows)))  # a task's sums are a small part of what it reads
+    tasks = max(1, int(model.n / parts / (200 * model.rows)))  # a task's sums are a small part of what it reads
     names = [c.split(" ")[0] for c in SUMS.split(", ")]
     for k, rate in enumerate(steps):
         shared = spark.sparkContext.broadcast(model)
@@ -512,8 +540,8 @@ def token_scores(model: Model, chunk: Chunk, answers, backoff=BACKOFF) -> tuple[
     """(base, score, known) of every token of a chunk; log10."""
     c, pair, triple = chunk.counts(answers)
     base = np.log10((c + 0.5) / model.z)
-    lp = model.log_probabilities(chunk.hashes, chunk.endings, chunk.first, c > 0) / np.log(10)
     ids = model.ids(chunk.words)[chunk.word_of]
+    lp = model.log_probabilities(chunk.hashes, chunk.endings, chunk.first, c > 0, ids) / np.log(10)
     # Words that share a leaf: their part of it by the unigram estimate.
     lp += np.where(ids >= 0, 0.0, base - np.log10(model.mass[model.leaves(ids, chunk.endings, c > 0)] / model.z))
     # The last token is END, which also stands before the first.
