@@ -63,7 +63,7 @@ class Maker:
         if out:
             out[0] = out[0].capitalize()
         if self.noisy:
-            out = [w + self.one(["%%%", "&&&", "###", "***", "$$$", "!!!"]) if self.chance(0.6) else w for w in out]
+            out = [w + self.one("!#$%&*+=?@^_~") * self.between(1, 5) if self.chance(0.6) else w for w in out]
         elif marks:
             out = [w + "," if self.chance(0.08) else w for w in out]
         return " ".join(out)
@@ -151,7 +151,7 @@ class Maker:
             r = self.rng.random()
             if r < 0.74:
                 x = self.kept(self.prose())
-                out.append(self.one([f"<p>{x}</p>", f"<p>{x}</p>", f"<p>{x}</p>", f"<p><b>{x}<br>", f"<p>{x}", f"<div>{x}</div>"]))
+                out.append(self.one([f"<p>{x}</p>", f"<p>{x}</p>", f"<p>{x}</p>", f"<p><i>{x}</p></i>", f"<p>{x}", f"<div>{x}<br></div>"]))
             elif r < 0.82:
                 k = self.between(2, 4)
                 out.append(f"<h{k}>{self.kept(self.words(self.between(1, 8), False))}</h{k}>")
@@ -164,6 +164,8 @@ class Maker:
                 out.append("<table>" + "".join("<tr>" + "".join(f"<td>{self.kept(self.words(2))}</td>" for _ in range(3)) + "</tr>" for _ in range(2)) + "</table>")
             elif r < 0.95:
                 out.append(f"<pre>{self.kept(self.words(12))}</pre>")
+            elif r < 0.96:
+                out.append(self.one(["<p hidden>{}</p>", '<div style="display: none"><p>{}</p></div>', "<span style='visibility:hidden'>{}</span>"]).format(html.escape(self.prose(), quote=False)))
             else:
                 out.append(self.furniture(self.one(["ad", "form", "share", "side", "ad", "notice"])))
         return "".join(out)
@@ -197,5 +199,6 @@ def page(seed: str) -> tuple[str, set[str]]:
     inside = m.wrap("".join([*before, article, *after]), m.between(0, 3))
     if m.chance(0.3):
         inside = "".join(before) + m.wrap(article, m.between(0, 3)) + "".join(after)
-    head = f'<!DOCTYPE html><html><head><title>{m.words(4)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>'
+    head = [f"<title>{m.words(m.between(1, 9), False)}</title>", '<meta charset="utf-8">', "<style>.a > b { color: #222 } /* <div> */</style>", f'<script>window.{m.word().encode("ascii", "ignore").decode()}x = "<section>";</script>', '<link rel="icon" href="/i.png">']
+    head = m.one(["<!DOCTYPE html>", "<!doctype html>\n", ""]) + f"<html{m.one(['', ' lang=\"xx\"'])}><head>" + "".join(x for x in head if m.chance(0.6)) + f"</head><body{m.named('plain', 0.3)}>"
     return head + inside + ("</body></html>" if m.chance(0.9) else ""), m.main

@@ -10,12 +10,14 @@ block is part of the main text if its probability reaches one half.
 The model is trained here, on the driver, on generated pages (``TRAIN_PAGES``,
 seeded): layouts with and without semantic elements, whose words are random but
 for the phrases that mark menus, notices, forms, adverts and comments. It has a
-fixed size and is broadcast. Extraction is one narrow Arrow pass.
+fixed size, is kept in the shared folder for later sessions and is broadcast.
+Extraction is one narrow Arrow pass.
 
 Defined cases: null and empty html, and pages without main text, give an empty
 text; unclosed and crossing elements follow the usual recovery (a block start
 ends an open paragraph, an end tag closes what is open inside it); comments,
-scripts, styles, titles, templates and embedded objects never show text;
+scripts, styles, titles, templates, embedded objects and elements that are hidden
+(``hidden``, ``display: none``, ``visibility: hidden``) never show text;
 character references are decoded once, also without semicolon; repeated pages
 are extracted each; an empty table gives no rows. Only named columns are read.
 """
@@ -39,45 +41,108 @@ HIDDEN = ("script", "style", "title", "template", "noscript", "iframe", "object"
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th")}
 HOLDERS = frozenset("ul ol menu dl table select body article section div".split())
 TAG = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
-NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORD = re.compile(r"[a-z]+")
 HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in HIDDEN}
 
 
-def blocks(page) -> list[tuple[str, tuple[str, ...], float]]:
-    """(text, path tokens, share of linked characters) of the leaf blocks with text, in page order."""
-    out: list[tuple[str, tuple[str, ...], float]] = []
+class Cut:
+    """The leaf blocks of a page with text, in page order, and the elements opened and closed on the way.
+
+    A block's path is what the first ``at`` events leave open; events are shared
+    by all blocks, so a page of any depth takes linear time.
+    """
+
+    def __init__(self):
+        self.texts: list[str] = []
+        self.links: list[float] = []  # share of linked characters
+        self.at: list[int] = []
+        self.depths: list[int] = []  # path tokens
+        self.events: list[tuple[int, str]] = []  # (1 or -1, path token)
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def path(self, k: int) -> list[str]:
+        """Path tokens of block k."""
+        out: list[str] = []
+        for sign, token in self.events[: self.at[k]]:
+            if sign > 0:
+                out.append(token)
+            else:
+                out.pop()
+        return out
+
+
+def _attributes(text: str) -> tuple[list[str], bool]:
+    """Path tokens of an element's class, id and role, and whether it is hidden."""
+    tokens, hidden = [], False
+    for m in ATTRIBUTE.finditer(text):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key in ("class", "id", "role"):
+            tokens += [f".{w}" for w in WORD.findall(value.lower())]
+        elif key == "hidden" or (key == "style" and HIDES.search(value)):
+            hidden = True
+    return tokens, hidden
+
+
+def blocks(page) -> Cut:
+    """The leaf blocks of a page."""
+    out = Cut()
     if not page:
         return out
     names: list[str] = []  # open elements
-    marks: list[tuple[str, ...]] = []
+    marks: list[tuple[list[str], bool]] = []  # their path tokens, and whether they are hidden
+    places: dict[str, list[int]] = {}  # where each name stands among the open elements
+    holders: list[int] = []
     pieces: list[str] = []
-    linked = 0
-    at, size = 0, len(page)
+    linked = depth = hidden = at = 0
+    size = len(page)
 
     def flush() -> None:
         nonlocal linked
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                path = tuple(x for m in marks for x in m)
-                out.append((text, path, min(1.0, linked / len(text))))
+                out.texts.append(text)
+                out.links.append(min(1.0, linked / len(text)))
+                out.at.append(len(out.events))
+                out.depths.append(depth)
             pieces.clear()
         linked = 0
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not hidden:
             raw = html.unescape(raw) if "&" in raw else raw
             pieces.append(raw)
-            if "a" in names:
+            if places.get("a"):
                 linked += len(raw.strip())
 
-    def close(depth: int) -> None:
-        if any(n in BLOCKS for n in names[depth:]):
+    def open_(name: str, tokens: list[str], hides: bool) -> None:
+        nonlocal depth, hidden
+        places.setdefault(name, []).append(len(names))
+        if name in HOLDERS:
+            holders.append(len(names))
+        names.append(name)
+        marks.append((tokens, hides))
+        out.events += [(1, t) for t in tokens]
+        depth += len(tokens)
+        hidden += hides
+
+    def close(to: int) -> None:
+        nonlocal depth, hidden
+        if any(names[k] in BLOCKS for k in range(to, len(names))):
             flush()
-        del names[depth:], marks[depth:]
+        while len(names) > to:
+            name, (tokens, hides) = names.pop(), marks.pop()
+            places[name].pop()
+            if name in HOLDERS:
+                holders.pop()
+            out.events += [(-1, t) for t in reversed(tokens)]
+            depth -= len(tokens)
+            hidden -= hides
 
     while at < size:
         m = TAG.search(page, at)
@@ -90,10 +155,8 @@ def blocks(page) -> list[tuple[str, tuple[str, ...], float]]:
         if not name:
             continue
         if m[1] or m[4]:
-            if name == "p" and "p" not in names:
-                flush()
-            elif name in names:
-                close(len(names) - 1 - names[::-1].index(name))
+            if places.get(name):
+                close(places[name][-1])
             elif name in BLOCKS:
                 flush()
             continue
@@ -103,29 +166,22 @@ def blocks(page) -> list[tuple[str, tuple[str, ...], float]]:
                 at = end.end() if end else size
             continue
         if name in BLOCKS:
-            if "p" in names:
-                close(names.index("p"))
+            if places.get("p"):
+                close(places["p"][0])
             flush()
-            for k in range(len(names) - 1, -1, -1):
-                if names[k] in SIBLINGS.get(name, ()):
-                    close(k)
-                elif names[k] in HOLDERS:
-                    break
+            if name in SIBLINGS:
+                while True:
+                    top = max(places[x][-1] if places.get(x) else -1 for x in SIBLINGS[name])
+                    if top <= (holders[-1] if holders else -1):
+                        break
+                    close(top)
         if name in VOID:
-            if name == "br":
+            if name == "br" and not hidden:
                 pieces.append(" ")
             continue
-        tokens = [name]
         attributes = m[3] or m[6]
-        if attributes and "=" in attributes or attributes and "hidden" in attributes:
-            for key, *value in NAMED.findall(attributes):
-                key, value = key.lower(), "".join(value)
-                if key in ("class", "id", "role"):
-                    tokens += [f".{w}" for w in WORD.findall(value.lower())]
-                elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and HIDES.search(value)):
-                    tokens.append(".hidden")
-        names.append(name)
-        marks.append(tuple(tokens))
+        tokens, hides = _attributes(attributes) if attributes else ([], False)
+        open_(name, [name, *tokens], hides)
     flush()
     return out
 
@@ -154,37 +210,48 @@ def _path_slot(token: str) -> int:
 class Inputs:
     """Hashed inputs of the blocks of several pages, one after the other."""
 
-    def __init__(self, pages: list[list]):
+    def __init__(self, pages: list[Cut]):
         from adagium.llm.vectext import Words
 
-        flat = [b for p in pages for b in p]
         self.sizes = np.array([len(p) for p in pages])
-        paths = [[_path_slot(t) for t in b[1]] or [0] for b in flat]
-        self.path_of = np.repeat(np.arange(len(flat)), [len(p) for p in paths])
-        self.paths = np.array([x for p in paths for x in p], dtype=np.int64)
-        w = Words([b[0] for b in flat], lower=True)
+        n_events = np.array([len(p.events) for p in pages], dtype=np.int64)
+        before = np.cumsum(n_events) - n_events
+        self.events = np.array([_path_slot(t) for p in pages for _, t in p.events], dtype=np.int64)
+        self.signs = np.array([s for p in pages for s, _ in p.events], dtype=np.float64)
+        self.page_start = np.repeat(before, self.sizes).astype(np.int64)  # a block's path: the sum of its page's events so far
+        self.place = np.array([a for p in pages for a in p.at], dtype=np.int64) + self.page_start
+        texts = [t for p in pages for t in p.texts]
+        w = Words(texts, lower=True)
         self.words = (w.hashes() % np.uint64(WORDS)).astype(np.int64)
-        self.word_of = np.repeat(np.arange(len(flat)), np.diff(w.first))
-        n = np.array([len(b[0]) for b in flat], dtype=float)
-        ends = np.array([b[0][-1] in ".!?:;\"”»…。！？" for b in flat], dtype=float)
-        digits = np.array([sum(map(b[0].count, "0123456789")) for b in flat]) / np.maximum(n, 1)
-        marks = np.array([any(c in b[0] for c in "©®|·»›") for b in flat], dtype=float)
-        depth = np.array([len(p) for p in paths]) / 8
-        self.told = np.ones(len(flat))  # 0 for blocks whose words are not shown
-        self.shapes = np.stack([np.log1p(n) / 6, np.array([b[2] for b in flat]), ends, digits, marks, depth], axis=1) if flat else np.zeros((0, SHAPES))
+        self.word_of = np.repeat(np.arange(len(texts)), np.diff(w.first))
+        n = np.array([len(t) for t in texts], dtype=float)
+        ends = np.array([t[-1] in ".!?:;\"”»…。！？" for t in texts], dtype=float)
+        digits = np.array([sum(map(t.count, "0123456789")) for t in texts]) / np.maximum(n, 1)
+        marks = np.array([any(c in t for c in "©®|·»›") for t in texts], dtype=float)
+        depth = np.minimum([d for p in pages for d in p.depths], 64) / 8
+        self.told = np.ones(len(texts))  # 0 for blocks whose words are not shown
+        self.shapes = np.stack([np.log1p(n) / 6, np.array([x for p in pages for x in p.links]), ends, digits, marks, depth], axis=1) if texts else np.zeros((0, SHAPES))
 
     def vectors(self, model) -> np.ndarray:
         n, kind = len(self.shapes), model["path"].dtype
-        path, word = np.zeros((n, PATH_DIM), kind), np.zeros((n, WORD_DIM), kind)
-        if n:
-            lead = np.flatnonzero(np.diff(self.path_of, prepend=-1))
-            path = np.add.reduceat(model["path"][self.paths], lead, axis=0)
-            if len(self.words):
-                lead = np.flatnonzero(np.diff(self.word_of, prepend=-1))
-                word[self.word_of[lead]] = np.add.reduceat(model["word"][self.words], lead, axis=0)
-                word *= (self.told / np.maximum(np.bincount(self.word_of, minlength=n), 1))[:, None].astype(kind)
+        word = np.zeros((n, WORD_DIM), kind)
+        sums = np.zeros((len(self.events) + 1, PATH_DIM))
+        np.cumsum(model["path"][self.events] * self.signs[:, None], axis=0, out=sums[1:])
+        path = (sums[self.place] - sums[self.page_start]).astype(kind)
+        if len(self.words):
+            lead = np.flatnonzero(np.diff(self.word_of, prepend=-1))
+            word[self.word_of[lead]] = np.add.reduceat(model["word"][self.words], lead, axis=0)
+            word *= (self.told / np.maximum(np.bincount(self.word_of, minlength=n), 1))[:, None].astype(kind)
         return np.concatenate([path, word, self.shapes.astype(kind)], axis=1)
 
+    def path_gradient(self, g: np.ndarray) -> np.ndarray:
+        """Gradient of the path vectors, from that of each block's path sum."""
+        at = np.zeros((len(self.events) + 2, PATH_DIM))
+        np.add.at(at, self.place, g)
+        np.subtract.at(at, self.page_start, g)
+        after = np.cumsum(at[::-1], axis=0)[::-1][1:-1] * self.signs[:, None]  # of all that follows an event
+        return np.stack([np.bincount(self.events, weights=x, minlength=PATHS) for x in after.T], axis=1)
+
 
 def new_model(rng) -> dict[str, np.ndarray]:
     m = {"path": rng.normal(0, 0.1, (PATHS, PATH_DIM)), "word": np.zeros((WORDS, WORD_DIM)), "out": rng.normal(0, 0.2, 2 * HIDDEN_DIM), "bias": np.zeros(1)}
@@ -282,15 +349,13 @@ def _gradients(model, inputs: Inputs, labels: np.ndarray) -> tuple[dict, float]:
             dc = dcell * f + dc * (1 - m)
         g[f"w{d}"], g[f"c{d}"] = gw, gc
     flat = dx.transpose(1, 0, 2)[mask[:, :, 0].T > 0]
-    g["path"], g["word"] = np.zeros_like(model["path"]), np.zeros_like(model["word"])
-    np.add.at(g["path"], inputs.paths, flat[inputs.path_of, :PATH_DIM])
+    g["path"], g["word"] = inputs.path_gradient(flat[:, :PATH_DIM]).astype(flat.dtype), np.zeros_like(model["word"])
     share = flat[:, PATH_DIM : PATH_DIM + WORD_DIM] * (inputs.told / np.maximum(np.bincount(inputs.word_of, minlength=len(flat)), 1))[:, None].astype(flat.dtype)
     np.add.at(g["word"], inputs.words, share[inputs.word_of])
     return g, loss
 
 
 TRAIN_PAGES, EPOCHS = 900, 12
-_MODEL: list[dict] = []
 
 
 def train_model(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 11) -> dict[str, np.ndarray]:
@@ -300,7 +365,7 @@ def train_model(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 11)
     rng = np.random.default_rng(seed)
     made = [page(f"{seed}:{k}") for k in range(pages)]
     cut = [blocks(h) for h, _ in made]
-    labels = [np.array([b[0] in main for b in c], dtype=float) for c, (_, main) in zip(cut, made)]
+    labels = [np.array([t in main for t in c.texts], dtype=float) for c, (_, main) in zip(cut, made)]
     lengths = np.array([len(c) for c in cut])
     model = {k: v.astype(np.float32) for k, v in new_model(rng).items()}
     pages_of = np.zeros(WORDS, dtype=np.int64)
@@ -329,13 +394,42 @@ def train_model(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 11)
     return {k: v.astype(np.float32) for k, v in model.items()}
 
 
+def fitted_model(spark) -> dict[str, np.ndarray]:
+    """The trained model: read from the shared folder, where the first session to need it writes it."""
+    import hashlib
+    import uuid
+
+    from adagium.llm import html_pages
+    from adagium.llm.common import shared_dir
+
+    code = b"".join(open(f, "rb").read() for f in (__file__, html_pages.__file__))
+    name = f"{shared_dir(spark)}/adagium-html-model-{hashlib.sha256(code).hexdigest()[:16]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(name).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path(name)):
+        rows = []
+        for k, v in train_model().items():
+            live = np.flatnonzero(v.reshape(len(v), -1).any(axis=1))
+            rows.append((k, list(v.shape), live.astype(np.int32).tobytes(), v[live].tobytes()))
+        temp = f"{name}-{uuid.uuid4().hex}"
+        spark.createDataFrame(rows, "name string, shape array<int>, live binary, data binary").coalesce(1).write.parquet(temp)
+        if not system.rename(path(temp), path(name)):
+            system.delete(path(temp), True)  # another session was first
+    model = {}
+    for r in spark.read.parquet(name).collect():
+        model[r["name"]] = np.zeros(r["shape"], np.float32)
+        live = np.frombuffer(r["live"], np.int32)
+        model[r["name"]][live] = np.frombuffer(r["data"], np.float32).reshape(len(live), *r["shape"][1:])
+    return model
+
+
 def main_texts(model, pages: list) -> list[tuple[str, int, int]]:
     """(text, blocks, blocks of the main text) of each page."""
     cut = [blocks(p) for p in pages]
     p = probabilities(model, Inputs(cut))
     out, at = [], 0
     for c in cut:
-        keep = [b[0] for b, q in zip(c, p[at : at + len(c)].tolist()) if q >= 0.5]
+        keep = [t for t, q in zip(c.texts, p[at : at + len(c)].tolist()) if q >= 0.5]
         out.append(("\n\n".join(keep), len(c), len(keep)))
         at += len(c)
     return out
@@ -344,9 +438,7 @@ def main_texts(model, pages: list) -> list[tuple[str, int, int]]:
 def extract(pages: DataFrame, model: dict | None = None) -> DataFrame:
     """PAGE for every row of pages(page_id, url, html)."""
     if model is None:
-        if not _MODEL:
-            _MODEL.append(train_model())
-        model = _MODEL[0]
+        model = fitted_model(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model)  # a fixed size
 
     def run(batches):
