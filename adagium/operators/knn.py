@@ -1,11 +1,13 @@
 """Cosine nearest neighbours, votes, cascades and distributions over embeddings.
 
-Similarities of a query block and a reference block are one matrix product in
-an Arrow batch; each task keeps the best k of every query of its block, so a
-query yields at most k rows a reference block and the final top k is a small
-window. Query and reference blocks meet by an equi-join on block numbers (and
-on the pool, where candidates are restricted); no pair of rows is emitted but
-these. Ties: similarity, then the smaller reference; votes, then the code.
+Queries travel to the references: blocks of at most ``block_rows`` query vectors
+(a bound on what is broadcast) are taken one after the other, and each is held
+against all references where they lie, one matrix product an Arrow batch, so no
+reference is shuffled. A task keeps the best k of every query over all its
+batches, so a query yields at most k rows a task, and the final top k is a small
+window. Where candidates are restricted to a pool, the products are taken pool by
+pool. No pair of rows is emitted but these. Ties: similarity, then the smaller
+reference; votes, then the code.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from adagium.shared import materialize
+
 TOP = "q long, ref long, sim double"
 
 
@@ -28,48 +32,101 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def neighbours(queries: DataFrame, refs: DataFrame, k: int = 15, query_key: str = "q", ref_key: str = "ref", vector: str = "embedding", pool: list[str] = [], block_rows: int = 2048, exclude: str | None = None) -> DataFrame:
+def _best(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(similarities, ids) of the k best columns of each row; -inf and -1 where there are fewer."""
+    n, m = sim.shape
+    if m > k:
+        least = np.partition(sim, m - k, axis=1)[:, m - k]
+        row, col = np.nonzero(sim >= least[:, None])
+    else:
+        row, col = (x.ravel() for x in np.indices(sim.shape))
+    own = np.broadcast_to(ids, sim.shape)[row, col]
+    order = np.lexsort((own, -sim[row, col], row))
+    row, col, own = row[order], col[order], own[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+    keep = place < k
+    out, names = np.full((n, k), -np.inf), np.full((n, k), -1, np.int64)
+    out[row[keep], place[keep]], names[row[keep], place[keep]] = sim[row[keep], col[keep]], own[keep]
+    return out, names
+
+
+def _units(vectors) -> np.ndarray:
+    v = np.array([np.asarray(x, dtype=np.float64) for x in vectors])
+    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return v / np.where(norm > 0, norm, 1.0)
+
+
+def _query_blocks(queries: DataFrame, columns: list, pool: list[str], block_rows: int):
+    """{pool values: (ids, unit vectors, excluded values)} of each block of queries, streamed to the driver."""
+    block: dict[tuple, list] = {}
+    n = 0
+    for r in queries.select(*columns, *pool).toLocalIterator():
+        block.setdefault(tuple(r[3 : 3 + len(pool)]), []).append(r[:3])
+        n += 1
+        if n == block_rows:
+            yield block
+            block, n = {}, 0
+    if n:
+        yield block
+
+
+def neighbours(queries: DataFrame, refs: DataFrame, k: int = 15, query_key: str = "q", ref_key: str = "ref", vector: str = "embedding", pool: list[str] = [], block_rows: int = 16384, exclude: str | None = None) -> DataFrame:
     """(pool, q, ref, sim, rank): the k nearest refs of each query, within its pool columns if given.
 
     exclude: a column of both; refs with the query's value are no candidates. null vectors have no neighbours.
     """
-    queries, refs = queries.filter(F.col(vector).isNotNull()), refs.filter(F.col(vector).isNotNull())
-    if exclude:
-        queries, refs = queries.withColumn("__x", F.col(exclude).cast("string")), refs.withColumn("__x", F.col(exclude).cast("string"))
-    n_q, n_r = (max(1, -(-d.count() // block_rows)) for d in (queries, refs))
-
-    def pack(df, key, side, blocks):
-        b = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-        fields = [F.col(key).cast("long").alias("id"), unit(F.col(vector)).alias("v")] + ([F.col("__x").alias("x")] if exclude else [])
-        return df.select(*pool, b.alias(f"{side}b"), F.struct(*fields).alias("r")).groupBy(*pool, f"{side}b").agg(F.collect_list("r").alias(f"{side}rows"))
-
-    left = pack(queries, query_key, "q", n_q).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))))
-    pairs = left.join(pack(refs, ref_key, "r", n_r), [*pool, "rb"])
-
-    def best(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                q, r = row.qrows, row.rrows
-                qi, ri = np.array([x["id"] for x in q]), np.array([x["id"] for x in r])
-                sim = np.stack([x["v"] for x in q]) @ np.stack([x["v"] for x in r]).T
-                if exclude:
-                    sim[np.array([x["x"] for x in q])[:, None] == np.array([x["x"] for x in r])[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(ri, sim.shape), -sim), axis=1)[:, :k]
-                rows, cols = np.repeat(np.arange(len(q)), order.shape[1]), order.ravel()
-                out = pd.DataFrame({"q": qi[rows], "ref": ri[cols], "sim": sim[rows, cols]})
-                out = out[np.isfinite(out["sim"])]
-                for p in pool:
-                    out[p] = getattr(row, p)
-                yield out[["q", "ref", "sim", *pool]]
-
+    spark = refs.sparkSession
+    side = lambda df, key: [F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), (F.col(exclude).cast("string") if exclude else F.lit(None).cast("string")).alias("x")]
+    known = refs.filter(F.col(vector).isNotNull()).select(*side(refs, ref_key), *pool)
     fields = ", ".join([TOP, *[f"{p} {dict(queries.dtypes)[p]}" for p in pool]])
-    near = pairs.select(*pool, "qrows", "rrows").mapInPandas(best, fields)
+
+    def searched(block):
+        shared = spark.sparkContext.broadcast({g: (np.array([r[0] for r in rows], dtype=np.int64), _units([r[1] for r in rows]), np.array([r[2] for r in rows], dtype=object)) for g, rows in block.items()})
+
+        def best(batches):
+            import pandas as pd
+
+            found = {}
+            for pdf in batches:
+                for g, (ids, q, x) in shared.value.items():
+                    own = pdf
+                    for p, value in zip(pool, g):
+                        own = own[own[p] == value]
+                    if not len(own):
+                        continue
+                    sim = q @ _units(own["v"]).T
+                    if exclude:
+                        sim[x[:, None] == own["x"].to_numpy(dtype=object)[None, :]] = -np.inf
+                    top = _best(sim, own["id"].to_numpy(np.int64), k)
+                    if g in found:
+                        top = _merge(found[g], top, k)
+                    found[g] = top
+            for g, (sim, names) in found.items():
+                row, col = np.nonzero(np.isfinite(sim))
+                out = pd.DataFrame({"q": shared.value[g][0][row], "ref": names[row, col], "sim": sim[row, col]})
+                for p, value in zip(pool, g):
+                    out[p] = value
+                yield out
+
+        return known.mapInPandas(best, fields)
+
+    near = None
+    for block in _query_blocks(queries.filter(F.col(vector).isNotNull()), side(queries, query_key), pool, block_rows):
+        more = searched(block)
+        near = more if near is None else near.unionByName(more)
+    if near is None:
+        near = spark.createDataFrame([], fields)
     w = W.partitionBy(*pool, "q").orderBy(F.desc("sim"), "ref")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _merge(a: tuple, b: tuple, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of two lists a row."""
+    sim, names = (np.concatenate(x, axis=1) for x in zip(a, b))
+    order = np.lexsort((names, -sim), axis=1)[:, :k]
+    return np.take_along_axis(sim, order, axis=1), np.take_along_axis(names, order, axis=1)
+
+
 def vote(near: DataFrame, labels: DataFrame, keys: list[str] = ["q"], weighted: bool = True, ones_if_zero: bool = True) -> DataFrame:
     """(keys, code, weight, share): similarity-weighted votes of labels(ref, code).
 
@@ -137,9 +194,11 @@ def cascade(queries: DataFrame, refs: DataFrame, k: int = 15, fold: str | None =
     stage = lambda q, r, pool: neighbours(q, r, k, pool=pool, exclude=x)
     lab = lambda r, c: r.filter(F.col(c) != "").select("ref", F.col(c).alias("code"))
     theme = predict(stage(queries, refs, []), lab(refs, "theme"), queries).select("q", F.col("code").alias("pred_theme"), F.col("share").alias("theme_conf"))
+    theme = materialize(theme, "themes")
     q2 = queries.join(theme, "q").withColumn("theme", F.col("pred_theme"))
     main_refs = refs.filter(F.col("main_class") != "")
     main = predict(stage(q2, main_refs, ["theme"]), lab(main_refs, "main_class"), q2).select("q", F.col("code").alias("pred_main"), F.col("share").alias("main_conf"))
+    main = materialize(main, "main-classes")
     q3 = queries.join(main, "q").withColumn("main_class", F.col("pred_main"))
     sub_refs = refs.filter(F.col("subgroup_code") != "")
     sub = predict(stage(q3, sub_refs, ["main_class"]), lab(sub_refs, "subgroup_code"), q3).select("q", F.col("code").alias("pred_sub"), F.col("share").alias("sub_conf"))

@@ -1,21 +1,17 @@
 """Plans of the nearest-neighbour workload on the embeddings table.
 
-Stand-ins: vec_id divisible by 5 asks, the others are references; theme, main
-class and subgroup codes derive from label and vec_id; references with vec_id
-divisible by 7 play definitions. The queries named ``_whole`` search the whole
-table: vec_id divisible by 50 asks, every other row is a reference, and the
-centroid of each subgroup is its definition.
+Stand-ins: rows with vec_id divisible by 50 ask, and every row of the table but the
+query itself is a reference; theme, main class and subgroup codes derive from
+label and vec_id; the centroid of each subgroup is its definition.
 """
 
 from __future__ import annotations
 
-from types import FunctionType
-
 from pyspark.sql import Window as W, functions as F
 
 from adagium.functions import fixed
 from adagium.operators import corpus, inference, knn, metrics
-from adagium.plans.registry import ORACLES, QUERIES, query, table
+from adagium.plans.registry import query, table
 
 K = fixed.KNN_K
 
@@ -28,16 +24,15 @@ def _codes(df):
 
 def _parts(spark, d):
     e = _codes(table(spark, d, "embeddings"))
-    q = e.filter("vec_id % 5 = 0").withColumnRenamed("vec_id", "q")
-    r = e.filter("vec_id % 5 <> 0").withColumnRenamed("vec_id", "ref")
-    return q, r
+    q = e.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "q").withColumn("own", F.col("q"))
+    return q, e.withColumnRenamed("vec_id", "ref").withColumn("own", F.col("ref"))
 
 
 _E = """e AS (SELECT vec_id, label, chr(65 + label) AS theme, concat(chr(65 + label), (vec_id % 3)::VARCHAR) AS main_class, concat(chr(65 + label), (vec_id % 3)::VARCHAR, chr((97 + vec_id % 2)::INT)) AS subgroup_code,
   list_transform(embedding, lambda x: x::DOUBLE) AS v0 FROM embeddings),
 n AS (SELECT * EXCLUDE (v0), list_transform(v0, lambda x: x / sqrt(list_dot_product(v0, v0))) AS v FROM e),
-qs AS (SELECT vec_id AS q, * EXCLUDE (vec_id) FROM n WHERE vec_id % 5 = 0), rs AS (SELECT vec_id AS ref, * EXCLUDE (vec_id) FROM n WHERE vec_id % 5 <> 0)"""
-_TOP = f"""{_E}, nn AS (SELECT q, ref, sim, r AS rank FROM (SELECT q, ref, list_dot_product(qs.v, rs.v) AS sim, row_number() OVER (PARTITION BY q ORDER BY list_dot_product(qs.v, rs.v) DESC, ref) AS r FROM qs, rs) WHERE r <= {K})"""
+qs AS (SELECT vec_id AS q, * EXCLUDE (vec_id) FROM n WHERE vec_id % 50 = 0), rs AS (SELECT vec_id AS ref, * EXCLUDE (vec_id) FROM n)"""
+_TOP = f"""{_E}, nn AS (SELECT q, ref, sim, r AS rank FROM (SELECT q, ref, list_dot_product(qs.v, rs.v) AS sim, row_number() OVER (PARTITION BY q ORDER BY list_dot_product(qs.v, rs.v) DESC, ref) AS r FROM qs, rs WHERE ref <> q) WHERE r <= {K})"""
 
 
 def _votes_sql(name: str, near: str, labels: str, keys: str = "q") -> str:
@@ -51,7 +46,7 @@ _THEME = _votes_sql("tv", "nn", "SELECT ref, theme AS code FROM rs")
 
 def _near(spark, d):
     q, r = _parts(spark, d)
-    return q, r, knn.neighbours(q, r, K)
+    return q, r, knn.neighbours(q, r, K, exclude="own")
 
 
 def _theme_votes(spark, d):
@@ -95,13 +90,20 @@ def topn_hits(spark, d):
     return hits.withColumns({f"top{k}": F.round(f"top{k}", 6) for k in (1, 2, 3)})
 
 
-_DEF = """, ds AS (SELECT * FROM rs WHERE ref % 7 = 0),
+_DEF = """, cx AS (SELECT theme, main_class, subgroup_code, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM rs),
+cm AS (SELECT theme, main_class, subgroup_code, i, avg(x) AS x FROM cx GROUP BY ALL),
+c0 AS (SELECT theme, main_class, subgroup_code, list(x ORDER BY i) AS v0 FROM cm GROUP BY ALL),
+ds AS (SELECT row_number() OVER (ORDER BY subgroup_code) AS ref, theme, main_class, subgroup_code, list_transform(v0, lambda x: x / sqrt(list_dot_product(v0, v0))) AS v FROM c0),
 dn AS (SELECT q, theme, main_class, subgroup_code FROM (SELECT q, ds.theme, ds.main_class, ds.subgroup_code, row_number() OVER (PARTITION BY q ORDER BY list_dot_product(qs.v, ds.v) DESC, ref) AS r FROM qs, ds) WHERE r = 1)"""
 
 
 def _definitions(spark, d):
+    """A definition for each subgroup: the mean of its unit vectors; ref by the order of the codes."""
     q, r = _parts(spark, d)
-    return q, r.filter("ref % 7 = 0")
+    at = r.select("theme", "main_class", "subgroup_code", F.posexplode(knn.unit(F.col("embedding"))).alias("i", "x"))
+    mean = at.groupBy("theme", "main_class", "subgroup_code", "i").agg(F.avg("x").alias("x"))
+    defs = mean.groupBy("theme", "main_class", "subgroup_code").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
+    return q, defs.withColumn("ref", F.row_number().over(W.orderBy("subgroup_code")).cast("long"))  # a row a code
 
 
 @query(f"WITH {_E}{_DEF} SELECT q, theme AS code FROM dn")
@@ -123,7 +125,7 @@ def def_cascade(spark, d):
 
 def _stage(name: str, source: str, on: str, code: str, where: str = "true") -> str:
     near = f"""{name}n AS (SELECT q, ref, sim FROM (SELECT s.q, rs.ref, list_dot_product(qs.v, rs.v) AS sim, row_number() OVER (PARTITION BY s.q ORDER BY list_dot_product(qs.v, rs.v) DESC, rs.ref) AS r FROM {source} s JOIN qs ON qs.q = s.q JOIN rs ON {on}
-WHERE (rs.ref % 7 = 0 OR rs.ref % 3 <> qs.q % 3) AND {where}) WHERE r <= {K})"""
+WHERE rs.ref // 3 % 3 <> qs.q // 3 % 3 AND {where}) WHERE r <= {K})"""
     return near + ", " + _votes_sql(f"{name}v", f"{name}n", f"SELECT ref, {code} AS code FROM rs") + f", {name} AS (SELECT qs.q, coalesce(v.code, '') AS code FROM qs LEFT JOIN {name}v v ON v.q = qs.q AND v.rank = 1)"
 
 
@@ -133,8 +135,9 @@ cp AS (SELECT th.q, th.code AS pred_theme, mn.code AS pred_main, sb.code AS pred
 
 def _cascade(spark, d):
     q, r = _parts(spark, d)
-    q = q.withColumn("fold", F.col("q") % 3).drop("theme", "main_class", "subgroup_code")
-    r = r.withColumns({"fold": F.col("ref") % 3, "source_type": F.when(F.col("ref") % 7 == 0, "def_subgroup").otherwise("example")})
+    fold = lambda c: F.floor(F.col(c) / 3) % 3
+    q = q.withColumn("fold", fold("q")).drop("theme", "main_class", "subgroup_code", "own")
+    r = r.withColumns({"fold": fold("ref"), "source_type": F.lit("example")})
     return knn.cascade(q, r, K, fold="fold").select("q", "pred_theme", "pred_main", "pred_sub", "flat_sub")
 
 
@@ -228,66 +231,3 @@ def reference_index(spark, d):
     e = _codes(table(spark, d, "embeddings"))
     p = corpus.parent_codes(F.col("subgroup_code"))
     return e.select("vec_id", p["theme"].alias("theme"), p["main_class"].alias("main_class"), F.col("label").alias("depth"))
-
-
-# ---- the same searches over the whole table ---------------------------------------------------
-
-
-def _whole(spark, d):
-    e = _codes(table(spark, d, "embeddings"))
-    q = e.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "q").withColumn("own", F.col("q"))
-    return q, e.withColumnRenamed("vec_id", "ref").withColumn("own", F.col("ref"))
-
-
-def _whole_near(spark, d):
-    q, r = _whole(spark, d)
-    return q, r, knn.neighbours(q, r, K, exclude="own")  # all rows but the query itself
-
-
-def _centroids(spark, d):
-    """A definition for each subgroup: the mean of its unit vectors; ref by the order of the codes."""
-    q, r = _whole(spark, d)
-    at = r.select("theme", "main_class", "subgroup_code", F.posexplode(knn.unit(F.col("embedding"))).alias("i", "x"))
-    mean = at.groupBy("theme", "main_class", "subgroup_code", "i").agg(F.avg("x").alias("x"))
-    defs = mean.groupBy("theme", "main_class", "subgroup_code").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
-    return q, defs.withColumn("ref", F.row_number().over(W.orderBy("subgroup_code")).cast("long"))  # a row a code
-
-
-def _cascade_whole(spark, d):
-    q, r = _whole(spark, d)
-    fold = lambda c: F.floor(F.col(c) / 3) % 3
-    q = q.withColumn("fold", fold("q")).drop("theme", "main_class", "subgroup_code", "own")
-    r = r.withColumns({"fold": fold("ref"), "source_type": F.lit("example")})
-    return knn.cascade(q, r, K, fold="fold").select("q", "pred_theme", "pred_main", "pred_sub", "flat_sub")
-
-
-_NEAR_QUERIES = ("knn_top15", "knn_vote", "knn_distribution", "top3_themes", "topn_hits", "shortlist", "shortlist_recall", "fuse_top3_confidence")
-_DEF_QUERIES = ("def_nearest", "def_cascade")
-_CENTROIDS = """, cx AS (SELECT theme, main_class, subgroup_code, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM rs),
-cm AS (SELECT theme, main_class, subgroup_code, i, avg(x) AS x FROM cx GROUP BY ALL),
-c0 AS (SELECT theme, main_class, subgroup_code, list(x ORDER BY i) AS v0 FROM cm GROUP BY ALL),
-ds AS (SELECT row_number() OVER (ORDER BY subgroup_code) AS ref, theme, main_class, subgroup_code, list_transform(v0, lambda x: x / sqrt(list_dot_product(v0, v0))) AS v FROM c0)"""
-
-
-def _whole_sql(sql: str) -> str:
-    for old, new in (
-        ("WHERE vec_id % 5 = 0", "WHERE vec_id % 50 = 0"), (" FROM n WHERE vec_id % 5 <> 0", " FROM n"), ("FROM qs, rs) WHERE", "FROM qs, rs WHERE ref <> q) WHERE"),
-        (", ds AS (SELECT * FROM rs WHERE ref % 7 = 0)", _CENTROIDS), ("(rs.ref % 7 = 0 OR rs.ref % 3 <> qs.q % 3)", "rs.ref // 3 % 3 <> qs.q // 3 % 3"),
-    ):
-        sql = sql.replace(old, new)
-    return sql
-
-
-def _register_whole() -> None:
-    def over(f, **parts):
-        """f with the helpers of this module that choose its rows exchanged."""
-        return FunctionType(f.__code__, {**globals(), **parts}, f.__name__, f.__defaults__)
-
-    votes = over(_theme_votes, _near=_whole_near)
-    for names, parts in ((_NEAR_QUERIES, {"_near": _whole_near, "_parts": _whole, "_theme_votes": votes}), (_DEF_QUERIES, {"_definitions": _centroids}), (("cascade_cv",), {"_cascade": _cascade_whole})):
-        for name in names:
-            QUERIES[f"{name}_whole"] = over(QUERIES[name], **parts)
-            ORACLES[f"{name}_whole"] = _whole_sql(ORACLES[name])
-
-
-_register_whole()

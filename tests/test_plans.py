@@ -40,7 +40,7 @@ def test_query_equals_sql(spark, duck, sf, name):
     assert got == sorted(tuple(plain(r[at[c]]) for c in cols) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - {"logreg_embeddings", "logreg_rules"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_without_sql_runs(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
 
@@ -57,7 +57,7 @@ def test_whole_table_neighbours(spark, sf):
         sim = v @ v[q]
         sim[q] = -np.inf
         want |= {(int(ids[q]), int(ids[r])) for r in np.lexsort((ids, -sim))[:15]}
-    got = {(r["q"], r["ref"]) for r in catalog.QUERIES["knn_top15_whole"](spark, sf).collect()}
+    got = {(r["q"], r["ref"]) for r in catalog.QUERIES["knn_top15"](spark, sf).collect()}
     assert got == want and any(r % 5 == 0 for _, r in got)
 
 
