@@ -102,11 +102,11 @@ def definition_cascade(df: DataFrame, definitions: DataFrame, client: Client, in
 
 
 def few_shots(train: DataFrame, key: str, text: str, label: str, shots: int, seed: int = 42) -> str:
-    """Shots examples, as many of each class, from the training rows alone, rendered in hashed order."""
+    """About shots examples, as many of each class and one at least, from the training rows alone, rendered in hashed order."""
     from adagium.operators.sampling import draw, sample_strata
 
-    names = [r[0] for r in train.select(F.col(label).cast("string")).distinct().orderBy(label).limit(shots).collect()]
-    rows = sample_strata(train.withColumn("__l", F.col(label).cast("string")), "__l", key, {x: shots // len(names) for x in names}, seed)
+    names = [r[0] for r in train.select(F.col(label).cast("string")).distinct().orderBy(label).collect()]  # a row a class
+    rows = sample_strata(train.withColumn("__l", F.col(label).cast("string")), "__l", key, {x: max(1, shots // len(names)) for x in names}, seed)
     rows = rows.orderBy(draw(F.col(key), f"{seed}s"), key).select(text, "__l").collect()  # shots rows
     return "\n\n".join(f'Text: "{t}"\n{{"label": {y}}}' for t, y in rows)
 

@@ -267,7 +267,7 @@ def logreg_embeddings(spark, d):
     """M1: penalty tuned on validation, one prediction of the test part."""
     rows = split(table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") % 2).cast("double").alias("y")), ["y"], "vec_id", (("train", 0.64), ("val", 0.16), ("test", 0.20)))
     parts = [rows.filter(F.col("split") == s) for s in ("train", "val", "test")]
-    pred, _, _ = models.tune_logistic(*parts, "y", grid=(0.1, 1.0, 10.0), max_iter=100)
+    pred, _, _ = models.tune_logistic(*parts, "y")
     return pred.select("vec_id", F.col("y").cast("int").alias("gold"), F.col("prediction").cast("int").alias("pred"))
 
 
@@ -277,7 +277,7 @@ def logreg_rules(spark, d):
     f = rules.features_v2(F.col("t"))
     rows = templated(table(spark, d, "documents")).withColumns(f)
     rows = rows.withColumn("y", (mock_sum_label(F.col("t"))["form"] == "prescriptive").cast("double")).withColumn("y", F.when(F.col("f_imperative") == 1, 1.0).otherwise(F.col("y")))
-    out = models.out_of_fold(rows, list(rules.FEATURES_V2), "y", "doc_id", folds=3)
+    out = models.out_of_fold(rows, list(rules.FEATURES_V2), "y", "doc_id")
     return out.select("doc_id", F.col("y").cast("int").alias("gold"), F.col("prediction").cast("int").alias("pred"))
 
 

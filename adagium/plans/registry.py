@@ -39,7 +39,9 @@ TEMPLATES = (
 
 
 def templated(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, t): template number doc_id modulo their count, slots from the first three ASCII words."""
+    """(doc_id, lang, t): the whole text of every document; and, as rules seldom fire on such texts, for each one a
+    sentence under the number -1 - doc_id: template doc_id modulo their count, slots from its first three ASCII words.
+    """
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)
     d = docs.select("doc_id", "lang", words.alias("w"))
     slot = {k: F.coalesce(F.try_element_at("w", F.lit(i + 1)), F.lit("x")) for i, k in enumerate("abc")}
@@ -55,7 +57,8 @@ def templated(docs: DataFrame) -> DataFrame:
     out = F.lit(None).cast("string")
     for i, t in enumerate(TEMPLATES):
         out = F.when(F.col("doc_id") % len(TEMPLATES) == i, fill(t)).otherwise(out)
-    return d.select("doc_id", "lang", out.alias("t"))
+    made = d.select((F.lit(-1) - F.col("doc_id")).alias("doc_id"), "lang", out.alias("t"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.coalesce("text", F.lit("")).alias("t")).unionByName(made)
 
 
 def _fill_sql(t: str) -> str:
@@ -68,6 +71,6 @@ def _fill_sql(t: str) -> str:
 
 
 TEMPLATED_SQL = (
-    "tc AS (SELECT doc_id, lang, CASE doc_id % " + str(len(TEMPLATES)) + " " + " ".join(f"WHEN {i} THEN {_fill_sql(t)}" for i, t in enumerate(TEMPLATES)) + " END AS t "
+    "tc AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents UNION ALL SELECT -1 - doc_id AS doc_id, lang, CASE doc_id % " + str(len(TEMPLATES)) + " " + " ".join(f"WHEN {i} THEN {_fill_sql(t)}" for i, t in enumerate(TEMPLATES)) + " END AS t "
     "FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents))"
 )

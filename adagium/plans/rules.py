@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from adagium.functions import fixed, replies, rules, text as T
 from adagium.operators import metrics
-from adagium.plans.registry import TEMPLATED_SQL, query, quoted, table, templated
+from adagium.plans.registry import ORACLES, TEMPLATED_SQL, query, quoted, table, templated
 from adagium.streaming.features import enrich
 
 
@@ -14,10 +14,13 @@ def _m(pattern: str, of: str = "t") -> str:
     return f"regexp_matches({of}, {quoted(pattern)})"
 
 
-_PREP = r"translate(trim(t), '’‘“”', '''''""')"
+# Letters outside ASCII are word characters; the SQL engine takes ASCII alone for words, so there they become underscores.
+LETTERS = r"[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]"
+_worded = lambda t: f"regexp_replace({t}, '{LETTERS}', '_', 'g')"
+_PREP = _worded(r"translate(trim(t), '’‘“”', '''''""')")
 _CLAUSE = """CASE WHEN len(string_split_regex(trim(coalesce(c2, '')), '\\s+')) >= 2 THEN c2 ELSE t END"""
 _PREPARED = f"""{TEMPLATED_SQL}, pr AS (SELECT doc_id, lang, {_PREP} AS t FROM tc),
-cl0 AS (SELECT *, CASE WHEN regexp_matches(t, ',|;| then ') THEN regexp_extract(t, '^(?:.*?)(?:,|;| then )(.*)$', 1) END AS c2 FROM pr),
+cl0 AS (SELECT *, CASE WHEN regexp_matches(t, ',|;| then ') THEN regexp_extract(t, '(?s)^(?:.*?)(?:,|;| then )(.*)$', 1) END AS c2 FROM pr),
 cl AS (SELECT doc_id, lang, t, {_CLAUSE} AS clause FROM cl0),
 va AS (SELECT doc_id, lang, t, CASE WHEN p > n THEN 'pos' WHEN n > p THEN 'neg' ELSE 'neut' END AS v FROM (
   SELECT *, len(regexp_extract_all(clause, {quoted(fixed.POSITIVE)})) AS p, len(regexp_extract_all(clause, {quoted(fixed.NEGATIVE)})) AS n FROM cl))"""
@@ -92,7 +95,7 @@ def rule_score(spark, d):
     return _scored(spark, d).select("doc_id", "implicit_prescriptive", "ip_trigger", "ip_confidence")
 
 
-@query(f"""WITH {TEMPLATED_SQL} SELECT doc_id, {_m(fixed.PREFIX_CUES)}::INT AS prefix_flag,
+@query(f"""WITH {TEMPLATED_SQL.replace("tc AS", "tc0 AS", 1)}, tc AS (SELECT doc_id, lang, {_worded("t")} AS t FROM tc0) SELECT doc_id, {_m(fixed.PREFIX_CUES)}::INT AS prefix_flag,
 CASE WHEN trim(t) = '' THEN 0 WHEN {_m(fixed.PREFIX_CUES, 'trim(t)')} OR {_m(fixed.NOT_NOT, 'trim(t)')} THEN 1 WHEN lower(regexp_extract(trim(t), '[a-zA-Z'']+')) IN ({', '.join(map(quoted, fixed.STARTERS))}) THEN 1 ELSE 0 END AS has_imperative FROM tc""")
 def imperative_flag(spark, d):
     """C1, C2, T13."""
@@ -140,6 +143,16 @@ def enriched_corpus(spark, d):
     return enrich(_templated(spark, d), "t")
 
 
+def _enriched_sql() -> str:
+    """The SQL of the queries above, joined by document."""
+    parts = {n: ORACLES[n] for n in ("rule_features_v1", "rule_score", "imperative_flag", "canonical_claim", "canonical_hints")}
+    extra = {"imperative_flag": ", prefix_flag"}
+    return "SELECT tc.doc_id, tc.lang, tc.t, " + ", ".join(f"{n}.* EXCLUDE (doc_id{extra.get(n, '')})" for n in parts) + f" FROM (WITH {TEMPLATED_SQL} SELECT * FROM tc) tc " + " ".join(f"JOIN ({sql}) {n} ON {n}.doc_id = tc.doc_id" for n, sql in parts.items())
+
+
+ORACLES["enriched_corpus"] = _enriched_sql()
+
+
 #: Replies of several shapes around a 0/1 value and a code.
 _REPLIES = ('{{"label": {v}}}', 'Sure: {{"label": "{v}"}} ok', "the label is {v}", "no idea", "FORM: Prescriptive\nIMPLICIT: yes", "form : descriptive", "It is Descriptive, I think", "answer {v}.", "pre", 'CODE: A{v}', '{{"code": "A{v}"}}', "maybe B{v}a or C")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 #: Texts that stand for a missing value where NA tokens count.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -21,10 +21,12 @@ def read_csv(spark: SparkSession, path: str | list[str], keep_na: bool = False)
 def with_position(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """An explicit ordinal: by the given columns, or the scan's own order (files in path order, rows in file order).
 
-    The ordinal grows along the scan and is unique; it is not dense.
+    By columns it counts from 1, over a range-partitioned sort, each task numbering
+    its own rows; along the scan it grows and is unique, but is not dense.
     """
     if order:
-        return df.withColumn("position", F.row_number().over(W.orderBy(*order)).cast("long"))
+        schema = T.StructType([*df.schema.fields, T.StructField("position", T.LongType())])
+        return df.sparkSession.createDataFrame(df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), schema)
     return df.withColumn("position", F.monotonically_increasing_id())
 
 
@@ -79,8 +81,11 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 def import_matrix(spark: SparkSession, path: str, out: str, rows: int = 65536) -> None:
     """A .npy matrix as Parquet (ref, embedding), a memory-mapped slice at a time."""
     import numpy as np
+    import pyarrow as pa
 
     m = np.load(path, mmap_mode="r")
     for lo in range(0, len(m), rows):
-        part = [(lo + i, [float(x) for x in v]) for i, v in enumerate(m[lo : lo + rows])]
-        spark.createDataFrame(part, "ref long, embedding array<float>").write.mode("append").parquet(out)
+        part = np.ascontiguousarray(m[lo : lo + rows], dtype=np.float32)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1]), pa.array(part.ravel()))
+        arrow = pa.table({"ref": pa.array(np.arange(lo, lo + len(part), dtype=np.int64)), "embedding": lists})
+        spark.createDataFrame(arrow).write.mode("append").parquet(out)
