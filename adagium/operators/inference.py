@@ -77,9 +77,9 @@ def pick(df: DataFrame, candidates: str, text: str, client: Client, instruction:
     return many.unionByName(few)
 
 
-def shortlist_and_pick(queries: DataFrame, refs: DataFrame, labels: DataFrame, definitions: DataFrame, client: Client, instruction: str, text: str = "text", k: int = 15, n: int = 10, pool: list[str] = []) -> DataFrame:
+def shortlist_and_pick(queries: DataFrame, refs: DataFrame, labels: DataFrame, definitions: DataFrame, client: Client, instruction: str, text: str = "text", k: int = 15, n: int = 10, pool: list[str] = [], exclude: str | None = None) -> DataFrame:
     """The codes of the k nearest references, at most n by vote, then the model's pick."""
-    near = knn.neighbours(queries, refs, k, pool=pool)
+    near = knn.neighbours(queries, refs, k, pool=pool, exclude=exclude)
     top = knn.top_codes(knn.vote(near, labels), n).select("q", "rank", "code")
     named = top.join(definitions.select("code", F.col("text").alias("__d")), "code", "left")
     lists = named.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "code", F.coalesce("__d", "code").alias("text")))), lambda x: F.struct(x["code"].alias("code"), x["text"].alias("text"))).alias("candidates"))

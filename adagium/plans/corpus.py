@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from adagium.functions import fixed, text as T
 from adagium.operators import corpus, metrics, sampling
-from adagium.plans.registry import TEMPLATED_SQL, query, table, templated
+from adagium.plans.registry import TEMPLATED_SQL, query, quoted, table, templated
 from adagium.schema import conform, numbered_id, required_counts
 
 _WS = r"[\s\x0B\x1C-\x1F\x85\pZ]+"
@@ -139,7 +139,19 @@ def english_fraction(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(T.english_fraction(F.col("text"), LEXICON), 6).alias("fraction"))
 
 
-@query()
+# The SQL engine's \\b takes ASCII alone for words: other letters become underscores, one for one, before places are found.
+_PLACES = r"regexp_replace(text, '[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]', '_', 'g')"
+_SQUEEZED = lambda x: f"trim(regexp_replace({x}, {quoted(T.SPACE)}, ' ', 'g'))"
+
+
+@query(rf"""WITH s AS (SELECT doc_id, text, [x FOR x IN string_split_regex(regexp_replace({_APART}, '([.!?])[ \t\n\r\f\x0B]+', '\1' || chr(1), 'g'), chr(1)) IF trim(x) <> ''] AS p FROM documents),
+w AS (SELECT *, [[z FOR z IN regexp_extract_all(lower(x), '[a-z'']+') IF length(z) >= 3] FOR x IN p] AS ws FROM s),
+f AS (SELECT *, list_reverse([CASE WHEN len(y) >= 2 THEN len([z FOR z IN y IF z IN ({_LEX})]) / len(y)::DOUBLE ELSE 0 END >= 0.3 FOR y IN ws]) AS fl FROM w),
+t AS (SELECT *, len(p) AS n, coalesce(nullif(list_position(fl, false), 0) - 1, len(p)) AS tail FROM f),
+k AS (SELECT *, CASE WHEN regexp_matches({_PLACES}, {quoted(fixed.EMBEDDED_ENGLISH)}) THEN text[1:length(regexp_extract({_PLACES}, concat('(?s)^(.*?)(?:', {quoted(fixed.EMBEDDED_ENGLISH)}, ')'), 1))] END AS before FROM t),
+c AS (SELECT *, length(before) - strpos(reverse(before), '.') + 1 AS stop, before IS NOT NULL AND contains(before, '.') AS cut FROM k)
+SELECT doc_id, CASE WHEN tail > 0 AND tail < n THEN trim(array_to_string(p[1:n - tail], ' ')) ELSE text END AS native_lexicon, CASE WHEN tail > 0 AND tail < n THEN trim(array_to_string(p[n - tail + 1:], ' ')) ELSE '' END AS english_lexicon,
+CASE WHEN cut THEN {_SQUEEZED("text[1:stop]")} ELSE text END AS native_keyword, CASE WHEN cut THEN {_SQUEEZED("text[stop + 1:]")} ELSE '' END AS english_keyword FROM c""")
 def embedded_english(spark, d):
     """Trailing English by lexicon and by keyword."""
     c = F.col("text")

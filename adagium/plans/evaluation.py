@@ -244,7 +244,8 @@ def signal_verdict(spark, d):
     return acc.crossJoin(F.broadcast(floor)).select("method", metrics.signal(F.col("acc") - 0.5, F.col("acc"), F.col("floor")).alias("verdict"))
 
 
-@query()
+@query(f"""WITH {TEMPLATED_SQL}, g AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1), r AS (SELECT doc_id, t, q, row_number() OVER (PARTITION BY q ORDER BY md5(concat(doc_id, ':42')), doc_id) AS k FROM tc JOIN g USING (doc_id))
+SELECT string_agg(concat('Text: "', t, '"', chr(10), '{{"label": ', q, '}}'), chr(10) || chr(10) ORDER BY md5(concat(doc_id, ':42s')), doc_id) AS block FROM r WHERE k <= 3""")
 def fewshot_block(spark, d):
     """One row with the rendered examples."""
     gold = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W, functions as F
 
 from adagium.functions import fixed
 from adagium.operators import corpus, inference, knn, metrics
+from adagium.plans.corpus import _DEFS as _THEMES
 from adagium.plans.registry import query, table
 
 K = fixed.KNN_K
@@ -178,18 +179,20 @@ def shortlist_recall(spark, d):
     return h.agg(F.round(F.avg(F.col("hit").cast("double")), 6).alias("recall"), F.round(metrics.conditional_mean(F.col("picked"), F.col("hit")), 6).alias("precision_in_list"))
 
 
-@query()
+@query(f"""WITH {_TOP}, {_SUBS}, l AS (SELECT q, count(*) AS n, max_by(code, rank) AS c FROM sv WHERE rank <= 10 GROUP BY 1)
+SELECT qs.q, coalesce(n, 0) AS n_candidates, coalesce(c, '') AS pick FROM qs LEFT JOIN l ON l.q = qs.q""")
 def shortlist_pick(spark, d):
     """Shortlist, then a (mock) model's pick of its last code."""
     q, r = _parts(spark, d)
     defs = r.select(F.col("subgroup_code").alias("code")).distinct().withColumn("text", F.concat(F.lit("about "), F.col("code")))
     client = inference.mock_client(lambda p: '{"code": "' + p.split("\n\n")[1].split("\n")[-1].split(":")[0] + '"}')
     labels = r.select("ref", F.col("subgroup_code").alias("code"))
-    out = inference.shortlist_and_pick(q.withColumn("text", F.col("q").cast("string")), r, labels, defs, client, "Pick one code.")
-    return out.select("q", F.size("candidates").alias("n_candidates"), "pick")
+    out = inference.shortlist_and_pick(q.withColumn("text", F.col("q").cast("string")), r, labels, defs, client, "Pick one code.", exclude="own")
+    return out.select("q", F.size("candidates").cast("long").alias("n_candidates"), "pick")
 
 
-@query()
+@query(f"""WITH {_THEMES}, th AS (SELECT min(code) AS c FROM defs WHERE level = 'theme'), mn AS (SELECT min(code) AS c FROM defs, th WHERE level = 'main' AND code[1:1] = th.c)
+SELECT item_id, th.c AS pred_theme, coalesce(mn.c, '') AS pred_main, '' AS pred_sub FROM benchmark, th, mn""")
 def definition_llm_cascade(spark, d):
     """A cascade over definitions with a (mock) model that takes the first option; subgroups don't exist, so it ends there."""
     from adagium.plans.corpus import _definitions as themes
