@@ -12,9 +12,11 @@ import inspect
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from adagium.functions import fixed, rules
+from adagium.functions.replies import json_label, prompt
 from adagium.operators import corpus, inference, knn, metrics, models, sampling, votes
 from adagium.operators.corpus import clean_corpus, union_all
 from adagium.schema import conform, insert_after, numbered_id, validate
+from adagium.shared import materialize
 from adagium.sources import books, sinks, tables
 
 FORM, IMPLICIT = "prescriptive_or_descriptive", "has_implicit_prescription"
@@ -50,8 +52,10 @@ def clean(spark: SparkSession, source: str, out: str, lexicon: str) -> DataFrame
     return _saved(conform(clean_corpus(df, [w for w in words if len(w) >= 3])), out)
 
 
-def translate(spark: SparkSession, source: str, out: str, clients: dict | None = None, limit: int | None = None) -> DataFrame:
-    """X3, P6. clients: language to model client; without any, nothing changes."""
+def translate(spark: SparkSession, source: str, out: str, clients: dict | None = None, limit: int | None = None, endpoint: str | None = None, models_by_language: str = "") -> DataFrame:
+    """X3, P6. clients: language to model client, or language=model pairs of a server at endpoint; without any, nothing changes."""
+    if endpoint:
+        clients = {lang: inference.http_client(endpoint, m) for lang, m in (x.split("=") for x in models_by_language.split(",") if x)}
     return _saved(inference.translate(conform(load(spark, source)), clients or {}, limit), out)
 
 
@@ -129,8 +133,10 @@ def macro_f1(spark: SparkSession, pred: str, gold: str, out: str, prefix: str =
     return _saved(metrics.summary(long, ["0", "1"], ["model"]).orderBy(F.desc("macro_f1"), "model"), out)
 
 
-def llm_compare(spark: SparkSession, gold: str, out: str, clients: dict | None = None, limit: int | None = None) -> DataFrame:
-    """Every model's two answers, their ensemble, and correctness. Without clients, the mock of T23 answers."""
+def llm_compare(spark: SparkSession, gold: str, out: str, clients: dict | None = None, limit: int | None = None, endpoint: str | None = None, models_to_ask: str = "") -> DataFrame:
+    """Every model's two answers, their ensemble, and correctness. Without clients or models, comma separated, at an endpoint, the mock of T23 answers."""
+    if endpoint:
+        clients = {m: inference.http_client(endpoint, m) for m in models_to_ask.split(",") if m}
     from adagium.functions.replies import mock_sum_label, two_lines
 
     df = load(spark, gold, keep_na=True)
@@ -182,9 +188,7 @@ def cascade(spark: SparkSession, index: str, out: str, k: int = fixed.KNN_K, fol
     """Cross-validated cascade over a reference index; the fold summary is printed."""
     refs = sinks.load_index(spark, index)
     refs = refs if definitions else refs.filter("source_type = 'example'")
-    examples = sampling.stratified_group_folds(refs.filter("source_type = 'example'"), "kuusi_id", "theme", folds)
-    if not sampling.leaks(examples, "kuusi_id").isEmpty():
-        raise AssertionError("a group spans two folds")
+    examples, _ = _grouped(spark, index, folds)
     refs = union_all([examples, refs.filter("source_type <> 'example'").withColumn("fold", F.lit(-1))])
     pred = knn.cascade(examples.select(F.col("ref").alias("q"), "embedding", "fold"), refs, k, fold="fold")
     truth = examples.select(F.col("ref").alias("q"), "fold", F.col("theme").alias("true_theme"), F.col("main_class").alias("true_main"), F.col("subgroup_code").alias("true_sub"))
@@ -229,12 +233,136 @@ def figlit(spark: SparkSession, data: str, out: str, max_iter: int = 1000) -> Da
     return _saved(metrics.comparison(union_all([own, most, random])), out)
 
 
+def _client(endpoint: str | None, model: str | None, mock: bool):
+    if mock:
+        return inference.first_option_client()
+    if not endpoint or not model:
+        raise ValueError("name a model and its endpoint, or ask for the mock")
+    return inference.http_client(endpoint, model)
+
+
+def _judged(df: DataFrame, out: str, pairs: dict[str, str], fold: str | None = None) -> DataFrame:
+    """df with a 0/1 column for each (predicted, true) pair, saved; the means are printed, over folds if there are any."""
+    for p, t in pairs.items():
+        df = df.withColumn(f"{p}_ok", (F.col(p) == F.col(t)).cast("int"))
+    saved = _saved(df, out)
+    for p in pairs:
+        print(sinks.report(metrics.folded(saved, f"{p}_ok", fold) if fold else saved.agg(F.count("*").alias("n"), F.avg(f"{p}_ok").alias("accuracy")), p))
+    return saved
+
+
+def _grouped(spark: SparkSession, index: str, folds: int) -> tuple[DataFrame, DataFrame]:
+    """(examples with folds, definitions) of a reference index; no group spans two folds."""
+    refs = sinks.load_index(spark, index)
+    examples = sampling.stratified_group_folds(refs.filter("source_type = 'example'"), "kuusi_id", "theme", folds)
+    if not sampling.leaks(examples, "kuusi_id").isEmpty():
+        raise AssertionError("a group spans two folds")
+    return examples, refs.filter("source_type <> 'example'")
+
+
+LEVELS = (("theme", "theme", []), ("main", "main_class", ["theme"]), ("sub", "subgroup_code", ["main_class"]))
+_TRUE = {f"pred_{n}": f"true_{n}" for n, _, _ in LEVELS}
+
+
+def _truth(examples: DataFrame) -> DataFrame:
+    return examples.select(F.col("ref").alias("q"), "text", "fold", "embedding", *[F.col(c).alias(f"true_{n}") for n, c, _ in LEVELS])
+
+
+def rerank(spark: SparkSession, index: str, out: str, endpoint: str | None = None, model: str | None = None, mock: bool = False, sample: int = 200, k: int = fixed.KNN_K, folds: int = 5, client: object = None) -> DataFrame:
+    """A model picks theme, main class and subgroup from shortlists of neighbours outside the row's own fold. sample: so many rows, 0 for all."""
+    examples, defs = _grouped(spark, index, folds)
+    names = defs.select("text", F.coalesce(F.nullif("subgroup_code", F.lit("")), F.nullif("main_class", F.lit("")), F.col("theme")).alias("code"))
+    rows = _truth(sampling.sample_n(examples, "ref", sample) if sample else examples)
+    for n, column, pool in LEVELS:
+        refs = examples.filter(F.col(column) != "")
+        asked = rows.withColumns({c: F.col("pred_theme" if c == "theme" else "pred_main") for c in pool})
+        picked = inference.shortlist_and_pick(asked, refs, refs.select("ref", F.col(column).alias("code")), names, client or _client(endpoint, model, mock), "Pick the code that fits the text best.", k=k, pool=pool, exclude="fold")
+        inside = F.coalesce(F.exists("candidates", lambda x: x["code"] == F.col(f"true_{n}")), F.lit(False)).cast("int")
+        rows = materialize(picked.withColumns({f"pred_{n}": F.col("pick"), f"{n}_in_short": inside}).drop("pick", "candidates", *pool), f"picks-{n}")
+    return _judged(rows.drop("embedding", "q"), out, _TRUE)
+
+
+def pure_llm(spark: SparkSession, data: str, definitions: str, out: str, endpoint: str | None = None, model: str | None = None, mock: bool = False, mode: str = "cascade", sample: int = 200, client: object = None) -> DataFrame:
+    """A model classifies data(id, text, theme, main_class, subgroup_code) from definitions alone, level by level or (mode flat) by subgroup at once."""
+    if mode not in ("cascade", "flat"):
+        raise ValueError("mode is cascade or flat")
+    rows = load(spark, data)
+    rows = sampling.sample_n(rows, "id", sample) if sample else rows
+    defs, ask = load(spark, definitions).filter(F.trim("text") != ""), client or _client(endpoint, model, mock)
+    if mode == "cascade":
+        pred = inference.definition_cascade(rows, defs, ask, "Pick the code that fits the text best.")
+    else:  # every subgroup stands as a theme of a cascade of one level
+        flat = inference.definition_cascade(rows, defs.filter("level = 'subgroup'").withColumn("level", F.lit("theme")), ask, "Pick the code that fits the text best.")
+        code = F.col("pred_theme")
+        pred = flat.withColumns({"pred_theme": F.substring(code, 1, 1), "pred_main": F.substring(code, 1, 2), "pred_sub": code})
+    named = pred.withColumnsRenamed({c: f"true_{n}" for n, c, _ in LEVELS})
+    return _judged(named.withColumns({f"{n}_invalid": (F.col(f"pred_{n}") == "").cast("int") for n, _, _ in LEVELS}), out, _TRUE)
+
+
+def figlit_llm(spark: SparkSession, data: str, out: str, endpoint: str | None = None, model: str | None = None, mock: bool = False, text: str = "proverb_native", shots: int = 0, client: object = None) -> DataFrame:
+    """A model answers 0 or 1 for the locked test part; with shots, examples from the training part stand before the text."""
+    rows = load(spark, data).withColumn("y", models.balanced(F.col("label"))).filter("y is not null")
+    parts = sampling.split(rows, ["language", "y"], "id", fixed.SPLIT_SIZES)
+    ask = "Is the text literal (0) or figurative (1)? Answer with {\"label\": 0} or {\"label\": 1}."
+    if shots:
+        ask += "\n\n" + inference.few_shots(parts.filter("split = 'train'"), "id", text, "y", shots)
+    replied = inference.ask(parts.filter("split = 'test'"), prompt(ask, F.col(text)), client or _client(endpoint, model, mock))
+    pred = replied.select("id", "language", F.col("y").cast("string").alias("gold"), json_label(F.col("reply")).cast("string").alias("pred"), F.lit(model or "mock").alias("method"))
+    return _saved(metrics.comparison(pred), out)
+
+
+def xgb(spark: SparkSession, index: str, out: str, folds: int = 5, rounds: int = 400, depth: int = 6) -> DataFrame:
+    """Out-of-fold themes by boosted trees on embeddings, in grouped folds; the report is printed."""
+    examples, _ = _grouped(spark, index, folds)
+    themes = [r[0] for r in examples.select("theme").distinct().orderBy("theme").collect()]  # a row a theme
+    number = F.array_position(F.array(*map(F.lit, themes)), F.col("theme")).cast("double") - 1
+    rows = materialize(models.embedded(examples.withColumn("y", number), "embedding"), "boosting")
+    parts = []
+    for k in range(folds):
+        fit = models.boosted(rows.filter(F.col("fold") != k), "features", "y", rounds, depth)
+        parts.append(fit.transform(rows.filter(F.col("fold") == k)))
+    code = F.element_at(F.array(*map(F.lit, themes)), F.col("prediction").cast("int") + 1)
+    pred = union_all(parts).select("ref", "fold", F.col("theme").alias("gold"), code.alias("pred"))
+    saved = _saved(pred, out)
+    print(sinks.report(metrics.summary(saved, themes), "Boosted trees"))
+    print(sinks.report(metrics.confusion_matrix(saved, themes), "Confusion"))
+    return saved
+
+
+def defanchor(spark: SparkSession, index: str, out: str) -> DataFrame:
+    """Every example by its nearest theme definition (a), its nearest subgroup definition (b), and the cascade over definitions (c)."""
+    refs = sinks.load_index(spark, index)
+    rows = _truth(refs.filter("source_type = 'example'").withColumn("fold", F.lit(0))).drop("fold")
+    level = lambda n, c: refs.filter(F.col("source_type") == f"def_{n}").filter(F.col(c) != "")
+    named = lambda n, c: level(n, c).select("ref", F.col(c).alias("code"))
+    a = knn.nearest(rows, level("theme", "theme"), named("theme", "theme")).withColumnRenamed("code", "pred_theme")
+    b = knn.nearest(rows, level("subgroup", "subgroup_code"), named("subgroup", "subgroup_code")).select("q", F.col("code").alias("b_sub"), F.substring("code", 1, 2).alias("b_main"), F.substring("code", 1, 1).alias("b_theme"))
+    first = materialize(rows.join(a, "q").join(b, "q"), "anchors")
+    main = knn.nearest(first.withColumn("theme", F.col("pred_theme")), level("main", "main_class"), named("main", "main_class"), ["theme"]).select("q", F.col("code").alias("pred_main"))
+    second = materialize(first.join(main, "q", "left"), "anchors")
+    sub = knn.nearest(second.withColumn("main_class", F.col("pred_main")), level("subgroup", "subgroup_code"), named("subgroup", "subgroup_code"), ["main_class"]).select("q", F.col("code").alias("pred_sub"))
+    done = second.join(sub, "q", "left").na.fill("", ["pred_main", "pred_sub"]).drop("embedding", "q")
+    return _judged(done, out, _TRUE | {f"b_{n}": f"true_{n}" for n, _, _ in LEVELS})
+
+
+def top3(spark: SparkSession, index: str, out: str, k: int = fixed.KNN_K, folds: int = 5) -> DataFrame:
+    """By fold, the share of examples whose theme is among the first one, two and three by vote of other folds' neighbours."""
+    examples, _ = _grouped(spark, index, folds)
+    near = knn.neighbours(examples.withColumn("q", F.col("ref")), examples, k, exclude="fold")
+    ranked = knn.top_codes(knn.vote(near, examples.select("ref", F.col("theme").alias("code"))), 3).select("q", F.col("code").alias("true_theme"), "rank")
+    hits = _truth(examples).join(ranked, ["q", "true_theme"], "left").withColumns({f"top{n}": (F.coalesce("rank", F.lit(99)) <= n).cast("int") for n in (1, 2, 3)})
+    saved = _saved(hits.select("q", "fold", "true_theme", "top1", "top2", "top3"), out)
+    for n in (1, 2, 3):
+        print(sinks.report(metrics.folded(saved, f"top{n}"), f"top {n}"))
+    return saved
+
+
 def _saved(df: DataFrame, out: str) -> DataFrame:
     sinks.save_table(df, out)
     return df.sparkSession.read.parquet(out)
 
 
-JOBS = {f.__name__: f for f in (book, combine, clean, translate, select, imperative, imppresc, canonicalise, vote, macro_f1, llm_compare, ip_train, index, cascade, label, figlit)}
+JOBS = {f.__name__: f for f in (book, combine, clean, translate, select, imperative, imppresc, canonicalise, vote, macro_f1, llm_compare, ip_train, index, cascade, label, figlit, rerank, pure_llm, figlit_llm, xgb, defanchor, top3)}
 
 
 def main(argv: list[str] | None = None) -> None:

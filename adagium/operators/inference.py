@@ -45,6 +45,32 @@ def mock_client(reply: Callable[[str], str]) -> Client:
     return lambda: lambda texts: [reply(t) for t in texts]
 
 
+def http_client(endpoint: str, model: str, timeout: float = 120.0) -> Client:
+    """A local model server that takes a JSON prompt at temperature 0 and answers with a text under "response"."""
+
+    def load():
+        import json
+        from urllib.request import Request, urlopen
+
+        def one(text: str) -> str:
+            body = json.dumps({"model": model, "prompt": text, "stream": False, "options": {"temperature": 0}}).encode()
+            with urlopen(Request(endpoint, body, {"Content-Type": "application/json"}), timeout=timeout) as reply:
+                said = json.load(reply)
+            if "error" in said:
+                raise OSError(said["error"])
+            return said.get("response", "")
+
+        return lambda texts: [one(t) for t in texts]
+
+    return load
+
+
+def first_option_client() -> Client:
+    """A mock for plumbing: the code of the first option of a prompt, as a line and as JSON."""
+    code = lambda p: p.split("\n\n")[1].split(":")[0] if p.count("\n\n") else ""
+    return mock_client(lambda p: f'CODE: {code(p)}\n{{"code": "{code(p)}", "label": 0}}')
+
+
 def translate(df: DataFrame, clients: dict[str, Client], limit: int | None = None, seed: int = 42) -> DataFrame:
     """proverb_en of rows that lack it, by the client of their language; marks human_machine_labelled '1'.
 

@@ -86,6 +86,67 @@ def test_index_cascade_label(spark, tmp_path):
     assert lab == {"1": ("A", "HIGH"), "2": ("B", "HIGH")}
 
 
+def test_models_and_anchors_over_an_index(spark, tmp_path):
+    codes = [(t, t + "1", t + "1" + s) for t in "AB" for s in "ab"]
+    at = {c[2]: [float(i < 2), float(i >= 2), 0.3 * (i % 2)] for i, c in enumerate(codes)}
+    rows = [(i, f"k{i // 2}", "example", f"text {i}", *codes[i % 4], [x + 0.01 * (i % 5) for x in at[codes[i % 4][2]]]) for i in range(40)]
+    rows += [(100 + i, "", "def_subgroup", f"about {c[2]}", *c, at[c[2]]) for i, c in enumerate(codes)]
+    rows += [(110 + i, "", "def_main", f"about {t}1", t, t + "1", "", [float(t == "A"), float(t == "B"), 0.1]) for i, t in enumerate("AB")]
+    rows += [(120 + i, "", "def_theme", f"about {t}", t, "", "", [float(t == "A"), float(t == "B"), 0.1]) for i, t in enumerate("AB")]
+    ix = str(tmp_path / "ix")
+    df = spark.createDataFrame(rows, "ref long, kuusi_id string, source_type string, text string, theme string, main_class string, subgroup_code string, embedding array<float>")
+    df.withColumns({"encoder": F.lit("toy"), "encoder_prefix": F.lit("")}).write.parquet(ix)
+    out = jobs.rerank(spark, ix, str(tmp_path / "rr"), mock=True, sample=12, k=5, folds=4)
+    assert out.count() == 12 and out.filter("theme_in_short = 0").count() == 0 and out.filter("pred_theme_ok + pred_main_ok < 2").count() == 0
+    with pytest.raises(ValueError):
+        jobs.rerank(spark, ix, str(tmp_path / "rr2"))
+    got = jobs.defanchor(spark, ix, str(tmp_path / "da"))
+    assert got.count() == 40 and got.filter("pred_theme_ok + pred_main_ok + pred_sub_ok + b_sub_ok < 4").count() == 0
+    hits = jobs.top3(spark, ix, str(tmp_path / "t3"), k=5, folds=4)
+    assert hits.count() == 40 and hits.agg(F.min("top1")).first()[0] == 1
+    trees = jobs.xgb(spark, ix, str(tmp_path / "xgb"), folds=2, rounds=2, depth=2)
+    assert trees.count() == 40 and trees.filter("gold <> pred").count() == 0
+    data = df.filter("source_type = 'example'").select(F.col("ref").cast("string").alias("id"), "text", "theme", "main_class", "subgroup_code")
+    data.write.parquet(str(tmp_path / "data"))
+    defs = csv(tmp_path / "d.csv", ["level", "code", "text"], [("theme", "A", "a"), ("main", "A1", "a one"), ("subgroup", "A1a", "x"), ("subgroup", "A1b", "y"), ("theme", "B", "b")])
+    first = jobs.pure_llm(spark, str(tmp_path / "data"), defs, str(tmp_path / "pl"), mock=True, sample=0)
+    assert {(r["pred_theme"], r["pred_main"], r["pred_sub"]) for r in first.collect()} == {("A", "A1", "A1a")} and first.filter("pred_sub_ok = 1").count() == 10
+    flat = jobs.pure_llm(spark, str(tmp_path / "data"), defs, str(tmp_path / "pf"), mock=True, mode="flat", sample=0)
+    assert {r["pred_sub"] for r in flat.collect()} == {"A1a"}
+    rows = [(str(i), "en", f"saying {i}", str(i % 2)) for i in range(60)]
+    spark.createDataFrame(rows, "id string, language string, proverb_native string, label string").write.parquet(str(tmp_path / "fl"))
+    said = jobs.figlit_llm(spark, str(tmp_path / "fl"), str(tmp_path / "flo"), mock=True, shots=4)
+    assert said.filter("language = ''").first()["parse_fail"] == 0.0
+
+
+def test_http_client(spark):
+    """A server on this machine that echoes the prompt; one that fails gives no reply."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from adagium.operators import inference
+
+    class Echo(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            body = json.dumps({"error": "no"} if "bad" in asked["prompt"] else {"response": f"{asked['model']}:{asked['prompt']}"}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Echo)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    df = spark.createDataFrame([("a",), ("b",)], "t string")
+    client = inference.http_client(f"http://127.0.0.1:{server.server_port}/", "m")
+    assert {r["reply"] for r in inference.ask(df, F.col("t"), client).collect()} == {"m:a", "m:b"}
+    assert {r["reply"] for r in inference.ask(df.limit(1), F.lit("bad"), client).collect()} == {""}
+    server.shutdown()
+
+
 def test_figlit(spark, tmp_path):
     rows = [(str(i), "en" if i % 3 else "de", str(i % 2), [float(i % 2), 0.1 * (i % 7)]) for i in range(120)]
     spark.createDataFrame(rows, "id string, language string, label string, embedding array<float>").write.parquet(str(tmp_path / "e"))
