@@ -48,7 +48,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from adagium.llm.common import grid, materialize, mix64, text_chunk
-from adagium.llm.vectext import Words, pack, ragged, unpack
+from adagium.llm.vectext import Words, distinct, pack, ragged, unpack
 
 WIDTH, RARE, BLOCK = 32, 16, 4096
 STEPS, PRIOR, UNIT = (0.5, 0.4), 3.0, 16384.0  # rate of each part's step, counts added to both sides, parts of a probability
@@ -125,33 +125,13 @@ def _edges(of: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     return [(b, int(edges[b]), int(edges[b + 1])) for b in np.flatnonzero(np.diff(edges)).tolist()]
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """np.unique with inverse: the leading bits of the keys are sorted along with their places, and the rest compared."""
-    n = len(keys)
-    if not n:
-        return keys, np.zeros(0, np.int64)
-    bits = max(n - 1, 1).bit_length()
-    drop = np.uint64(max(0, int(keys.max()).bit_length() + bits - 64))
-    bits = np.uint64(bits)
-    both = np.sort(((keys >> drop) << bits) | np.arange(n, dtype=np.uint64))
-    at = (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    both >>= bits
-    new = np.concatenate([[True], both[1:] != both[:-1]])
-    own = keys[at]
-    if drop and (own[1:] != own[:-1])[~new[1:]].any():  # different keys share their leading bits
-        return np.unique(keys, return_inverse=True)
-    place = np.empty(n, np.int64)
-    place[at] = np.cumsum(new) - 1
-    return own[new], place
-
-
 class Chunk:
     """Tokens of a chunk's texts, with its distinct words and grams in the order in which the buckets are asked."""
 
     def __init__(self, texts, buckets: int):
         self.buckets = buckets
         self.hashes, self.endings, self.first = tokens_of(texts)
-        words, inverse = _distinct(self.hashes)
+        words, inverse = distinct(self.hashes)
         of = words % np.uint64(buckets)
         order = np.argsort(of, kind="stable")
         rank = np.empty(len(order), np.int64)
@@ -159,7 +139,7 @@ class Chunk:
         self.words, self.word_of = words[order], rank[inverse]
         self.word_edges = _edges(of[order], buckets)
         pairs, triples, self.inner = grams_of(self.hashes, self.first)
-        self.grams, self.gram_of = _distinct(gram_keys(np.concatenate([pairs, triples[self.inner]]), buckets))
+        self.grams, self.gram_of = distinct(gram_keys(np.concatenate([pairs, triples[self.inner]]), buckets))
         self.gram_edges = _edges(self.grams >> np.uint64(32), buckets)
 
     def cells(self, learn: np.ndarray):
@@ -232,8 +212,8 @@ def _answer(pdf):
     if kind == GRAM:
         sent = [_split(p) for p in pdf["payload"]]
         keys = [np.cumsum(unpack(p[0]), dtype=np.uint32) for p in sent]
-        distinct, inverse = _distinct(np.concatenate(keys).astype(np.uint64))
-        n = np.bincount(inverse, weights=np.concatenate([unpack(p[1]) for p in sent]), minlength=len(distinct)).astype(np.uint32)[inverse]
+        found, inverse = distinct(np.concatenate(keys).astype(np.uint64))
+        n = np.bincount(inverse, weights=np.concatenate([unpack(p[1]) for p in sent]), minlength=len(found)).astype(np.uint32)[inverse]
         ends = np.cumsum([len(k) for k in keys])
         return _cell_rows([(bucket, chunk, kind, pack(n[z - len(k) : z])) for chunk, k, z in zip(pdf["chunk"], keys, ends)])
     asked, table = pdf[pdf["chunk"] >= 0], pdf[pdf["chunk"] < 0]

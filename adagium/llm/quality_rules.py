@@ -29,10 +29,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from adagium.llm.common import materialize, words_of
+from adagium.llm.common import materialize, mix64
+from adagium.llm.vectext import SEEDS, SPACE, Words, distinct, inside, span_hashes, window_hashes
 
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_distinct long"
 SYMBOLS = "#*$%&|<>"
+_SYMBOL = np.isin(np.arange(256), [ord(c) for c in SYMBOLS])
 #: metric: (numerator, denominator, side, floor of the quartile distance), in ten-thousandths.
 METRICS = {
     "symbol_share": ("n_symbols", "n_words", "high", 300),
@@ -44,48 +46,82 @@ METRICS = {
 SPREAD, MIN_ROWS = 4, 50
 
 
-def repeated_words(ids: np.ndarray, window: int = 5) -> int:
-    """Words in windows that occur twice or more, first included; exact, by ranking pairs of ranks."""
-    n = len(ids) - window + 1
-    if n < 2:
-        return 0
-    have, ranks = 1, ids
-    while have * 2 <= window:
-        ranks = np.unique(ranks[:-have].astype(np.int64) * (int(ranks.max()) + 1) + ranks[have:], return_inverse=True)[1]
-        have *= 2
-    if have < window:
-        ranks = np.unique(ranks[:n].astype(np.int64) * (int(ranks.max()) + 1) + ranks[window - have : window - have + n], return_inverse=True)[1]
-    hit = np.bincount(ranks)[ranks] > 1
-    if not hit.any():
-        return 0
-    cover = np.zeros(len(ids) + 1, dtype=np.int64)
-    at = np.flatnonzero(hit)
-    cover[at] += 1
-    np.subtract.at(cover, at + window, 1)
-    return int((np.cumsum(cover[:-1]) > 0).sum())
-
-
-def text_stats(text) -> tuple:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_distinct) of a whole text."""
-    words = words_of(text)
-    if not words:
-        return (0, 0, sum(map(text.count, SYMBOLS)) if text else 0, 0, 0, 0, 0, 0)
-    joined = b"".join(words)
-    index: dict[bytes, int] = {}
-    ids = np.array([index.setdefault(w, len(index)) for w in words], dtype=np.int64)
-    raw = np.frombuffer(joined, dtype=np.uint8)
-    chars = int(((raw & 0xC0) != 0x80).sum())
-    seen: set[str] = set()
-    lines = dup = 0
-    for line in text.split("\n"):
-        if line.strip(" \t\n\r\x0b\x0c"):
-            lines += 1
-            if line in seen:
-                dup += 1
-            else:
-                seen.add(line)
-    upper = int(((raw >= 65) & (raw <= 90)).sum())
-    return (len(words), chars, sum(map(text.count, SYMBOLS)), dup, repeated_words(ids), lines, upper, len(index))
+def _twice(keys: np.ndarray, second) -> np.ndarray:
+    """Which keys occur twice or more; second gives further bits for the places whose keys do."""
+    place = distinct(keys)[1]
+    at = np.flatnonzero(np.bincount(place)[place] > 1) if len(keys) else place
+    if not len(at):
+        return at
+    k1, k2 = keys[at], second(at)
+    order = np.lexsort((k2, k1))
+    same = np.zeros(len(at) + 1, dtype=bool)
+    same[1:-1] = (k1[order][1:] == k1[order][:-1]) & (k2[order][1:] == k2[order][:-1])
+    return at[order[same[1:] | same[:-1]]]
+
+
+class TextStats:
+    """Whole-text statistics of many texts at once; words, lines and windows are equal by 128 bits of their bytes."""
+
+    def __init__(self, texts, window: int = 5):
+        w = self.words = Words(texts)
+        docs, data = len(texts), w.data
+        lo, hi = w.offsets[:-1], w.offsets[1:] - 1  # a blank stands between texts
+        hi = np.maximum(hi, lo)
+
+        def counted(flags: np.ndarray) -> np.ndarray:
+            total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+            return total[np.minimum(hi, len(data))] - total[np.minimum(lo, len(data))]
+
+        space = SPACE[data]
+        self.n_words = np.diff(w.first)
+        self.doc = np.repeat(np.arange(docs), self.n_words)
+        self.word_chars = counted(~space & ((data & 0xC0) != 0x80))
+        self.n_symbols = counted(_SYMBOL[data])
+        self.n_upper = counted((data >= 65) & (data <= 90))
+        # Lines: from a text's start or a line feed to the next line feed or the text's end.
+        feeds = np.flatnonzero(data == 0x0A)
+        own = np.searchsorted(lo, feeds, "right") - 1
+        starts, ends = np.concatenate([lo, feeds + 1]), np.concatenate([hi, feeds])
+        doc = np.concatenate([np.arange(docs), own])
+        order = np.lexsort((starts, doc))
+        starts, doc = starts[order], doc[order]
+        ends = np.sort(ends, kind="stable") if docs else ends
+        worded = np.concatenate([[0], np.cumsum(~space, dtype=np.int64)])
+        has = worded[np.minimum(ends, len(data))] > worded[np.minimum(starts, len(data))]
+        starts, ends, doc = starts[has], ends[has], doc[has]
+        self.n_lines = np.bincount(doc, minlength=docs)
+        h1, h2 = (span_hashes(data, starts, ends, s) for s in SEEDS)
+        order = np.lexsort((h2, h1, doc))
+        again = (np.diff(doc[order]) == 0) & (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+        self.n_dup_lines = np.bincount(doc[order][1:][again], minlength=docs)
+        # Windows, told apart by text.
+        self.hash = w.hashes()
+        ok = np.flatnonzero(inside(w.first, window))
+        salt = lambda at: mix64(self.doc[at].astype(np.uint64))
+        key = window_hashes(self.hash, window)[ok] + salt(ok) if len(ok) else np.zeros(0, np.uint64)
+        hit = ok[_twice(key, lambda at: window_hashes(w.hashes(SEEDS[1]), window, SEEDS[1])[ok[at]] + salt(ok[at]))]
+        cover = np.zeros(len(self.hash) + 1, dtype=np.int64)
+        np.add.at(cover, hit, 1)
+        np.subtract.at(cover, hit + window, 1)
+        self.n_repeat_words = np.bincount(self.doc[np.cumsum(cover[:-1]) > 0], minlength=docs)
+        # Distinct words, of the batch (first places) and of each text.
+        found, self.id = distinct(self.hash)
+        self.at = np.empty(len(found), np.int64)
+        self.at[self.id[::-1]] = np.arange(len(self.id))[::-1]
+        pairs = np.sort((self.doc.astype(np.uint64) << np.uint64(32)) | self.id.astype(np.uint64))
+        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+        self.pair_doc, self.pair_id = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        self.n_distinct = np.bincount(self.pair_doc, minlength=docs)
+
+
+def slices(texts, limit: int = 2 << 20):
+    """Slices of about so many characters, whole texts."""
+    lo, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= limit or i == len(texts) - 1:
+            yield lo, i + 1
+            lo, size = i + 1, 0
 
 
 def _stats(batches):
@@ -93,11 +129,14 @@ def _stats(batches):
 
     names = [c.split(" ")[0] for c in STATS.split(", ")]
     for pdf in batches:
-        out = pd.DataFrame([text_stats(t) for t in pdf["text"]], columns=names[3:], dtype="int64")
-        for c in ("doc_id", "lang", "source"):
-            out[c] = pdf[c].to_numpy()
-        out["doc_id"] = pdf["doc_id"].astype("Int64").to_numpy()
-        yield out[names]
+        texts = list(pdf["text"])
+        for lo, hi in slices(texts):
+            s = TextStats(texts[lo:hi])
+            out = pd.DataFrame({c: getattr(s, c) for c in names[3:]}, dtype="int64")
+            for c in ("lang", "source"):
+                out[c] = pdf[c].iloc[lo:hi].to_numpy()
+            out["doc_id"] = pdf["doc_id"].iloc[lo:hi].astype("Int64").to_numpy()
+            yield out[names]
 
 
 def document_stats(docs: DataFrame) -> DataFrame:

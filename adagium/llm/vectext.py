@@ -12,8 +12,8 @@ import numpy as np
 
 from adagium.llm.common import mix64
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -51,7 +51,7 @@ class Words:
         self.raw = b" ".join(raws)
         data = np.frombuffer(self.raw, dtype=np.uint8)
         self.data = _LOWER[data] if lower else data
-        space = _SPACE[data]
+        space = SPACE[data]
         edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
         self.starts, self.ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         offsets = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raws])]).astype(np.int64)
@@ -94,6 +94,26 @@ def inside(first: np.ndarray, length: int) -> np.ndarray:
     return ok
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with inverse: the leading bits of the keys are sorted along with their places, and the rest compared."""
+    n = len(keys)
+    if not n:
+        return keys, np.zeros(0, np.int64)
+    bits = max(n - 1, 1).bit_length()
+    drop = np.uint64(max(0, int(keys.max()).bit_length() + bits - 64))
+    bits = np.uint64(bits)
+    both = np.sort(((keys >> drop) << bits) | np.arange(n, dtype=np.uint64))
+    at = (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    both >>= bits
+    new = np.concatenate([[True], both[1:] != both[:-1]])
+    own = keys[at]
+    if drop and (own[1:] != own[:-1])[~new[1:]].any():  # different keys share their leading bits
+        return np.unique(keys, return_inverse=True)
+    place = np.empty(n, np.int64)
+    place[at] = np.cumsum(new) - 1
+    return own[new], place
+
+
 def ragged(flat: np.ndarray, offsets: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """flat[offsets[p]:offsets[p+1]] for p in pick, joined, and the length of each."""
     lens = (offsets[1:] - offsets[:-1])[pick]
