@@ -22,11 +22,13 @@ alike; other columns pass through untouched, whatever their names.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from adagium.llm.common import free_prefix, words_of
-from adagium.llm.quality_rules import text_stats
+from adagium.llm.common import free_prefix
+from adagium.llm.quality_rules import TextStats, slices
 
 BITS = 19
 SHAPES = 256  # slots after the hashed words
@@ -37,45 +39,60 @@ _CACHE: dict[bytes, tuple[int, ...]] = {}
 
 
 def _slots(word: bytes) -> tuple[int, ...]:
-    """Slots of a word: itself, lower-cased without outer punctuation, and its first four and five letters."""
+    """Slots of a word: itself, lower-cased without outer punctuation, and its first four and five letters; -1 where it is shorter."""
     import xxhash
 
     core = word.decode("utf-8", "replace").lower().strip(_STRIP)
-    keys = [core or word.decode("utf-8", "replace")] + [f"\0{core[:k]}" for k in (4, 5) if len(core) > k]
-    return tuple(xxhash.xxh32_intdigest(k.encode("utf-8", "replace")) & ((1 << BITS) - 1) for k in keys)
+    keys = [core or word.decode("utf-8", "replace"), *[f"\0{core[:k]}" if len(core) > k else None for k in (4, 5)]]
+    return tuple(-1 if k is None else xxhash.xxh32_intdigest(k.encode("utf-8", "replace")) & ((1 << BITS) - 1) for k in keys)
 
 
-def _bin(value: float, cuts: tuple) -> int:
-    return sum(value >= c for c in cuts)
+def _bins(value: np.ndarray, cuts: tuple) -> np.ndarray:
+    return np.searchsorted(np.array(cuts), value, side="right")
 
 
-def features(text) -> np.ndarray:
-    """Distinct feature slots of a whole text: hashed words, then one slot for each bucketed shape."""
-    words = set(words_of(text))
+def features(texts) -> tuple[np.ndarray, np.ndarray]:
+    """(text, slot) of the distinct feature slots of whole texts: hashed words, then one slot for each bucketed shape."""
+    s = TextStats(texts)
+    raw, starts, ends = s.words.raw, s.words.starts[s.at], s.words.ends[s.at]
     if len(_CACHE) > 400_000:
         _CACHE.clear()
-    slots = set()
-    for w in words:
-        x = _CACHE.get(w)
+    known, get, rows = _CACHE, _CACHE.get, []
+    for a, z in zip(starts.tolist(), ends.tolist()):
+        word = raw[a:z]
+        x = get(word)
         if x is None:
-            x = _CACHE[w] = _slots(w)
-        slots.update(x)
-    n, chars, symbols, dup, rep, lines, upper, distinct = text_stats(text)
-    d = max(n, 1)
+            x = known[word] = _slots(word)
+        rows.append(x)
+    table = np.fromiter(chain.from_iterable(rows), np.int64, 3 * len(rows)).reshape(-1, 3)
+    slot = table[s.pair_id]
+    doc = np.broadcast_to(s.pair_doc[:, None], slot.shape)[slot >= 0]
+    key = np.sort(doc.astype(np.uint64) << np.uint64(32) | slot[slot >= 0].astype(np.uint64))
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+    d = np.maximum(s.n_words, 1)
     share = (0.005, 0.02, 0.05, 0.1, 0.2, 0.4, 0.8)
+    count = lambda x: np.array([t.count(x) if t else 0 for t in texts])
     shapes = (
-        _bin(symbols / d, share),
-        _bin(upper / max(chars, 1), share),
-        _bin(dup / max(lines, 1), share),
-        _bin(rep / d, share),
-        _bin(distinct / d, (0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)),
-        _bin(n, (1, 3, 10, 30, 100, 1000, 5000)),
-        _bin(chars / d, (2, 3, 4, 5, 6, 8, 12)),
-        _bin((text or "").count("!!") / d, share),
-        _bin((text or "").count("|") / d, share),
+        _bins(s.n_symbols / d, share),
+        _bins(s.n_upper / np.maximum(s.word_chars, 1), share),
+        _bins(s.n_dup_lines / np.maximum(s.n_lines, 1), share),
+        _bins(s.n_repeat_words / d, share),
+        _bins(s.n_distinct / d, (0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)),
+        _bins(s.n_words, (1, 3, 10, 30, 100, 1000, 5000)),
+        _bins(s.word_chars / d, (2, 3, 4, 5, 6, 8, 12)),
+        _bins(count("!!") / d, share),
+        _bins(count("|") / d, share),
     )
-    base = 1 << BITS
-    return np.array(sorted(slots) + [base + 8 * i + b for i, b in enumerate(shapes)], dtype=np.int32)
+    n = len(d)
+    shape = np.stack([(1 << BITS) + 8 * i + b for i, b in enumerate(shapes)], axis=1) if n else np.zeros((0, len(shapes)), np.int64)
+    return np.concatenate([(key >> np.uint64(32)).astype(np.int64), np.repeat(np.arange(n), len(shapes))]), np.concatenate([(key & np.uint64(0xFFFFFFFF)).astype(np.int64), shape.ravel()])
+
+
+def _sliced(texts):
+    """features() of slices of the texts: (first text, their number, text, slot)."""
+    texts = list(texts)
+    for lo, hi in slices(texts):
+        yield lo, hi - lo, *features(texts[lo:hi])
 
 
 def grades(labels: DataFrame) -> DataFrame:
@@ -93,7 +110,13 @@ def training_rows(docs: DataFrame, graded: DataFrame, max_rows: int = MAX_ROWS)
         import pandas as pd
 
         for s in batches:
-            yield pd.Series([features(t).tobytes() for t in s], dtype=object)
+            rows = []
+            for _, n, doc, slot in _sliced(s):
+                order = np.lexsort((slot, doc))
+                edges = np.searchsorted(doc[order], np.arange(n + 1))
+                slot = slot[order].astype(np.int32)
+                rows += [slot[a:z].tobytes() for a, z in zip(edges, edges[1:])]
+            yield pd.Series(rows, dtype=object)
 
     packed = F.pandas_udf(packed, "binary", F.PandasUDFType.SCALAR_ITER)
     # At most max_rows ids of 16 bytes: a proven bound for the broadcast.
@@ -162,7 +185,7 @@ def scorer(spark, model, keep_from: int = KEEP_FROM):
 
         w, cuts = shared.value
         for s in batches:
-            z = np.array([float(w[features(t)].sum(dtype=np.float64)) for t in s], dtype=np.float64)
+            z = np.concatenate([np.zeros(0), *[np.bincount(doc, weights=w[slot], minlength=n) for _, n, doc, slot in _sliced(s)]])
             p = grade_probabilities(z, cuts)
             yield pd.DataFrame({"expected_grade": p @ np.arange(p.shape[1]), "tail_probability": p[:, keep_from:].sum(axis=1)})
 
