@@ -307,6 +307,52 @@ def test_ordinal_quality(spark):
     assert np.mean(mean[2]) > max(np.mean(mean[1]), np.mean(mean[0]))
 
 
+def slow_features(t):
+    """Slots of one text: its words, lower-cased, and their first four and five letters; then bucketed shares."""
+    import xxhash
+
+    slot = lambda k: xxhash.xxh32_intdigest(k.encode()) & ((1 << ordinal_quality.BITS) - 1)
+    words, out = split(t), set()
+    for w in words:
+        core = w.lower().strip(ordinal_quality._STRIP)
+        out |= {slot(core or w), *[slot(f"\0{core[:k]}") for k in (4, 5) if len(core) > k]}
+    n, chars, symbols, dup, rep = slow_stats(t)
+    lines, upper, d = sum(bool(split(x)) for x in (t or "").split("\n")), sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in t or ""), max(n, 1)
+    share = (0.005, 0.02, 0.05, 0.1, 0.2, 0.4, 0.8)
+    values = ((symbols / d, share), (upper / max(chars, 1), share), (dup / max(lines, 1), share), (rep / d, share), (len(set(words)) / d, (0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)), (n, (1, 3, 10, 30, 100, 1000, 5000)), (chars / d, (2, 3, 4, 5, 6, 8, 12)), ((t or "").count("!!") / d, share), ((t or "").count("|") / d, share))
+    return sorted(out) + [(1 << ordinal_quality.BITS) + 8 * i + sum(v >= c for c in cuts) for i, (v, cuts) in enumerate(values)]
+
+
+def test_ordinal_features_and_scores_by_hand(spark, docs, rows):
+    texts = [r[1] for r in rows]
+    doc, slot = ordinal_quality.features(texts)
+    for i, t in enumerate(texts):
+        assert sorted(slot[doc == i].tolist()) == sorted(slow_features(t))
+    labels = spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    grade = {i: 0 if i % 5 == 0 else 1 + i % 2 for i in range(60)}
+    w, cuts = ordinal_quality.fit([(np.array(slow_features(t), dtype=np.int32), grade[d]) for d, t, *_ in sorted((r for r in rows if r[0] in grade), key=lambda r: r[0])])
+    got = {r["doc_id"]: r["__quality"] for r in ordinal_quality.classify(docs.filter("doc_id < 60 or doc_id > 109"), labels).collect()}
+    for d, t, *_ in rows:
+        if d is not None and (d < 60 or d > 109):
+            z = sum(float(w[k]) for k in slow_features(t))
+            p0, p1 = (1 / (1 + math.exp(-(c - z))) for c in cuts)
+            assert got[d]["tail_probability"] == pytest.approx(1 - p1, abs=1e-6) and got[d]["expected_grade"] == pytest.approx((p1 - p0) + 2 * (1 - p1), abs=1e-6)
+
+
+def test_ordinal_gradient():
+    """One step from equal weights moves each weight against the slope of the loss, by finite differences."""
+    f = [(np.array([i % 3, 3 + i % 2], dtype=np.int32), (i * 7) % 3) for i in range(60)]
+    w, cuts = ordinal_quality.fit(f, epochs=1)
+    more, _ = ordinal_quality.fit(f, epochs=8)
+
+    def loss(w, cuts):
+        z = np.array([w[x].sum() for x, _ in f], dtype=float)
+        p = ordinal_quality.grade_probabilities(z, cuts)
+        return -np.log(p[np.arange(len(f)), [g for _, g in f]]).mean()
+
+    assert loss(more, cuts) <= loss(w, cuts) <= loss(np.zeros_like(w), cuts) + 1e-6
+
+
 def test_ordinal_quality_odd_rows(spark, docs, rows):
     labels = spark.createDataFrame([(i, i % 2, None if i == 4 else 0, "t") for i in range(40)] + [(5, 0, 1, "t"), (None, 1, 0, "t"), (9999, 1, 0, "t")], "doc_id long, quality int, toxic int, text string")
     out = ordinal_quality.classify(docs, labels)

@@ -248,3 +248,35 @@ def test_pipeline(spark, tmp_path):
     for _, f in cp.STAGES:
         empty = f(spark, empty, sf)
     assert empty.count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Every stage alone, on null ids and texts, shared ids, repeated rows and clashing columns, against brute force."""
+    import corpus_pipeline as cp
+    import tiktoken
+
+    import public_tokenizers as P
+
+    from tests.llm.cases import edge_docs, frame
+    from tests.llm.test_documents import counted, slow_classes, slow_dedup, split
+
+    rows = edge_docs()
+    docs = frame(spark, rows)
+    text = {r[0]: r[1] for r in rows}
+    item = " ".join(split(text[7])[:9]) + "\n" + " ".join(split(text[7])[9:14])
+    spark.createDataFrame([(1, item), (None, text[3]), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(112, 0, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stage = {name: f(spark, docs, str(tmp_path)) for name, f in cp.STAGES}
+    assert all(d.columns == docs.columns for n, d in stage.items() if n != "byte-level BPE")
+    got = {n: [tuple(r) for r in d.select("doc_id", "text").collect()] for n, d in stage.items() if n != "byte-level BPE"}
+    assert not counted(got["quality classifier"]) - counted(r[:2] for r in rows) and {r[0] for r in got["quality classifier"]} >= set(range(60))
+    kept = {d for d, c in slow_classes(rows).items() if d == c}
+    assert {r[0] for r in got["near duplicates"] if r[0] is not None} == kept and sum(r[0] is None for r in got["near duplicates"]) == 2
+    removed = counted((d, k) for d, _, k, _ in slow_dedup(rows, 20))
+    assert counted((d, len(split(text[d] if d is not None else next(r[1] for r in rows if r[0] is None and r[1]))) - len(split(t))) for d, t in got["repeated passages"] if t) == counted(x for x in removed.elements() if x[0] is not None and split(text[x[0]]) or x == (None, 0)) - counted([(None, 0)])
+    assert len(got["repeated passages"]) == len(rows)
+    assert counted(got["benchmark leaks"]) == counted(r[:2] for r in rows if r[0] != 7)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = [(r["doc_id"], bytes(r["ids"])) for r in stage["byte-level BPE"].collect()]
+    assert counted(ids) == counted((r[0], np.array(enc.encode_ordinary(r[1] or ""), dtype="<u4").tobytes()) for r in rows)
