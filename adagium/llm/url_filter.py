@@ -113,7 +113,12 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, min_good: fl
 
 
 def outcomes_of(labels: DataFrame) -> DataFrame:
-    """Page outcomes from labels(doc_id, quality, toxic): good if of quality and not toxic."""
+    """Page outcomes from labels(doc_id, quality, toxic): good if of quality and not toxic.
+
+    The tables hold no labels of pages, so the label of number i stands for the
+    outcome of page i: it has the volume, gaps and null flags of real outcomes, but
+    says nothing true about the page. filter_urls() itself takes any outcomes.
+    """
     return labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good"))
 
 

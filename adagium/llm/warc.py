@@ -17,8 +17,9 @@ are shuffled once.
 Defined cases: null html is an empty payload; null url is written as
 ``urn:page:<id>``; a record without page_id is always a response and is read
 back with null page_id; repeated rows that share the largest page_id are all
-responses; an empty table gives a manifest without files. Extra columns are not
-read.
+responses; an empty table gives a manifest without files; a folder that holds a
+manifest or archives already is refused before anything is written. Extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -146,6 +147,11 @@ def _writer(out: str, run: str, target: int):
 def write_warc(pages: DataFrame, out: str, target_bytes: int = TARGET_BYTES, min_payload: int = 0) -> list[dict]:
     """Write pages(page_id, url, html) as WARC files below ``out``; returns the manifest (one entry a file)."""
     spark = pages.sparkSession
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    system = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(path(f"{out}/MANIFEST.json")) or system.globStatus(path(f"{out}/part-*.warc.gz")):
+        raise FileExistsError(f"{out} holds archives already")
     base = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("__sha1", F.sha1("payload"))
     ids = base.filter(F.length("payload") >= min_payload).select("page_id", "__sha1")
     groups = ids.groupBy("__sha1").agg(F.max("page_id").alias("__ref"), F.count("*").alias("__n")).filter("__n > 1")
@@ -159,9 +165,6 @@ def write_warc(pages: DataFrame, out: str, target_bytes: int = TARGET_BYTES, min
     run = uuid.uuid4().hex
     files = [r.asDict() for r in ranged.mapInPandas(_writer(out, run, target_bytes), FILES).collect()]  # one row a file
     files.sort(key=lambda r: r["file"])
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    system = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(path(out))
     for f in files:
         if not system.rename(path(f["temp"]), path(f"{out}/{f['file']}")):

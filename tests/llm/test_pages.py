@@ -166,6 +166,9 @@ def test_archive_files(spark):
     assert json.load(open(f"{folder}/MANIFEST.json"))["files"] == manifests[0]
     back = {(r["page_id"], bytes(r["payload"])) for r in warc.read_warc(spark, outs[0], payloads=True).filter("record_type = 'response'").collect()}
     assert (7, ("é" * 90_000).encode()) in back and (6, b"one") in back
+    with pytest.raises(FileExistsError):
+        warc.write_warc(d, outs[0])
+    assert json.load(open(f"{folder}/MANIFEST.json"))["files"] == manifests[0] and not os.path.exists(f"{folder}/_temporary")
     small = {r["page_id"]: r["record_type"] for r in warc.archive(d, min_payload=100).collect()}
     assert set(small.values()) == {"response"}
     assert warc.archive(d.limit(0)).count() == 0
