@@ -4,8 +4,9 @@ Test items are cut into units of at most 32 words; units are the indexed
 documents, sorted by their most frequent term and their own score and cut into
 blocks of 16, and every term keeps its largest impact in each block. Each
 training text is read as overlapping passages of 64 words (32 apart), so a
-copied unit lies whole in one of them. For all passages of a batch at once the block-max impacts are summed;
-only a (passage, block) whose bound reaches the least threshold of the block is
+copied unit lies whole in one of them. A passage whose terms at their largest
+impacts stay below every threshold has no pivot and is passed over. For all others
+of a batch at once the block-max impacts are summed; only a (passage, block) whose bound reaches the least threshold of the block is
 scored, exactly, against the block's units. All units with
 score >= ``theta`` * own score are retrieved. A document is contaminated by an
 item if one of its units is retrieved and the word 5-grams of both the item's
@@ -32,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from adagium.llm.common import free_prefix, materialize, words_of
-from adagium.llm.vectext import Words
+from adagium.llm.vectext import Words, distinct
 
 LEAKS = "array<struct<item_id: long, bm25: double, question_overlap: double, answer_overlap: double>>"
 UNIT, HALF, BLOCK, GRAM = 32, 32, 16, 5
@@ -110,22 +111,23 @@ class Index:
         self.need = np.array([r[1].sum() for r in rows]) * theta
         self.n_blocks = -(-n // BLOCK)
         self.block_need = np.array([self.need[b * BLOCK : (b + 1) * BLOCK].min() for b in range(self.n_blocks)]) - 1e-6
-        self.block_max = np.zeros((self.n_terms, self.n_blocks), dtype=np.float32)
+        self.block_max = np.zeros((self.n_blocks, self.n_terms), dtype=np.float32)
         # Impact rows: one for each (block, term) that occurs, with a column for each unit of the block.
         post: dict[int, np.ndarray] = {}
         for u, (t, impact, _) in enumerate(rows):
             b = u // BLOCK
-            self.block_max[t, b] = np.maximum(self.block_max[t, b], impact)
+            self.block_max[b, t] = np.maximum(self.block_max[b, t], impact)
             for x, v in zip(t.tolist(), impact.tolist()):
                 row = post.get(b * self.n_terms + x)
                 if row is None:
                     row = post[b * self.n_terms + x] = np.zeros(BLOCK)
                 row[u - b * BLOCK] = v
         self.row_key = np.array(sorted(post), dtype=np.int64)
-        self.rows = np.array([post[k] for k in self.row_key.tolist()])
+        self.rows = np.array([post[k] for k in self.row_key.tolist()]).T.copy()  # by unit of the block
         self.unit_need = np.full(self.n_blocks * BLOCK, np.inf)
         self.unit_need[:n] = self.need
         self.block_max *= np.float32(1 + 1e-6)
+        self.most = self.block_max.max(axis=0).astype(np.float64)
         self.cache: dict[int, int] = {}
 
     @staticmethod
@@ -142,11 +144,13 @@ class Index:
     def ids(self, texts) -> list[np.ndarray]:
         """Term numbers of each text: -1 outside the index; pure punctuation is no word, as in the items."""
         w = Words(texts)
-        distinct, at, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        words, inverse = distinct(w.hashes())
+        at = np.empty(len(words), np.int64)
+        at[inverse] = np.arange(len(inverse))
         if len(self.cache) > 400_000:
             self.cache.clear()
-        cache, found = self.cache, np.empty(len(distinct), dtype=np.int64)
-        for i, h in enumerate(distinct.tolist()):
+        cache, found = self.cache, np.empty(len(words), dtype=np.int64)
+        for i, h in enumerate(words.tolist()):
             x = cache.get(h)
             if x is None:
                 t = term(w.raw[w.starts[at[i]] : w.ends[at[i]]])
@@ -169,15 +173,24 @@ class Index:
         half, ids = key // self.n_terms, key % self.n_terms
         if not len(ids):
             return found
-        first = np.flatnonzero(np.diff(half, prepend=-1))
-        bound = np.zeros((start[-1] + 1, self.n_blocks), dtype=np.float32)
-        for lo in range(0, len(first), 4096):
-            a, z = first[lo], first[lo + 4096] if lo + 4096 < len(first) else len(ids)
-            bound[half[first[lo : lo + 4096]]] = np.add.reduceat(self.block_max[ids[a:z]], first[lo : lo + 4096] - a, axis=0)
         doc_of = np.repeat(np.arange(len(docs)), halves)
         same = np.append(doc_of[1:] == doc_of[:-1], False)
-        pair = bound[:-1] + bound[1:] * same[:, None]
-        hs, bs = np.nonzero(pair >= self.block_need[None, :])
+        # Without a pivot: passages whose terms reach the least threshold in no block, even at their largest impacts.
+        most = np.bincount(half, weights=self.most[ids], minlength=start[-1] + 1)
+        able = most[:-1] + most[1:] * same >= self.block_need.min()
+        live = np.append(able, False)
+        live[1:] |= able & same
+        own = live[half]
+        at, t = half[own], ids[own]
+        found_h, found_b = [], []
+        for b in range(self.n_blocks):  # sums by half, block by block: far faster than rows of blocks
+            bound = np.bincount(at, weights=self.block_max[b][t], minlength=start[-1] + 1)
+            hs = np.flatnonzero(bound[:-1] + bound[1:] * same >= self.block_need[b])
+            found_h.append(hs)
+            found_b.append(np.full(len(hs), b))
+        hs, bs = np.concatenate(found_h), np.concatenate(found_b)
+        order = np.lexsort((bs, hs))
+        hs, bs = hs[order], bs[order]
         lo, hi = np.searchsorted(half, hs), np.searchsorted(half, hs + 1 + same[hs])
         # The exact scores of the remaining (passage, block) pairs, a few million terms at a time.
         cuts = np.searchsorted(np.cumsum(hi - lo), np.arange(2_000_000, int((hi - lo).sum()) + 2_000_000, 2_000_000)) + 1
@@ -188,13 +201,14 @@ class Index:
             of = np.repeat(np.arange(p, q), lens)
             t = ids[np.repeat(lo[p:q] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())]
             key = of * self.n_terms + t
-            key = _distinct(key[self.block_max[t, bs[of]] > 0])  # a term of both halves counts once
+            key = _distinct(key[self.block_max[bs[of], t] > 0])  # a term of both halves counts once
             of, t = key // self.n_terms, key % self.n_terms
             if not len(of):
                 continue
-            lead = np.flatnonzero(np.diff(of, prepend=-1))
-            score = np.add.reduceat(self.rows[np.searchsorted(self.row_key, bs[of] * self.n_terms + t)], lead, axis=0)
-            own = of[lead]
+            new = np.diff(of, prepend=-1) > 0
+            own, group = of[new], np.cumsum(new) - 1
+            at = np.searchsorted(self.row_key, bs[of] * self.n_terms + t)
+            score = np.stack([np.bincount(group, weights=column[at], minlength=len(own)) for column in self.rows], axis=1)
             for i, u in zip(*np.nonzero(score >= self.unit_need.reshape(-1, BLOCK)[bs[own]] - 1e-9)):
                 item = int(self.unit_item[bs[own[i]] * BLOCK + u])
                 d = found[doc_of[hs[own[i]]]]

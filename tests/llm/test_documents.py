@@ -277,7 +277,7 @@ def test_wand_retrieves_what_exhaustive_scoring_does():
     got = index.retrieve(ids)
     size = index.n_blocks * decontaminate.BLOCK
     dense = np.zeros((index.n_terms, size))
-    for key, row in zip(index.row_key, index.rows):
+    for key, row in zip(index.row_key, index.rows.T):
         b, t = divmod(int(key), index.n_terms)
         dense[t, b * decontaminate.BLOCK : (b + 1) * decontaminate.BLOCK] = row
     for d, found in zip(ids, got):
