@@ -275,9 +275,8 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     assert not counted(got["quality classifier"]) - counted(r[:2] for r in rows) and {r[0] for r in got["quality classifier"]} >= set(range(60))
     kept = {d for d, c in slow_classes(rows).items() if d == c}
     assert {r[0] for r in got["near duplicates"] if r[0] is not None} == kept and sum(r[0] is None for r in got["near duplicates"]) == 2
-    removed = counted((d, k) for d, _, k, _ in slow_dedup(rows, 20))
-    assert counted((d, len(split(text[d] if d is not None else next(r[1] for r in rows if r[0] is None and r[1]))) - len(split(t))) for d, t in got["repeated passages"] if t) == counted(x for x in removed.elements() if x[0] is not None and split(text[x[0]]) or x == (None, 0)) - counted([(None, 0)])
-    assert len(got["repeated passages"]) == len(rows)
+    sha = lambda t: hashlib.sha256(" ".join(split(t)).encode("utf-8", "surrogatepass")).hexdigest()
+    assert counted((d, sha(t)) for d, t in got["repeated passages"]) == counted((d, h) for d, _, _, h in slow_dedup(rows, 20))
     assert counted(got["benchmark leaks"]) == counted(r[:2] for r in rows if r[0] != 7)
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
