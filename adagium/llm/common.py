@@ -7,8 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from adagium.shared import materialize, shared_dir  # noqa: F401
 
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,22 +36,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def mix_int(x: int) -> int:
-    """mix64 of one integer."""
-    return int(mix64(np.array([x & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64))[0])
-
-
 def text_chunk(n_chunks: int, *cols: str):
     """Chunk number of a row, a pure function of the columns (the same after any retry)."""
     return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(n_chunks)).cast("int")
 
 
-def chunk_count(df: DataFrame, text_col: str, chunk_chars: int) -> int:
-    """Chunks of about chunk_chars characters that hold all of the column; one narrow aggregate, one number."""
-    total = df.agg(F.sum(F.length(text_col)).alias("n")).first()["n"] or 0
-    return max(1, -(-int(total) // chunk_chars))
-
-
 def words_of(text) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as UTF-8; bytes.split() splits at just these six characters."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
