@@ -256,10 +256,10 @@ def fewshot_block(spark, d):
 @query(f"""WITH {TEMPLATED_SQL}, s AS (SELECT doc_id, list_sum([unicode(x)::BIGINT FOR x IN string_split(t, '')]) % 2 AS n FROM tc)
 SELECT doc_id, CASE WHEN n = 0 THEN 'prescriptive' ELSE 'descriptive' END AS label FROM s""")
 def model_replies(spark, d):
-    """A model behind the client interface (the mock of T23), and T14 on its replies."""
+    """A model behind the client interface (the mock of T23), and T14 on its replies. An empty text sums to -1, as in mock_labels."""
     from adagium.functions.replies import salvage_label
 
-    client = inference.mock_client(lambda t: "I say: " + ("Prescriptive" if sum(map(ord, t)) % 2 == 0 else "descriptive"))
+    client = inference.mock_client(lambda t: "I say: " + ("Prescriptive" if t and sum(map(ord, t)) % 2 == 0 else "descriptive"))
     return inference.ask(templated(table(spark, d, "documents")), F.col("t"), client).select("doc_id", salvage_label(F.col("reply")).alias("label"))
 
 

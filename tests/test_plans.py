@@ -61,6 +61,32 @@ def test_whole_table_neighbours(spark, sf):
     assert got == want and any(r % 5 == 0 for _, r in got)
 
 
+def changed_documents(spark, sf, to, texts):
+    """The tables with documents of the given texts; a connection that reads them."""
+    con = duckdb.connect()
+    for t in TABLES:
+        if t != "documents":
+            (to / f"{t}.parquet").symlink_to(f"{sf}/{t}.parquet")
+    rows = [(i, x, "en", "web", len(x or "")) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{to}/documents.parquet")
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{to}/{t}.parquet{'/*.parquet' if t == 'documents' else ''}')")
+    return con
+
+
+def assert_equals_sql(spark, con, to, name):
+    want = con.execute(catalog.ORACLES[name])
+    cols = [c[0] for c in want.description]
+    got = sorted(tuple(plain(r[c]) for c in cols) for r in catalog.QUERIES[name](spark, str(to)).collect())
+    assert got == sorted(tuple(map(plain, r)) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["mock_labels", "model_replies"])
+def test_empty_texts_equal_sql(spark, sf, tmp_path, name):
+    con = changed_documents(spark, sf, tmp_path, [None, "", " ", "must", "\r\n", "a\u0308", "\U0001f600"])
+    assert_equals_sql(spark, con, tmp_path, name)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
