@@ -31,6 +31,23 @@ def _ranked(df: DataFrame, by: list[str], key: str, seed) -> DataFrame:
     return df.withColumn("__rank", F.row_number().over(W.partitionBy(*by).orderBy(draw(F.col(key), seed), key)))
 
 
+def _placed(df: DataFrame, by: list[str], key: str, seed) -> DataFrame:
+    """Columns __rank, as of _ranked, and __n, the rows of the stratum, without all rows of a stratum in one task.
+
+    Rows of a stratum are ranked within the first three digits of draw(), 4,096 buckets in order;
+    sums of the buckets' sizes, a few rows, are added.
+    """
+    at = df.withColumn("__draw", draw(F.col(key), seed)).withColumn("__bucket", F.coalesce(F.substring("__draw", 1, 3), F.lit("")))
+    sizes = at.groupBy(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(by)], F.col("__bucket").alias("__b")).agg(F.count("*").alias("__n"))
+    w = W.partitionBy(*[f"__s{i}" for i in range(len(by))])
+    sizes = sizes.withColumns({"__before": F.sum("__n").over(w.orderBy("__b")) - F.col("__n"), "__all": F.sum("__n").over(w)}).drop("__n")
+    ranked = at.withColumn("__rank", F.row_number().over(W.partitionBy(*by, "__bucket").orderBy("__draw", key)))
+    on = F.col("__bucket") == F.col("__b")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"__s{i}"))
+    return ranked.join(sizes, on).select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__rank") + F.col("__before")).alias("__rank"), F.col("__all").alias("__n"))
+
+
 def sample_strata(df: DataFrame, stratum: str, key: str, quotas: dict[str, int], seed: int = 42) -> DataFrame:
     """So many rows of each stratum."""
     quota = F.lit(0)
@@ -43,14 +60,13 @@ def sample_strata(df: DataFrame, stratum: str, key: str, quotas: dict[str, int],
 
 def sample_share(df: DataFrame, stratum: str, key: str, share: float, seed: int = 42) -> DataFrame:
     """The share of each stratum, rounded half to even, one row at least."""
-    sizes = df.groupBy(stratum).agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(share), 0)).cast("long").alias("__quota"))
-    return _ranked(df, [stratum], key, seed).join(sizes, stratum).filter("__rank <= __quota").drop("__rank", "__quota")
+    quota = F.greatest(F.lit(1), F.bround(F.col("__n") * F.lit(share), 0))
+    return _placed(df, [stratum], key, seed).filter(F.col(stratum).isNotNull() & (F.col("__rank") <= quota)).drop("__rank", "__n")
 
 
 def split(df: DataFrame, strata: list[str], key: str, sizes: tuple[tuple[str, float], ...], seed: int = 42) -> DataFrame:
     """Column split, by rank within each stratum."""
-    w = W.partitionBy(*strata)
-    at = (_ranked(df, strata, key, seed).withColumn("__n", F.count("*").over(w)).withColumn("__at", (F.col("__rank") - 1) / F.col("__n")))
+    at = _placed(df, strata, key, seed).withColumn("__at", (F.col("__rank") - 1) / F.col("__n"))
     upto, name = 0.0, F.lit(sizes[-1][0])
     cases = []
     for s, share in sizes[:-1]:
@@ -90,7 +106,7 @@ def stratified_group_folds(df: DataFrame, group: str, label: str, folds: int = 5
 
 def class_folds(df: DataFrame, label: str, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """Rank within the class modulo the number of folds."""
-    return _ranked(df, [label], key, seed).withColumn("fold", ((F.col("__rank") - 1) % folds).cast("int")).drop("__rank")
+    return _placed(df, [label], key, seed).withColumn("fold", ((F.col("__rank") - 1) % folds).cast("int")).drop("__rank", "__n")
 
 
 def leaks(df: DataFrame, group: str, fold: str = "fold") -> DataFrame:

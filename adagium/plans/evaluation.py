@@ -10,6 +10,7 @@ from adagium.functions import rules
 from adagium.operators import inference, metrics, models, votes
 from adagium.operators.sampling import split
 from adagium.plans.registry import TEMPLATED_SQL, query, table, templated
+from adagium.shared import materialize
 
 # Three deterministic raters: each vote is a hexadecimal digit of md5(doc_id:rater); 15 abstains, the third one is reversed.
 _RATERS = (("r1", 10), ("r2", 9), ("r3", 3))
@@ -278,6 +279,7 @@ def logreg_rules(spark, d):
     f = rules.features_v2(F.col("t"))
     rows = templated(table(spark, d, "documents")).withColumns(f)
     rows = rows.withColumn("y", (mock_sum_label(F.col("t"))["form"] == "prescriptive").cast("double")).withColumn("y", F.when(F.col("f_imperative") == 1, 1.0).otherwise(F.col("y")))
+    rows = materialize(rows.select("doc_id", "y", *rules.FEATURES_V2), "rule-features")  # the texts end here
     out = models.out_of_fold(rows, list(rules.FEATURES_V2), "y", "doc_id")
     return out.select("doc_id", F.col("y").cast("int").alias("gold"), F.col("prediction").cast("int").alias("pred"))
 

@@ -1,5 +1,6 @@
 """Operators on small literal tables with results worked out by hand."""
 
+import hashlib
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,18 @@ def test_samples_and_folds(spark):
     assert sampling.overlap(df.filter("k < 10"), df.filter("k >= 8"), "k").count() == 2
 
 
+def test_folds_rank_within_buckets(spark):
+    """Ranks of a class are made in buckets, and are those of one window; a null class is a class."""
+    df = spark.range(3000).selectExpr("id AS k", "CASE WHEN id % 7 = 0 THEN NULL ELSE id % 2 END AS y")
+    out = sampling.class_folds(df, "y", "k")
+    windows = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number" in line]
+    assert windows and all("__bucket" in line for line in windows)
+    want: dict = {}
+    for k, y in sorted(((r["k"], r["y"]) for r in df.collect()), key=lambda x: hashlib.md5(f"{x[0]}:42".encode()).hexdigest()):
+        want.setdefault(y, []).append(k)
+    assert {(r["k"], r["y"], r["fold"]) for r in out.collect()} == {(k, y, i % 5) for y, ks in want.items() for i, k in enumerate(ks)}
+
+
 def test_stratified_folds_have_one_rule(spark):
     """No limit of groups switches the rule off, labels balance, the seed counts, and a null group is a group."""
     import inspect
