@@ -251,6 +251,29 @@ def test_neighbours(spark):
     assert other == [(1, 13), (2, 10), (3, 12)]
 
 
+def test_neighbours_hold_bounded_products(spark, monkeypatch):
+    """A task never holds the similarities of all its queries, and copies of a reference tie by their number."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(1500, 8))
+    v[[700, 1499]] = v[3]
+    refs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "ref long, embedding array<double>").coalesce(1)
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v[:333])], "q long, embedding array<double>")
+    best = knn._best
+
+    def small(sim, ids, k):
+        assert sim.size <= 64 * 1500
+        return best(sim, ids, k)
+
+    monkeypatch.setattr(knn, "_best", small)
+    monkeypatch.setattr(knn, "TILE", 64 * 1500, raising=False)
+    got = {(r["q"], r["ref"], r["rank"]) for r in knn.neighbours(queries, refs, 4).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sims = np.array([(u * x).sum(axis=1) for x in u[:333]]).round(12)
+    assert got == {(q, int(r), i) for q in range(333) for i, r in enumerate(np.lexsort((np.arange(1500), -sims[q]))[:4], 1)}
+
+
 def test_votes_and_fallback(spark):
     q, r = vectors(spark)
     near = knn.neighbours(q, r, 3)
