@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
@@ -17,16 +17,36 @@ from adagium.functions import fixed
 SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
 
 
-@F.pandas_udf(StringType())
-def nfc(s: pd.Series) -> pd.Series:
+def _each(f, texts: pa.Array) -> pa.Array:
+    """f of each text, a few hundred at a time: besides the batch and its result no copy of all texts is held."""
+    parts = [pa.array([t if t is None else f(t) for t in texts[i : i + 256].to_pylist()], pa.string()) for i in range(0, len(texts), 256)]
+    return pa.concat_arrays(parts) if parts else texts
+
+
+@F.arrow_udf(StringType())
+def _nfc(texts: pa.Array) -> pa.Array:
+    return _each(lambda t: unicodedata.normalize("NFC", t), texts)
+
+
+@F.arrow_udf(StringType())
+def _folded(texts: pa.Array) -> pa.Array:
+    return _each(lambda t: unicodedata.normalize("NFC", t).casefold(), texts)
+
+
+def _beyond_ascii(c: Column, ascii: Column, other) -> Column:
+    """Only texts with other than ASCII characters are sent to other."""
+    plain = F.octet_length(c) == F.length(c)
+    return F.when(plain, ascii).otherwise(other(F.when(~plain, c)))
+
+
+def nfc(c: Column) -> Column:
     """Unicode normal form C."""
-    return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+    return _beyond_ascii(c, c, _nfc)
 
 
-@F.pandas_udf(StringType())
-def folded(s: pd.Series) -> pd.Series:
+def folded(c: Column) -> Column:
     """Normal form C, case-folded (the Unicode folding, not lower-casing)."""
-    return s.map(lambda t: t if t is None else t.lower() if t.isascii() else unicodedata.normalize("NFC", t).casefold())
+    return _beyond_ascii(c, F.lower(c), _folded)
 
 
 def collapse(c: Column) -> Column:

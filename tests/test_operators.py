@@ -28,6 +28,14 @@ def test_norm_key(spark, raw, want):
     assert one(spark, raw, T.norm_key) == want
 
 
+def test_only_texts_beyond_ascii_reach_python(spark):
+    rows = spark.createDataFrame([(1, "Plain A"), (2, "STRA\u00dfE"), (3, None), (4, "e\u0301"), (5, "")], "k int, t string")
+    df = rows.select("k", T.nfc(F.col("t")).alias("n"), T.folded(F.col("t")).alias("f"))
+    assert {r["k"]: (r["n"], r["f"]) for r in df.collect()} == {1: ("Plain A", "plain a"), 2: ("STRA\u00dfE", "strasse"), 3: (None, None), 4: ("\u00e9", "\u00e9"), 5: ("", "")}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "_nfc(CASE WHEN" in plan and "_folded(CASE WHEN" in plan
+
+
 def test_sentences(spark):
     assert one(spark, "One.Two three! four?  Five", T.sentences) == ["One.", "Two three!", "four?", "Five"]
 
