@@ -2,50 +2,82 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from adagium.functions import fixed
-from adagium.functions.text import collapse, first_word, flag, hits, outcome_clause, straight_quotes, strip_chars
+from adagium.functions.text import collapse, first_word, flag, strip_chars
 
 
-def valence(c: Column) -> Column:
-    """Pos, neg or neut (ties) by lexicon hits in the outcome clause."""
-    target = outcome_clause(c)
-    p, n = hits(target, fixed.POSITIVE), hits(target, fixed.NEGATIVE)
-    return F.when(p > n, "pos").when(n > p, "neg").otherwise("neut")
+# RE2, the engine of Arrow's functions, searches long texts in one pass whatever the number of alternatives. Its word
+# boundaries know ASCII alone, so other letters and digits become underscores first, as in the SQL.
+_OTHER_LETTERS = r"[^\x00-\x7F\PL]|[^\x00-\x7F\P{Nd}]"
+_COMMON = ("f_imperative", "f_prohibition", "f_conditional", "f_causal", "f_valuation", "f_agency")
 
 
-def _common(t: Column, imperatives: str, conditional: str) -> dict[str, Column]:
-    return {
-        "f_imperative": flag(t.rlike(rf"(?i)^(?:{imperatives})\b") & ~F.endswith(t, F.lit("?"))),
-        "f_prohibition": flag(t.rlike(fixed.PROHIBITION) | t.rlike(fixed.WASTE_NOT)),
-        "f_conditional": flag(t.rlike(conditional)),
-        "f_causal": flag(t.rlike(fixed.CAUSAL)),
-        "f_valuation": flag(t.rlike(fixed.VALUATION)),
-        "f_agency": flag(t.rlike(fixed.AGENCY)),
-    }
+def _prepared(texts: pa.Array) -> pa.Array:
+    """Trimmed, quotes straight; letters beyond ASCII as underscores."""
+    t = pc.utf8_trim(pc.fill_null(texts, ""), " ")
+    for pattern, plain in (("[’‘]", "'"), ("[“”]", '"'), (_OTHER_LETTERS, "_")):
+        t = pc.replace_substring_regex(t, pattern, plain)
+    return t
 
 
-def prepared(c: Column) -> Column:
-    return straight_quotes(F.trim(F.coalesce(c, F.lit(""))))
+def _hits(t: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Hits of the positive and the negative lexicon in the outcome clause."""
+    second = pc.replace_substring_regex(t, r"(?s)^.*?(?:,|;| then )", "", max_replacements=1)
+    clause = pc.if_else(pc.match_substring_regex(pc.utf8_trim(second, " "), r"\s"), second, t)
+    return pc.count_substring_regex(clause, fixed.POSITIVE), pc.count_substring_regex(clause, fixed.NEGATIVE)
 
 
-def features_v1(c: Column) -> dict[str, Column]:
-    """C4: six flags and the valence word."""
-    t = prepared(c)
-    return _common(t, fixed.IMPERATIVES_V1, fixed.CONDITIONAL_V1) | {"f_valence": valence(t)}
+def _common(t: pa.Array, imperatives: str, conditional: str) -> list[pa.Array]:
+    found = lambda p: pc.match_substring_regex(t, p)
+    return [
+        pc.and_not(found(rf"(?i)^(?:{imperatives})\b"), pc.ends_with(t, "?")),
+        pc.or_(found(fixed.PROHIBITION), found(fixed.WASTE_NOT)),
+        *map(found, (conditional, fixed.CAUSAL, fixed.VALUATION, fixed.AGENCY)),
+    ]
 
 
-def features_v2(c: Column) -> dict[str, Column]:
-    """Nine flags; modal verbs, valence as two flags, and wider patterns."""
-    t = prepared(c)
-    v = valence(t)
-    return _common(t, fixed.IMPERATIVES_V2, fixed.CONDITIONAL_V2) | {"f_modal": flag(t.rlike(fixed.MODAL)), "f_valence_pos": flag(v == "pos"), "f_valence_neg": flag(v == "neg")}
+def _struct(flags: dict[str, pa.Array], **words: pa.Array) -> pa.StructArray:
+    columns = {k: v.cast(pa.int32()) for k, v in flags.items()} | words
+    return pa.StructArray.from_arrays(list(columns.values()), list(columns))
+
+
+@F.arrow_udf(StructType([*(StructField(c, IntegerType()) for c in _COMMON), StructField("f_valence", StringType())]))
+def _features_v1(texts: pa.Array) -> pa.Array:
+    t = _prepared(texts)
+    p, n = _hits(t)
+    valence = pc.if_else(pc.greater(p, n), "pos", pc.if_else(pc.greater(n, p), "neg", "neut"))
+    return _struct(dict(zip(_COMMON, _common(t, fixed.IMPERATIVES_V1, fixed.CONDITIONAL_V1))), f_valence=valence)
 
 
 FEATURES_V2 = ("f_imperative", "f_prohibition", "f_modal", "f_conditional", "f_causal", "f_valuation", "f_agency", "f_valence_pos", "f_valence_neg")
 
 
+@F.arrow_udf(StructType([StructField(c, IntegerType()) for c in FEATURES_V2]))
+def _features_v2(texts: pa.Array) -> pa.Array:
+    t = _prepared(texts)
+    p, n = _hits(t)
+    flags = dict(zip(_COMMON, _common(t, fixed.IMPERATIVES_V2, fixed.CONDITIONAL_V2)))
+    flags |= {"f_modal": pc.match_substring_regex(t, fixed.MODAL), "f_valence_pos": pc.greater(p, n), "f_valence_neg": pc.greater(n, p)}
+    return _struct({c: flags[c] for c in FEATURES_V2})
+
+
+def features_v1(c: Column) -> dict[str, Column]:
+    """Six flags and the valence word: pos, neg or neut (ties) by lexicon hits in the outcome clause."""
+    f = _features_v1(c)
+    return {k: f[k] for k in (*_COMMON, "f_valence")}
+
+
+def features_v2(c: Column) -> dict[str, Column]:
+    """Nine flags; modal verbs, valence as two flags, and wider patterns."""
+    f = _features_v2(c)
+    return {k: f[k] for k in FEATURES_V2}
+
+
 def score(f: dict[str, Column]) -> dict[str, Column]:
     """Label, triggers joined by +, and confidence, from version 1 features."""
     on = {k: v == 1 for k, v in f.items() if k != "f_valence"}

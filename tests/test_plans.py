@@ -87,6 +87,12 @@ def test_empty_texts_equal_sql(spark, sf, tmp_path, name):
     assert_equals_sql(spark, con, tmp_path, name)
 
 
+@pytest.mark.parametrize("name", ["rule_features_v1", "rule_features_v2", "rule_score"])
+def test_rules_on_odd_texts_equal_sql(spark, sf, tmp_path, name):
+    texts = ["better x\rthan y", "\u00e9t\u00e9 not, hiver not", "\u00e9never good", None, "", "a, b", "a; bad loss", "Keep it?", "one then good\u00e9 gain", "Don\u2019t go"]
+    assert_equals_sql(spark, changed_documents(spark, sf, tmp_path, texts), tmp_path, name)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
